@@ -5,14 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.langid import fit_language_id, language_id
 from lumenframe.llm.line_dedup import line_dedup
+from lumenframe.llm.packing import pack
 from lumenframe.llm.secret_scan import secret_scan
+from lumenframe.llm.topk import integer_vectors, top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id(docs, fit_language_id(docs))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -24,6 +46,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_packing": op3_packing,
+    "op6_top_k": op6_top_k,
     "op7_line_dedup": op7_line_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
@@ -46,4 +71,19 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
 from judged group by doc_id
 """
 
-SQL = {"op7_line_dedup": _LINE_SQL}
+_TOP_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+where rank <= 5
+"""
+
+SQL = {"op6_top_k": _TOP_SQL, "op7_line_dedup": _LINE_SQL}
