@@ -73,11 +73,11 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and len + 1 offsets: the words of row i are first[i] to first[i + 1]."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes not in space, and len + 1 offsets: the words of row i are first[i] to first[i + 1]."""
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    np.logical_not(SPACE[data], out=inside[1 : n + 1])
+    np.logical_not(space[data], out=inside[1 : n + 1])
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
@@ -119,7 +119,3 @@ def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
         h = (sums[n:] - sums[:-n]) * powers(_IP, total)
     at = np.arange(out[-1]) + np.repeat(first[:-1] - out[:-1], counts)
     return mix(h[at]), out
-
-
-def kept_bytes(data: np.ndarray, keep: np.ndarray) -> bytes:
-    return data[keep].tobytes()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.decontaminate import contaminated
+from lumenframe.llm.jaccard_join import near_duplicates
 from lumenframe.llm.langid import fit_language_id, language_id
 from lumenframe.llm.line_dedup import line_dedup
 from lumenframe.llm.packing import pack
@@ -31,6 +33,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
@@ -48,6 +58,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_top_k": op6_top_k,
     "op7_line_dedup": op7_line_dedup,
     "op9_secret_scan": op9_secret_scan,
