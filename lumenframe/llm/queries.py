@@ -11,6 +11,8 @@ from lumenframe.llm.langid import fit_language_id, language_id
 from lumenframe.llm.line_dedup import line_dedup
 from lumenframe.llm.packing import pack
 from lumenframe.llm.secret_scan import secret_scan
+from lumenframe.llm.substring_dedup import substring_dedup
+from lumenframe.llm.suffix_dedup import suffix_dedup
 from lumenframe.llm.topk import integer_vectors, top_k
 
 
@@ -23,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs, fit_language_id(docs))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -55,14 +62,21 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_top_k": op6_top_k,
     "op7_line_dedup": op7_line_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _LINE_SQL = r"""
@@ -98,4 +112,21 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 where rank <= 5
 """
 
-SQL = {"op6_top_k": _TOP_SQL, "op7_line_dedup": _LINE_SQL}
+_WINDOW_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (
+  select doc_id, i, array_to_string(ws[i:i + 34], ' ') as w
+  from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from d)),
+twice as (select doc_id, i from win where w in (select w from win group by w having count(*) > 1)),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as j from twice),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as j from d),
+judged as (select words.*, gone.j is not null as g from words left join gone using (doc_id, j)),
+sums as (
+  select doc_id, count(*) filter (where g)::bigint as n_removed,
+         coalesce(string_agg(word, ' ' order by j) filter (where not g), '') as kept
+  from judged group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join sums using (doc_id)
+"""
+
+SQL = {"op2_substring_dedup": _WINDOW_SQL, "op6_top_k": _TOP_SQL, "op7_line_dedup": _LINE_SQL}
