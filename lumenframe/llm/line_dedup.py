@@ -89,7 +89,7 @@ def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         F.col("doc").alias("__doc"),
         F.col("row_hash").alias("__row_hash"),
         F.expr(
-            "transform(sequence(0, element_at(words, -1).word), w -> coalesce(element_at(filter(words, x -> x.word = w), 1).bits, 0L))"
+            "transform(sequence(0, element_at(words, -1).word), w -> coalesce(get(filter(words, x -> x.word = w), 0).bits, 0L))"
         ).alias("__bits"),
     )
     keyed = docs.withColumns(
