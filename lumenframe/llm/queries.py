@@ -9,6 +9,7 @@ from lumenframe.llm.decontaminate import contaminated
 from lumenframe.llm.jaccard_join import near_duplicates
 from lumenframe.llm.langid import fit_language_id, language_id
 from lumenframe.llm.line_dedup import line_dedup
+from lumenframe.llm.lm_score import lm_score
 from lumenframe.llm.packing import pack
 from lumenframe.llm.secret_scan import secret_scan
 from lumenframe.llm.substring_dedup import substring_dedup
@@ -57,6 +58,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -75,6 +80,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_top_k": op6_top_k,
     "op7_line_dedup": op7_line_dedup,
+    "op8_lm_score": op8_lm_score,
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
