@@ -11,8 +11,15 @@ from lumenframe.session import shared_dir, ship
 CHUNK_BYTES = 12 << 20
 
 
+#: Rows of one Arrow batch: texts are long, and a Python worker holds a batch several times over.
+BATCH_ROWS = 1000
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     ship(df.sparkSession)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":  # Spark's default, so nobody has chosen it
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
 
 

@@ -190,3 +190,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, see
         if len(every.seeds):
             found = found.unionByName(_search(docs, index_items(own, n, _seed_counts(docs, every, n), seeds), n, min_score))
     return found
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is in no finding; rows without doc_id stay."""
+    found = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("__found")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == F.col("__found"), "left_anti")

@@ -147,6 +147,29 @@ def fit_language_id(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model |
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def _judged(data: np.ndarray, offsets: np.ndarray, model: Model | None) -> tuple[list[str], np.ndarray, list[bool]]:
+    """Language, score and acceptance of each text."""
+    names: list[str] = []
+    scores: list[np.ndarray] = []
+    for i, j in _text.steps(offsets, _text.STEP_BYTES // 2):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        sums = np.concatenate([[0], np.cumsum(_LETTER[part])])
+        letters = sums[at[1:]] > sums[at[:-1]]
+        for k in np.flatnonzero(~letters):
+            letters[k] = any(map(str.isalpha, part[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace")))
+        if model is None:
+            names += [UNKNOWN] * (j - i)
+            scores.append(np.zeros(j - i))
+            continue
+        p = model.scores(part, at)
+        best = p.argmax(1)
+        names += [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
+        scores.append(np.where(letters, p[np.arange(j - i), best], 0.0))
+    score = np.concatenate(scores) if scores else np.zeros(0)
+    least = model.threshold if model else 0.0
+    return names, score, [n != UNKNOWN and s >= least for n, s in zip(names, score.tolist(), strict=True)]
+
+
 def language_id(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted for each row of docs.
 
@@ -156,26 +179,7 @@ def language_id(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _text.utf8(batch.column(2))
-            names: list[str] = []
-            scores: list[np.ndarray] = []
-            for i, j in _text.steps(offsets, _text.STEP_BYTES // 2):
-                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                sums = np.concatenate([[0], np.cumsum(_LETTER[part])])
-                letters = sums[at[1:]] > sums[at[:-1]]
-                for k in np.flatnonzero(~letters):
-                    letters[k] = any(map(str.isalpha, part[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace")))
-                if model is None:
-                    names += [UNKNOWN] * (j - i)
-                    scores.append(np.zeros(j - i))
-                    continue
-                p = model.scores(part, at)
-                best = p.argmax(1)
-                names += [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-                scores.append(np.where(letters, p[np.arange(j - i), best], 0.0))
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            least = model.threshold if model else 0.0
-            accepted = [n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)]
+            names, score, accepted = _judged(*_text.utf8(batch.column(2)), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())],
                 names=["doc_id", "held_out", "lang_pred", "score", "accepted"],
@@ -188,3 +192,15 @@ def language_id(docs: DataFrame, model: Model | None) -> DataFrame:
 def crc_fold(doc_id: int, folds: int = 5) -> int:
     """fold() for a single value, for tests."""
     return zlib.crc32(str(doc_id).encode()) % folds
+
+
+def known_language(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is told with enough confidence."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _text.utf8(batch.column(batch.schema.get_field_index("text")))
+            _, _, accepted = _judged(data, offsets, model)
+            yield batch.filter(pa.array(accepted, pa.bool_()))
+
+    return map_arrow(docs, keep, docs.schema)
