@@ -1,0 +1,268 @@
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from lumenframe.llm import decontaminate, jaccard_join, langid, lm_score, packing, queries, secret_scan, topk
+from lumenframe.llm._components import components
+
+
+def words(rng, n, kinds=4000):
+    return " ".join(f"w{rng.randrange(kinds)}x" for _ in range(n))
+
+
+def shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (20, 21), (5, 3), (7, 7)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 1, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10, 20: 20, 21: 20}
+
+
+def test_bands():
+    b, r = jaccard_join.choose_bands(0.8, 0.998, 128)
+    assert b * r <= 128 and 1 - (1 - 0.8**r) ** b >= 0.998
+
+
+def test_jaccard(spark, none):
+    import random
+
+    rng = random.Random(1)
+    texts = {}
+    for g in range(12):
+        base = words(rng, 150).split()
+        for k in range(4):
+            copy = list(base)
+            for _ in range(k * 2):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+    texts |= {100: None, 101: "", 102: "a b", 103: "a b", 104: "a c", 105: texts[0]}
+    rows = [(d, t) for d, t in texts.items()] + [(None, "x y z u v w q")]
+    got = {r["doc_id"]: r for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: shingles(t) for d, t in texts.items()}
+    parent = {d: d for d in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert {d: got[d]["class_id"] for d in texts} == {d: find(d) for d in texts}
+    assert got[105]["copy_id"] == 0 and got[102]["class_id"] == got[103]["class_id"] == 102
+    assert sum(r["kept"] for r in got.values()) == len({find(d) for d in texts}) + 1
+    assert jaccard_join.near_duplicates(none).count() == 0
+
+
+def test_jaccard_odd(odd):
+    got = jaccard_join.near_duplicates(odd).collect()
+    by = {r["doc_id"]: r["class_id"] for r in got}
+    assert len(got) == odd.count() and by[0] == by[6] == by[7] == by[8] == 0 and by[3] == 3
+    assert jaccard_join.one_of_each(odd).columns == odd.columns
+
+
+def test_decontaminate(spark, odd, none):
+    import random
+
+    rng = random.Random(2)
+    items = {i: words(rng, 30, 10**6) for i in range(20)}
+    edited = items[1].split()
+    edited[7] = "other"
+    del edited[15]
+    docs = [(1, f"{words(rng, 200)} {items[0].upper()}, {words(rng, 50)}"), (2, f"{words(rng, 99)} {' '.join(edited)} {words(rng, 9)}"), (3, words(rng, 500)), (4, items[2]), (5, None), (6, ""), (None, items[3])]
+    bench = spark.createDataFrame([*items.items(), (98, None), (99, ""), (97, "two words"), (2, items[2])], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame, bench).collect()}
+    assert set(got) == {(1, 0), (2, 1), (4, 2), (None, 3)}
+    assert got[1, 0] == got[4, 2] == 1.0 and 0.8 < got[2, 1] < 1
+    assert {r["doc_id"] for r in decontaminate.without_contaminated(frame, bench).collect()} == {3, 5, 6, None}
+    assert decontaminate.contaminated(odd, bench).count() == 0
+    assert decontaminate.contaminated(none, bench).count() == 0
+    assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
+
+
+def brute_align(q, p):
+    h = np.zeros((len(q) + 1, len(p) + 1), int)
+    for i, a in enumerate(q):
+        for j, b in enumerate(p):
+            h[i + 1, j + 1] = max(0, h[i, j] + (2 if a == b else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+    return h.max()
+
+
+def test_align():
+    rng = np.random.default_rng(0)
+    qs, ps = [rng.integers(4, 60, rng.integers(3, 20)).astype(np.uint64) << 2 for _ in range(40)], [rng.integers(4, 12, rng.integers(1, 40)).astype(np.uint64) << 2 for _ in range(40)]
+    qs = [q % 48 for q in qs]
+    assert decontaminate.align(qs, ps)[0].tolist() == [brute_align(q.tolist(), p.tolist()) for q, p in zip(qs, ps, strict=True)]
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_top_k(spark, k):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(120)]
+    rows[7] = (7, rows[6][1])
+    rows += [(200, None), (201, [None] * 8), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (None, rows[0][1]), (3, rows[3][1])]
+    got = topk.top_k(topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), queries.F.col("vec_id") % 10 == 0, k)
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows[:120]}
+    want = []
+    for q in range(0, 120, 10):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q)[:k]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_top_k_few(spark):
+    rows = [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (7, [-1.0, -1.0])]
+    frame = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert topk.top_k(frame, queries.F.col("vec_id") % 50 == 0).count() == 4
+    assert topk.top_k(frame.limit(0), queries.F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(frame.limit(1), queries.F.lit(True)).count() == 0
+
+
+def test_packing(odd, odd_rows, none):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokens = Tokenizer.from_file(path)
+    want = Counter()
+    for d, t, *_ in odd_rows:
+        want[d, tuple(tokens.encode(t or "", add_special_tokens=False).ids) + (2,)] += 1
+    by_doc = defaultdict(list)
+    sequences = defaultdict(list)
+    for r in packing.pack(odd, path).collect():
+        by_doc[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at and length > 0
+            at += length
+        assert at <= packing.WINDOW
+    for (d, ids), times in want.items():
+        own = [r for r in by_doc[d] if r["doc_tokens"] == len(ids)]
+        spans = sorted((r["start"], r["length"], r["ids_crc32"]) for r in own)
+        for start, length, crc in set(spans):
+            assert zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc
+        assert sum(s[1] for s in spans) == times * len(ids)
+    total = sum(len(i) * n for (_, i), n in want.items())
+    assert len(sequences) <= -(-total // packing.WINDOW) + 1
+    assert packing.pack(none, path).count() == 0
+
+
+def test_range_crc():
+    ids = np.arange(500, dtype="<u4")
+    crc = lambda a, b: zlib.crc32(ids[a:b].tobytes())
+    assert packing.range_crc(crc(0, 64), crc(0, 170), 106) == crc(64, 170)
+
+
+def test_language(spark, odd, none):
+    import random
+
+    rng = random.Random(5)
+    sounds = {"aa": ["ka", "ro", "mi", "ta"], "bb": ["sch", "ung", "ein", "ver"], "cc": ["ción", "que", "osa", "ñe"]}
+    text = lambda lang: " ".join("".join(rng.choices(sounds[lang], k=3)) for _ in range(60))
+    rows = [(i, text(("aa", "bb", "cc")[i % 3]), ("aa", "bb", "cc")[i % 3]) for i in range(300)]
+    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "123 !?", "bb"), (1003, rows[0][1], None), (None, rows[1][1], "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.language_id(docs, langid.fit_language_id(docs)).collect()
+    held = [(r, rows[r["doc_id"]][2]) for r in got if r["held_out"] and r["doc_id"] < 300]
+    assert len(held) > 30 and all(r["lang_pred"] == lang for r, lang in held)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    odd_ones = {r["doc_id"]: r for r in got if r["doc_id"] is None or r["doc_id"] >= 1000}
+    assert all(odd_ones[d]["lang_pred"] == "und" and odd_ones[d]["score"] == 0 for d in (1000, 1001, 1002))
+    assert odd_ones[None]["lang_pred"] == "bb" and not odd_ones[None]["held_out"] and all(0 <= r["score"] <= 1 for r in got)
+    assert langid.known_language(docs, langid.fit_language_id(docs)).count() == 302
+    model = langid.fit_language_id(none)
+    assert model is None and {r["lang_pred"] for r in langid.language_id(odd, model).collect()} == {"und"}
+
+
+def test_scores(odd, odd_rows, none):
+    counts, docs, tokens = Counter(), 0, []
+    for d, t, *_ in odd_rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+        tokens.append((d, w))
+        if d is not None and zlib.crc32(str(d).encode()) % 5 != 1:
+            counts.update(w)
+            docs += 1
+    n, v = sum(counts.values()) + docs, len(counts) + 1
+    one = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    want = [(d, len(w) + 1, sum(x in counts for x in w) + 1, n, round(sum(one(counts[x]) for x in w) + one(docs), 6)) for d, w in tokens]
+    rows = lm_score.lm_score(odd).collect()
+    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in rows)
+    assert lm_score.lm_score(none).count() == 0
+
+
+def test_spelling_is_a_distribution():
+    rng = np.random.default_rng(1)
+    mixer = lm_score.Mixer(rng.normal(0, 1, int(lm_score.FIRST[-1])).astype(np.float32), rng.normal(0.3, 0.1, (6, lm_score.GATES)).astype(np.float32), rng.normal(0, 1, 256 * lm_score.BUCKETS).astype(np.float32))
+    # The first byte's probabilities, each times that of any continuation, add up to one: ask for one-byte words and their blank.
+    first = 0.0
+    for b in range(256):
+        e = lm_score.events(np.array([b], np.uint8), np.array([0, 1]))
+        inputs = mixer.odds[e.slots]
+        z = mixer.mixed(inputs, mixer.gate(inputs, e.node))
+        z = 0.5 * (z + mixer.refined[mixer.cell(z, e.node)])
+        p = 1 / (1 + np.exp(-np.where(e.bit == 1, z, -z).astype(float)))
+        first += p[:8].prod()
+    assert abs(first - 1) < 1e-5
+
+
+def brute_base(text):
+    out = []
+    for kind, pattern, group, least in (("assign", secret_scan.ASSIGN, 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)):
+        out += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
+    kinds = ["assign", "access", "hex"]
+    return ",".join(f"{k}:{b}:{e}" for b, k, e in sorted(out, key=lambda x: (x[0], kinds.index(x[1]))))
+
+
+SECRETS = [
+    "password = 'hunter2hunter2' and Token:abcd1234+/== api_key=short TOKENtoken = abcdefgh",
+    "AKIA" + "A1B2C3D4E5F6G7H8 é AKIA123 " + "0123456789abcdef" * 3 + "G" + "a" * 32,
+    "clean prose with nothing: at all = here",
+    None, "", "passwordpassword=abcdefgh=password=zzzzzzzz secret secret: \"12345678\"",
+    "id QX7Z9K2M4N6P8R1T\nkey wJalrXUtnFEMIxK7MDENGxbPxRfiCYEXAMPLEKEY9/+\nhttps://s3.example.com/x",
+    "wJalrXUtnFEMIxK7MDENGxbPxRfiCYEXAMPLEKEY9/+ alone",
+]
+
+
+def test_secrets(spark, odd, none):
+    frame = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secret_scan.secret_scan(frame).collect()}
+    for d, t in enumerate(SECRETS):
+        assert got[d]["base_spans"] == brute_base(t or ""), d
+        assert set(filter(None, got[d]["base_spans"].split(","))) <= set(got[d]["spans"].split(","))
+    assert "weak_secret" in got[6]["spans"] and "weak_access" in got[6]["spans"] and "endpoint" in got[6]["spans"]
+    assert got[7]["spans"] == "" and got[2]["spans"] == ""
+    assert secret_scan.secret_scan(odd).count() == odd.count() and secret_scan.secret_scan(none).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    at = docs
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, at, sf)
+        assert out.columns == docs.columns
+        at = spark.createDataFrame(out.collect(), docs.schema)
+    texts = {r["doc_id"]: r["text"] for r in at.collect()}
+    bench = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert 0 < len(texts) < docs.count() and not any(b in t for b in bench for t in texts.values())
+    sets = [s for t in texts.values() if (s := shingles(t))]
+    assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    packed = P.STAGES[-1][1](spark, at, sf).collect()
+    assert {r["doc_id"] for r in packed} == set(texts)
+    assert sum(r["length"] for r in P.run(spark, sf).collect()) == sum(r["length"] for r in packed)
