@@ -73,13 +73,15 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run of bytes not in space, and len + 1 offsets: the words of row i are first[i] to first[i + 1]."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, borders: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes not in space, which also ends where borders has a true value between two bytes, and len + 1 offsets: the words of row i are first[i] to first[i + 1]."""
     n = len(data)
     inside = np.zeros(n + 2, bool)
     np.logical_not(space[data], out=inside[1 : n + 1])
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if borders is not None and n:
+        edge[1:n] |= borders
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
     return starts, ends, np.searchsorted(starts, offsets)

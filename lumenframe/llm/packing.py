@@ -35,10 +35,19 @@ ITEMS = "row long, doc_id long, n long, whole binary, prefixes binary, terms bin
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class WordEncoder(dict):
-    """Word (bytes without white space) -> its ids as little-endian 32-bit values, as the tokenizer gives them.
+#: ASCII letters and ASCII signs but the apostrophe: the tokenizer always parts a text between the two.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
-    The tokenizer never joins two words, so a text's ids are those of its words.
+
+class WordEncoder:
+    """The ids of words (bytes without white space), as the tokenizer gives them; kept by 64-bit hash of the word.
+
+    The tokenizer never joins two words, nor letters and signs, so a text's ids are
+    those of such parts.  Recently used ones stay when the store is full.
     Plain words go to its BPE model in groups, without the costly normaliser; all
     others go through the tokenizer as they are.
     """
@@ -51,49 +60,99 @@ class WordEncoder(dict):
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.split = regex.compile(PIECE)
-        self.pieces: dict[str, bytes] = {}
         self.last = np.zeros(self.whole.get_vocab_size() + 1, bool)
-        self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         for token, i in self.whole.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         # The byte alphabet: printable bytes stand for themselves, the others follow from 256 on.
         same = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in set(same)]
         self.alphabet = {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.clear()
+        self.older = (self.slots, self.flat, self.ends)
 
-    def add(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > CACHE_WORDS:
-            self.clear()
-            self.pieces.clear()
-        split: dict[bytes, list[str]] = {}
+    def clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        #: Slot k's ids are flat[ends[k] : ends[k + 1]].
+        self.flat, self.ends = array("H"), array("q", [0])
+
+    def _slow(self, word: str) -> bytes:
+        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _ids(self, words: list[bytes]) -> Iterator[bytes]:
+        """Little-endian 16-bit ids of each word."""
+        split: list[list[str] | bytes] = []
         new: set[str] = set()
+        pieces: dict[str, bytes] = {}
         for w in words:
             s = w.decode("utf-8", "replace")
-            if not s.isascii() and (max(s) >= "ɐ" or any(c in s for c in "İ\u0085 ­")) or "<|" in s or not s.isprintable():
-                self[w] = np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+            if s.isascii():
+                if s.isalpha():
+                    parts = [s.lower()]
+                elif "<|" in s or not s.isprintable():
+                    split.append(self._slow(s))
+                    continue
+                else:
+                    parts = self.split.findall(s.lower())
+            elif "<|" in s or not s.isprintable() or max(s) >= "\u0250" or any(c in s for c in "\u0130\u0085\u00a0\u00ad"):
+                split.append(self._slow(s))
                 continue
-            s = s.lower()
-            if s.isalpha():
-                split[w] = [s]
-            elif s[:-1].isalpha() and s[-1].isascii():
-                split[w] = [s[:-1], s[-1]]
             else:
-                split[w] = self.split.findall(s)
-            new.update(split[w])
-        new -= self.pieces.keys()
+                s = s.lower()
+                parts = [s] if s.isalpha() else self.split.findall(s)
+            split.append(parts)
+            new.update(parts)
         todo = list(new)
         mapped = [p.encode().decode("latin-1").translate(self.alphabet) for p in todo]
         groups = range(0, len(todo), 20)
         for at, out in zip(groups, self.model.encode_batch_fast([" ".join(mapped[i : i + 20]) for i in groups], add_special_tokens=False), strict=True):
-            ids = np.array(out.ids, "<u4")
+            ids = np.array(out.ids, "<u2")
             ends = np.flatnonzero(self.last[ids]) + 1
             raw, begin = ids.tobytes(), 0
-            for p, e in zip(todo[at : at + 20], (ends * 4).tolist(), strict=True):
-                self.pieces[p] = raw[begin:e]
+            for p, e in zip(todo[at : at + 20], (ends * 2).tolist(), strict=True):
+                pieces[p] = raw[begin:e]
                 begin = e
-        pieces = self.pieces
-        for w, parts in split.items():
-            self[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        for parts in split:
+            yield parts if isinstance(parts, bytes) else pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows' texts, each text followed by END_ID, and len + 1 offsets."""
+        raw = data.tobytes()
+        if b"<|" in raw:  # there may be special tokens, which are what they are as a whole
+            starts, ends, first = _text.words(data, offsets)
+        else:
+            data = _FOLD[data]
+            kind = _CLASS[data]
+            starts, ends, first = _text.words(data, offsets, borders=kind[1:] * kind[:-1] == 2)
+        keys, where, which = np.unique(_text.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.slots) > CACHE_WORDS // 2:
+            self.older = (self.slots, self.flat, self.ends)
+            self.clear()
+        names = keys.tolist()
+        missing = [k for k, h in enumerate(names) if h not in self.slots]
+        if missing:
+            slots, flat, old_ends = self.older
+            again = [k for k in missing if names[k] in slots]
+            missing = [k for k in missing if names[k] not in slots]
+            b, e = starts[where[missing]].tolist(), ends[where[missing]].tolist()
+            for k, ids in zip(missing, self._ids([raw[x:y] for x, y in zip(b, e, strict=True)]), strict=True):
+                self.slots[names[k]] = len(self.ends) - 1
+                self.flat.frombytes(ids)
+                self.ends.append(len(self.flat))
+            for k in again:
+                at = slots[names[k]]
+                self.slots[names[k]] = len(self.ends) - 1
+                self.flat.extend(flat[old_ends[at] : old_ends[at + 1]])
+                self.ends.append(len(self.flat))
+        slot = np.array([self.slots[h] for h in names], np.int64)[which]
+        begins, flat = np.array(self.ends, np.int64), np.array(self.flat, np.uint32)
+        size = (begins[1:] - begins[:-1])[slot]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        rows = upto[first] + np.arange(len(first))
+        out = np.full(rows[-1], END_ID, np.uint32)
+        fill = np.arange(upto[-1])
+        row = np.repeat(np.arange(len(first) - 1), np.diff(upto[first]))
+        out[fill + row] = flat[fill + np.repeat(begins[slot] - upto[:-1], size)]
+        return out, rows
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -103,32 +162,26 @@ def token_items(docs: DataFrame, tokenizer: str) -> DataFrame:
     """An item for each row of docs; a null text is empty and has the end id alone."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _encoders.setdefault(tokenizer, None) or WordEncoder(tokenizer)
-        _encoders[tokenizer] = words
-        crc, row = zlib.crc32, TaskContext.get().partitionId() << 40
-        tail = np.array([END_ID], "<u4").tobytes()
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = WordEncoder(tokenizer)
+        encoder = _encoders[tokenizer]
+        crc, row, most = zlib.crc32, TaskContext.get().partitionId() << 40, WINDOW * 4
         for batch in batches:
             data, offsets = _text.utf8(batch.column(1))
             for i, j in _text.steps(offsets):
-                raw, at = data[offsets[i] : offsets[j]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
-                split = [raw[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)]
-                seen = set().union(*split)
-                if missing := seen - words.keys():
-                    words.add(missing)
-                    if missing := seen - words.keys():  # the store was emptied
-                        words.add(missing)
+                every, at = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cols: list[list] = [[], [], [], [], [], []]
-                for w in split:
-                    ids = b"".join([words[x] for x in w]) + tail
-                    n, most = len(ids) // 4, WINDOW * 4
-                    whole = array("I", [crc(ids[a : a + most]) for a in range(0, n // WINDOW * most, most)])
-                    rest = ids[n // WINDOW * most :]
+                raw, bounds = every.astype("<u4").tobytes(), (at * 4).tolist()
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    n = (b - a) // 4
+                    rest = a + n // WINDOW * most
+                    whole = array("I", [crc(raw[x : x + most]) for x in range(a, rest, most)])
                     prefixes, c = array("I"), 0
-                    for a in range(0, len(rest), GRAIN * 4):
-                        c = crc(rest[a : a + GRAIN * 4], c)
+                    for x in range(rest, b, GRAIN * 4):
+                        c = crc(raw[x : min(x + GRAIN * 4, b)], c)
                         prefixes.append(c)
-                    terms, counts = np.unique(np.frombuffer(rest, "<u4"), return_counts=True)
-                    for col, v in zip(cols, (row, n, whole.tobytes(), prefixes.tobytes(), terms.astype("<u4").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()), strict=True):
+                    terms, counts = np.unique(every[rest // 4 : b // 4], return_counts=True)
+                    for col, v in zip(cols, (row, n, whole.tobytes(), prefixes.tobytes(), terms.astype("<u2").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()), strict=True):
                         col.append(v)
                     row += 1
                 yield pa.RecordBatch.from_arrays(
@@ -148,7 +201,7 @@ def document_frequencies(items: DataFrame, vocabulary: int) -> np.ndarray:
         total = np.zeros(slices * part, np.int64)
         for batch in batches:
             for terms in batch.column(0):
-                total[np.frombuffer(terms.as_py(), "<u4")] += 1
+                total[np.frombuffer(terms.as_py(), "<u2")] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in total.reshape(slices, part)], pa.binary())], names=["slice", "counts"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
@@ -248,7 +301,7 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 49408) -> DataFrame:
         table = table.sort_by("row")
         ids, total = table.column("doc_id").to_pylist(), table.column("n").to_numpy()
         whole, prefixes, terms, counts = (
-            [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("whole", "<u4"), ("prefixes", "<u4"), ("terms", "<u4"), ("counts", np.uint8))
+            [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("whole", "<u4"), ("prefixes", "<u4"), ("terms", "<u2"), ("counts", np.uint8))
         )
         rest = total % WINDOW
         out: list[tuple] = []
