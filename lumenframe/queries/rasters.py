@@ -16,6 +16,10 @@ from lumenframe.operators import filters
 from lumenframe.operators import geometry as G
 from lumenframe.operators import neighborhood as N
 from lumenframe.operators import statistics as S
+from lumenframe.operators import texture as X
+from lumenframe.session import ship
+from lumenframe.sources import files as W
+from lumenframe.streaming import windows as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,3 +357,48 @@ register("igrep_invert", lambda s, d: S.igrep(_attribs(s, d), "HOUSE", False, Tr
 
 def _attribs(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("filename"), F.create_map(F.lit("segment"), "c_mktsegment", F.lit("name"), "c_name").alias("attribs"))
+
+
+# --- textures, files and streams
+def _pyramid(s: SparkSession, d: str) -> DataFrame:
+    return X.make_texture(G.fill(s, R64, [0], [1], [2], [4])).groupBy("mip").agg(F.count("*").alias("n"), (F.round(F.avg("c0"), 6) + 0.0).alias("mean"))
+
+
+def _lookups(s: SparkSession, d: str) -> DataFrame:
+    q = _table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("0").alias("image_id"), ((F.col("o_orderkey") % 97) / 97).alias("s"), ((F.col("o_orderkey") % 89) / 89).alias("t"), F.lit(1.0).alias("footprint"))
+    out = X.texture(X.make_texture(G.fill(s, R64, [0], [1], [2], [4])).filter("mip < 2"), q, 64, 64, 1)
+    return out.select("id", (F.round(F.col("c0") + 1e-9, 6) + 0.0).alias("c0"))
+
+
+def _roundtrip(fmt: str) -> Query:
+    """Encode an image, decode it, and compare."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        a = G.fill(s, Roi(0, 16, 0, 9), [0, 0.25, 1], [1, 0.5, 0], [0.2, 0.4, 0.6], [0, 0, 0])
+        ship(s)
+        files = W.encoded(a, fmt)
+        back = files.mapInPandas(_decoded, "y int, x int, c0 double")
+        return back.join(a.df.select("y", "x", F.col("c0").alias("was")), ["y", "x"]).agg(F.count("*").alias("n"), (F.max(F.abs(F.col("c0") - F.col("was"))) <= 0.005).alias("close"))
+
+    return query
+
+
+def _decoded(batches):
+    import numpy as np
+    import pandas as pd
+
+    from lumenframe.sources import codecs
+
+    for b in batches:
+        for content in b["content"]:
+            v = codecs.decode(bytes(content), "x.tga")
+            y, x = np.mgrid[0 : v.shape[0], 0 : v.shape[1]]
+            yield pd.DataFrame({"y": y.ravel(), "x": x.ravel(), "c0": v[:, :, 0].ravel()})
+
+
+register("make_texture", _pyramid, "select * from (values " + ", ".join(f"({m}, {4 ** (6 - m)}::bigint, 1.75)" for m in range(7)) + ") v(mip, n, mean)")
+_TS, _TT = (f"least(greatest(((o_orderkey % {k}) / {k}) * 64 - 0.5, 0), 63) / 63" for k in (97, 89))
+register("texture_bilinear", _lookups, f"with q as (select o_orderkey as id, {_TS} as u, {_TT} as v from orders) select id, round((1 - v) * u + v * ((1 - u) * 2 + u * 4) + 1e-9, 6) + 0.0 as c0 from q")
+for _fmt in ("pnm", "pfm", "bmp", "png", "hdr", "sgi", "fits", "zfile", "targa"):
+    register(f"format_{_fmt}", _roundtrip(_fmt), "select 144::bigint as n, true as close")
+register("stream_windows", lambda s, d: T.run_available(s, d, "events.parquet").select("kind", F.col("begin").cast("timestamp_ntz").alias("begin"), "n", (F.round("total", 4) + 0.0).alias("total")), "select event_type as kind, date_trunc('hour', ts) as begin, count(*) as n, round(sum(value), 4) + 0.0 as total from events group by all")
