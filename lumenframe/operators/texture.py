@@ -65,3 +65,36 @@ def udim_tile(s: Column, t: Column) -> tuple[Column, Column, Column]:
     """Number of the tile of a grid of files, and the coordinates in it."""
     u, v = F.floor(s), F.floor(t)
     return (1001 + u + 10 * v).cast("int"), s - u, t - v
+
+
+def bspline(f: Column) -> list[Column]:
+    """Weights of four texels in a row for the fraction f between the middle ones."""
+    cubed = lambda v: v * v * v
+    return [cubed(1 - f) / 6, 2 / 3 - f * f * (2 - f) / 2, 2 / 3 - (1 - f) * (1 - f) * (1 + f) / 2, cubed(f) / 6]
+
+
+def bicubic(a: Image, points: DataFrame) -> DataFrame:
+    """Samples at points (id, image_id, px, py in pixels) by 16 B-spline taps; beyond the data window is its border."""
+    d = a.spec.data
+    at = points.select("id", "image_id", (F.col("px") - 0.5).alias("sx"), (F.col("py") - 0.5).alias("sy"))
+    wx, wy = bspline(F.col("sx") - F.floor("sx")), bspline(F.col("sy") - F.floor("sy"))
+    clamp = lambda v, lo, hi: F.least(F.greatest(v, F.lit(lo)), F.lit(hi - 1)).cast("int")
+    taps = F.array(*[F.struct(clamp(F.floor("sx") + i - 1, d.x0, d.x1).alias("x"), clamp(F.floor("sy") + j - 1, d.y0, d.y1).alias("y"), (wx[i] * wy[j]).alias("k")) for i in range(4) for j in range(4)])
+    rows = at.withColumn("c", F.explode(taps)).select("id", "image_id", "c.*").join(a.df.drop("z"), ["image_id", "x", "y"], "left")
+    return rows.groupBy("id").agg(*[F.sum(F.col("k") * F.coalesce(c, F.lit(0.0))).alias(f"c{i}") for i, c in enumerate(a.c)])
+
+
+def texture3d(a: Image, points: DataFrame) -> DataFrame:
+    """Trilinear samples of a volume at points (id, image_id, px, py, pz in voxels), eight taps each; beyond the window is black."""
+    at = points.select("id", "image_id", *[(F.col(p) - 0.5).alias(s) for p, s in (("px", "sx"), ("py", "sy"), ("pz", "sz"))])
+    part = {s: F.col(s) - F.floor(s) for s in ("sx", "sy", "sz")}
+    side = lambda s, i: part[s] if i else 1 - part[s]
+    cell = lambda s, i: (F.floor(s) + i).cast("int")
+    taps = F.array(
+        *[
+            F.struct(cell("sx", i).alias("x"), cell("sy", j).alias("y"), cell("sz", k).alias("z"), (side("sx", i) * side("sy", j) * side("sz", k)).alias("k"))
+            for i in (0, 1) for j in (0, 1) for k in (0, 1)
+        ]
+    )
+    rows = at.withColumn("c", F.explode(taps)).select("id", "image_id", "c.*").join(a.df, ["image_id", "z", "y", "x"], "left")
+    return rows.groupBy("id").agg(*[F.sum(F.col("k") * F.coalesce(c, F.lit(0.0))).alias(f"c{i}") for i, c in enumerate(a.c)])

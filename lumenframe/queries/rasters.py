@@ -8,7 +8,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.core import Image, Roi, image
+from lumenframe.core import Image, Roi, grid, image
+from lumenframe.functions import types as Y
 from lumenframe.operators import arithmetic as A
 from lumenframe.operators import color as C
 from lumenframe.operators import deep as D
@@ -17,6 +18,7 @@ from lumenframe.operators import geometry as G
 from lumenframe.operators import neighborhood as N
 from lumenframe.operators import statistics as S
 from lumenframe.operators import texture as X
+from lumenframe.operators import userdefined as U
 from lumenframe.session import ship
 from lumenframe.sources import files as W
 from lumenframe.streaming import windows as T
@@ -402,3 +404,33 @@ register("texture_bilinear", _lookups, f"with q as (select o_orderkey as id, {_T
 for _fmt in ("pnm", "pfm", "bmp", "png", "hdr", "sgi", "fits", "zfile", "targa"):
     register(f"format_{_fmt}", _roundtrip(_fmt), "select 144::bigint as n, true as close")
 register("stream_windows", lambda s, d: T.run_available(s, d, "events.parquet").select("kind", F.col("begin").cast("timestamp_ntz").alias("begin"), "n", (F.round("total", 4) + 0.0).alias("total")), "select event_type as kind, date_trunc('hour', ts) as begin, count(*) as n, round(sum(value), 4) + 0.0 as total from events group by all")
+
+
+# --- user functions, types, volumes
+def _volume(s: SparkSession, d: str) -> DataFrame:
+    """A volume that is linear in x, y and z is sampled exactly."""
+    roi = Roi(0, 8, 0, 8, 0, 8)
+    a = grid(s, roi, [F.col("x") + F.col("y") * 2.0 + F.col("z") * 4.0], ["V"])
+    key = F.col("o_orderkey")
+    p = _table(s, d, "orders").select(key.alias("id"), F.lit("0").alias("image_id"), (1 + key % 50 / 10).alias("px"), (1 + key % 45 / 10).alias("py"), (1 + key % 40 / 10).alias("pz"))
+    return X.texture3d(a, p).select("id", (F.round("c0", 6) + 0.0).alias("c0"))
+
+
+def _bicubic(s: SparkSession, d: str) -> DataFrame:
+    """Splines reproduce a linear image away from its border."""
+    a = grid(s, R64, [F.col("x") + F.col("y") * 2.0], ["V"])
+    key = F.col("o_orderkey")
+    p = _table(s, d, "orders").select(key.alias("id"), F.lit("0").alias("image_id"), (4 + key % 500 / 10).alias("px"), (4 + key % 450 / 10).alias("py"))
+    return X.bicubic(a, p).select("id", (F.round("c0", 6) + 0.0).alias("c0"))
+
+
+register("texture3d", _volume, "select o_orderkey as id, round((1 + o_orderkey % 50 / 10.0 - 0.5) + (1 + o_orderkey % 45 / 10.0 - 0.5) * 2 + (1 + o_orderkey % 40 / 10.0 - 0.5) * 4, 6) + 0.0::double as c0 from orders")
+register("interp_bicubic", _bicubic, "select o_orderkey as id, round((4 + o_orderkey % 500 / 10.0 - 0.5) + (4 + o_orderkey % 450 / 10.0 - 0.5) * 2, 6) + 0.0::double as c0 from orders")
+unary("perpixel_op", lambda a: U.per_pixel(a, lambda v: v * 2 + 1), lambda i: f"c{i} * 2 + 1")
+register("perpixel_op2", lambda s, d: shown(U.per_pixel(_li(s, d, "A"), lambda v, w: v - w + 1e-9, _li(s, d, "R"))), f"{LI} select {_show_sql([f'a{i} - b{i} + 1e-9' for i in range(5)])} from a")
+register("parallel_image", lambda s, d: shown(U.per_tile(G.fill(s, R64, [0], [1], [2], [4]), lambda v, roi: v * 0.5, 16)), GRID.format(v="round(0.5 * ((1 - y / 63.0) * (x / 63.0) + y / 63.0 * ((1 - x / 63.0) * 2 + x / 63.0 * 4)), 6) + 0.0 as c0", y0=0, y1=64, x0=0, x1=64))
+register("bluenoise_image", lambda s, d: U.bluenoise_image(s).df.agg(F.count("*").alias("n"), *[(F.round(F.avg(f"c{i}"), 6) + 0.0).alias(f"m{i}") for i in range(4)]), "select 1024::bigint as n, 0.5 as m0, 0.5 as m1, 0.5 as m2, 0.5 as m3")
+register("noise_blue", lambda s, d: shown(U.blue_noise(G.zero(s, R64), 0.25, 0.75)))
+register("convert_type", lambda s, d: emb(s, d).df.select("image_id", "y", "x", Y.convert(Y.convert(F.abs("c0"), "float", "uint16"), "uint16", "uint8").alias("v")), f"{EMB} select image_id, y, x, cast(floor(floor(least(abs(c0) * 65535.0 + 0.5, 65535.0)) / 65535.0 * 255.0 + 0.5) as bigint) as v from a")
+register("dither", lambda s, d: G.noise(G.zero(s, R64, 1), "uniform", 0.0, 1.0).df.select("y", "x", Y.dither(F.lit(0.5), F.col("c0")).alias("v")).groupBy("v").agg((F.count("*") > 1000).alias("many")), "select * from (values (127::bigint, true), (128::bigint, true)) v(v, many)")
+register("swap_endian", lambda s, d: _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", Y.swap_endian(F.col("l_partkey").cast("long")).alias("v")), "select l_orderkey, l_linenumber, ((l_partkey & 255) << 24) | (((l_partkey >> 8) & 255) << 16) | (((l_partkey >> 16) & 255) << 8) | ((l_partkey >> 24) & 255) as v from lineitem")
