@@ -1,9 +1,9 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 The components of all vectors are dealt to `slices` groups; each (block of
-candidates, slice) is a node that knows only partial scores.  Phase 1 gathers
-each node's k best partial scores; from them and the least partial scores
-follows, for each query, a score that k candidates reach for certain.  A
+candidates, slice) is a node with partial scores.  Phase 1 gathers each node's k
+best, with what the block's other slices give them; from these follows, for each
+query, a score that k candidates reach for certain.  A
 candidate that reaches it has a partial score of at least its share in some
 slice, whatever the signs: phase 2 sends this cutoff to the nodes, which return
 all entries that reach the share.  Bounds from these entries drop most
@@ -112,22 +112,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slices: int = SLICES
                 out: tuple[list, ...] = ([], [], [], [], [])
                 q, c, parts = _partials(row, slices)
                 own = q[:, None] == c[None, :]
-                others = len(c) - own.sum(1)
-                for s, p in enumerate(parts):
-                    low = np.where(own, np.iinfo(np.int64).max, p).min(1)
-                    p = np.where(own, np.iinfo(np.int64).min, p)
-                    best = np.argpartition(-p, k - 1, 1)[:, :k] if len(c) > k else np.tile(np.arange(len(c)), (len(q), 1))
-                    for i, x in enumerate(best):
-                        x = x[c[x] != q[i]]
-                        if not others[i]:
-                            continue
-                        for col, v in zip(out, (q[i], s, c[x], p[i, x], low[i]), strict=True):
-                            col.append(np.broadcast_to(v, len(x)))
+                lows = [np.where(own, np.iinfo(np.int64).max, p).min(1) for p in parts]
+                listed = np.zeros(own.shape, bool)
+                for p in parts:
+                    p = np.where(own, -(2**62), p)
+                    best = np.argpartition(-p, k - 1, 1)[:, :k] if len(c) > k else np.broadcast_to(np.arange(len(c)), (len(q), len(c)))
+                    listed[np.arange(len(q))[:, None], best] = True
+                i, j = np.nonzero(listed & ~own)
+                for s, (p, low) in enumerate(zip(parts, lows, strict=True)):
+                    for col, v in zip(out, (q[i], s, c[j], p[i, j], low[i]), strict=True):
+                        col.append(np.broadcast_to(v, len(i)))
                 yield _entries(*out)
 
     lists = map_arrow(pairs, local_lists, ENTRIES)
-    by_part = Window.partitionBy("query_id", "slice").orderBy(F.desc("part"), "vec_id")
-    tops = lists.withColumn("n", F.row_number().over(by_part)).filter(F.col("n") <= k)
     lows = lists.groupBy("query_id").agg(*[F.min(F.when(F.col("slice") == s, F.col("low"))).alias(f"low{s}") for s in range(slices)])
 
     def known(entries: DataFrame) -> DataFrame:
@@ -138,7 +135,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slices: int = SLICES
         ranked = known(entries).join(bounds, "query_id").withColumn("least", least)
         return ranked.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("least"), "vec_id")))
 
-    first = with_floor(tops, lows).filter(F.col("n") == k).select("query_id", F.col("least").alias("cut"))
+    first = with_floor(lists, lows).filter(F.col("n") == k).select("query_id", F.col("least").alias("cut"))
     bounds = lows.join(first, "query_id", "left")
     cutoffs = (
         first.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"))
