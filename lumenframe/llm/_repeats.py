@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lumenframe.llm import _text
-from lumenframe.llm._spark import chunked, group_arrow, map_arrow
+from lumenframe.llm._spark import chunked, cogroup_arrow, group_arrow, map_arrow
 
 #: Units that a solver takes at once, at least; a block ends with a minimiser's group.
 BLOCK_UNITS = 400_000
@@ -174,7 +174,7 @@ def _segments(docs: DataFrame, keys: DataFrame, unit: Unit) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
-    return docs.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(send, SEGMENTS)
+    return cogroup_arrow(docs, keys, "chunk", send, SEGMENTS)
 
 
 def _solved(segments: DataFrame, unit: Unit, solve: Solver) -> DataFrame:
@@ -258,4 +258,4 @@ def remove_repeats(docs: DataFrame, unit: Unit, solve: Solver, finish: Callable[
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         return finish(*covered(left, right))
 
-    return texts.groupBy("chunk").cogroup(solved.groupBy("chunk")).applyInArrow(last, schema)
+    return cogroup_arrow(texts, solved, "chunk", last, schema)

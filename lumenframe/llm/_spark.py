@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +19,49 @@ CHUNK_BYTES = 12 << 20
 BATCH_ROWS = 1000
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def trim() -> None:
+    """Give free memory back: workers live on between tasks, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _trimmed(function: Callable) -> Callable:
+    """function of one or two tables, optionally after the key, that gives memory back when it is done."""
+
+    def run(*tables):
+        out = function(*tables)
+        trim()
+        return out
+
+    return {1: lambda a: run(a), 2: lambda a, b: run(a, b)}[function.__code__.co_argcount]
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if df.sparkSession.conf.get(name) == "10000":  # Spark's default, so nobody has chosen it
         df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
-def group_arrow(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+def group_arrow(df: DataFrame, keys: list[str], function: Callable, schema: str) -> DataFrame:
+    """function(key, table) of each group."""
     ship(df.sparkSession)
-    return df.groupBy(*keys).applyInArrow(function, schema)
+    return df.groupBy(*keys).applyInArrow(_trimmed(function), schema)
+
+
+def cogroup_arrow(a: DataFrame, b: DataFrame, key: str, function: Callable, schema: str) -> DataFrame:
+    """function(table of a, table of b) of each key."""
+    ship(a.sparkSession)
+    return a.groupBy(key).cogroup(b.groupBy(key)).applyInArrow(_trimmed(function), schema)
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ WINDOW, GRAIN, SHARD_ITEMS, QUERY_TERMS, K1, B = 4096, 32, 2048, 16, 1.2, 0.75
 #: Follows the ids of every document.
 END_ID = 2
 #: Distinct words whose ids a worker keeps at most.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ITEMS = "row long, doc_id long, n long, whole binary, prefixes binary, terms binary, counts binary"
 # Fixed value: how the tokenizer's file splits words.
