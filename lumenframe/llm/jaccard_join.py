@@ -9,7 +9,9 @@ copies in linear work.  In buckets whose members are still in different
 components, a class can have a link only if enough of its n-grams occur in any
 other class there; a second round verifies the pairs of those that can, between
 components.  So each pair that shares a bucket is in one component or known to be
-below the threshold, and no group's pairs are all emitted.
+below the threshold.  Links are counted once components are known: a component's
+classes are dealt to blocks, and each pair of blocks is one task's work that
+compares all its pairs and gives counts, so no group's pairs are all emitted.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from lumenframe.llm._components import components
 from lumenframe.llm._spark import group_arrow, map_arrow, saved
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.998, 128
+#: Classes and n-grams of one block of a component, about.
+BLOCK_SETS, BLOCK_GRAMS = 2048, 2_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -178,13 +182,111 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("u", "v", (common / (F.size("a") + F.size("b") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
-def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(members, links).
+def _common(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """How many n-grams each set of a shares with each set of b, of no meaning for a set and itself; a set's n-grams are distinct."""
+    na, nb = len(a_at) - 1, len(b_at) - 1
+    names, times = np.unique(a, return_counts=True)
+    names = names[times > 1] if a is b else np.intersect1d(names, b)
+    out = np.zeros((na, nb), np.float32)
+    if not len(names):
+        return out
+
+    def entries(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        name = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+        fine = names[name] == grams
+        row, name = np.repeat(np.arange(len(at) - 1), np.diff(at))[fine], name[fine]
+        order = np.argsort(name, kind="stable")
+        return row[order], name[order], np.searchsorted(name[order], np.arange(len(names) + 1))
+
+    (ra, ka, fa), (rb, kb, fb) = entries(a, a_at), entries(b, b_at)
+    # N-grams that many sets have go through matrices, all others through their pairs of sets.
+    many = np.diff(fa) * np.diff(fb) > 4096
+    rare = np.flatnonzero(~many[ka])
+    size = np.diff(fb)[ka[rare]]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    i = 0
+    while i < len(rare):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + 4_000_000, "right")) - 1)
+        at = np.arange(upto[i], upto[j]) + np.repeat(fb[ka[rare[i:j]]] - upto[i:j], size[i:j])
+        out += np.bincount(np.repeat(ra[rare[i:j]], size[i:j]) * nb + rb[at], minlength=na * nb).reshape(na, nb)
+        i = j
+    wide = np.cumsum(many) - 1
+    for lo in range(0, int(many.sum()), 2048):
+        x, y = np.zeros((na, 2048), np.float32), np.zeros((nb, 2048), np.float32)
+        for m, row, name in ((x, ra, ka), (y, rb, kb)):
+            own = many[name] & (wide[name] >= lo) & (wide[name] < lo + 2048)
+            m[row[own], wide[name[own]] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def _links(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of a, and for each of b, how many of the other side reach the threshold."""
+    common, sizes = _common(a, a_at, b, b_at), np.diff(b_at)
+    if a is b:
+        np.fill_diagonal(common, 0)
+    left, right = np.zeros(len(a_at) - 1, np.int64), np.zeros(len(sizes), np.int64)
+    for i in range(0, len(left), 256):
+        part = common[i : i + 256].astype(np.float64)
+        hit = part / (np.diff(a_at)[i : i + 256, None] + sizes - part) >= threshold
+        left[i : i + 256] = hit.sum(1)
+        right += hit.sum(0)
+    return left, right
+
+
+def link_counts(labels: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """cls and n_links of each class in labels (node, component), by its n-grams in sets: all pairs of a component are compared."""
+    placed = labels.select(F.col("node").alias("cls"), "component")
+    sizes = saved(
+        sets.select("cls", F.size("grams").alias("grams")).join(placed, "cls")
+        .groupBy("component").agg(F.count("*").alias("n"), F.sum("grams").alias("grams"))
+    )
+    entries = sizes.filter("n > 2").agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
+    shards = int(entries // BLOCK_GRAMS) + 1
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    placed = placed.join(sizes.select("component", "n", blocks.alias("blocks")), "component")
+    # Small components share groups, in which each is compared for itself.
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    groups = (
+        placed.filter("n > 2").withColumn("block", own)
+        .withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))))
+        .select(
+            "cls", "component", "block",
+            F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(shards))).alias("home"),
+            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        )
+    )
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        table = table.sort_by([("component", "ascending"), ("block", "ascending")]).combine_chunks()
+        lists = table.column("grams").combine_chunks()
+        grams, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        part = table.column("component" if i < 0 else "block").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+        n = np.zeros(len(part), np.int64)
+        sides = [(grams[at[x] : at[y]], at[x : y + 1] - at[x], x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        if i < 0 or i == j:
+            for g, own_at, x, y in sides:
+                n[x:y] = _links(g, own_at, g, own_at, threshold)[0]
+        elif len(sides) == 2:
+            (a, a_at, x, y), (b, b_at, _, z) = sides
+            n[x:y], n[y:z] = _links(a, a_at, b, b_at, threshold)
+        return pa.table({"cls": table.column("cls"), "n": n})
+
+    counted = group_arrow(groups.join(sets, "cls"), ["home", "i", "j"], count, "cls long, n long")
+    # Two classes in a component have the one link between them.
+    pairs = placed.filter("n = 2").select("cls", F.lit(1).cast("long").alias("n"))
+    return counted.unionByName(pairs).groupBy("cls").agg(F.sum("n").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, labels, sets).
 
     members has for each row of docs: row, key, doc_id, cls (texts with the same n-gram
-    set share it), component (linked classes share it).  links are the verified
-    pairs of classes u < v with their jaccard.  Rows without a word (null, empty)
-    are alone.  Repeated rows are members of one class.  Words are as they stand,
+    set share it), component (linked classes share it).  labels has node and component
+    of the classes that have a link, and sets the n-grams of all that share a bucket;
+    link_counts takes both.  Rows without a word (null, empty) are alone.  Repeated rows are members of one class.  Words are as they stand,
     of whole texts.
     """
     bands, rows = choose_bands(threshold, recall)
@@ -225,8 +327,7 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     )
     more = saved(_verified(open_pairs, sets, threshold))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = saved(components(links))
+        labels = saved(components(links.unionByName(more)))
     out = (
         signed.select("row", "key", "doc_id", "n_grams", "s1", "s2")
         .join(classes.select("n_grams", "s1", "s2", "cls"), ["n_grams", "s1", "s2"], "left")
@@ -234,26 +335,30 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
         .join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
         .select("row", "key", "doc_id", "cls", F.coalesce("component", "cls").alias("component"))
     )
-    return out, links
+    return out, labels, sets
+
+
+def _marked(members: DataFrame) -> DataFrame:
+    members = members.withColumn("order", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    by_component = members.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min("order").alias("first"))
+    return members.join(by_component, "component").select("row", "key", "doc_id", "cls", "class_id", (F.col("order") == F.col("first")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """row, key, doc_id, class_id, copy_id, n_links, kept for each row of docs.
 
     class_id and copy_id are the least doc_id of the row's component and of the
-    rows with its n-gram set, n_links the verified links of that set's class, and
-    kept marks one row of each component: that with the least doc_id and row.
+    rows with its n-gram set, n_links the other sets in its component that reach
+    the threshold with that set, and kept marks one row of each component: that
+    with the least doc_id and row.
     """
-    members, links = jaccard_join(docs, n, threshold, recall)
-    members = members.withColumn("order", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    counts = links.select(F.explode(F.array("u", "v")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    members, labels, sets = jaccard_join(docs, n, threshold, recall)
     by_class = members.groupBy("cls").agg(F.min("doc_id").alias("copy_id"))
-    by_component = members.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min("order").alias("first"))
     return (
-        members.join(by_component, "component")
+        _marked(members)
         .join(by_class, "cls")
-        .join(counts, "cls", "left")
-        .select("row", "key", "doc_id", "class_id", "copy_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("order") == F.col("first")).alias("kept"))
+        .join(link_counts(labels, sets, threshold), "cls", "left")
+        .select("row", "key", "doc_id", "class_id", "copy_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "kept")
     )
 
 
@@ -262,7 +367,7 @@ def one_of_each(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, r
 
     Rows that share a doc_id, or have none and share the text, are one document.
     """
-    found = near_duplicates(docs, n, threshold, recall)
+    found = _marked(jaccard_join(docs, n, threshold, recall)[0])
     stay = found.filter("kept").select("key")
     gone = found.filter("not kept").select("key").distinct().join(stay, "key", "left_anti").withColumnRenamed("key", "__key")
     key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))

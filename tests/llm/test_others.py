@@ -64,6 +64,39 @@ def test_jaccard(spark, none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 8])
+def test_jaccard_links(spark, block, monkeypatch):
+    import random
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    rng = random.Random(8)
+    texts = {}
+    for g, copies in enumerate((3, 30, 2, 12)):
+        base = words(rng, 200).split()
+        for k in range(copies):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4 if g else 2)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+    texts[1000] = texts[5]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    sets = {d: shingles(t) for d, t in texts.items()}
+    kinds = {frozenset(s) for s in sets.values()}
+    want = {d: sum(k != s and len(k & s) >= 0.8 * len(k | s) for k in kinds) for d, s in sets.items()}
+    assert got == want and want[0] == 2 and max(want.values()) > 20
+
+
+def test_common():
+    rng = np.random.default_rng(3)
+    for most in (6, 300):
+        a, b = ([np.unique(rng.integers(0, most, rng.integers(1, 40))) for _ in range(n)] for n in (90, 130))
+        flat = lambda x: (np.concatenate(x), np.concatenate([[0], np.cumsum([len(v) for v in x])]))
+        assert jaccard_join._common(*flat(a), *flat(b)).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+        g, at = flat(a)
+        got = jaccard_join._common(g, at, g, at)
+        assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(a) for j, y in enumerate(a) if i != j)
+
+
 def test_jaccard_odd(odd):
     got = jaccard_join.near_duplicates(odd).collect()
     by = {r["doc_id"]: r["class_id"] for r in got}
