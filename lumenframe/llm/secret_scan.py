@@ -35,8 +35,8 @@ SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 #: Code points between a weak secret and what complements it.
 REACH = 200
 
-_TOKEN = np.zeros(256, np.int8)
-_TOKEN[[c for c in range(256) if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_=-")]] = 1
+_TOKEN = np.zeros(256, bool)
+_TOKEN[[c for c in range(256) if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_=-")]] = True
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -100,10 +100,8 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _long_runs(data: np.ndarray, offsets: np.ndarray, least: int = 16) -> np.ndarray:
-    """For each row, whether it has `least` bytes in a row that a credential can be made of."""
-    ok = _TOKEN[data]
-    edges = np.diff(np.concatenate([[0], ok, [0]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    """For each row, whether it has `least` bytes in a row that a credential can be made of; runs end with their row."""
+    starts, ends, _ = _text.words(data, offsets, ~_TOKEN)
     starts = starts[ends - starts >= least]
     rows = np.zeros(len(offsets) - 1, bool)
     rows[np.searchsorted(offsets, starts, "right") - 1] = True
