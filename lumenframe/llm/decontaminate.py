@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are handled in blocks of bounded size, a stated query set against all
-documents.  A first pass counts, over all documents, in how many each n-gram of
-an item occurs; each item keeps its rarest n-grams as seeds.  A second pass joins
-passages of documents to items by these seeds and aligns the words of each pair
-locally, which tolerates replaced, missing and added words.
+documents.  All n-grams of an item are seeds.  Passages of documents are joined to
+items by these seeds; those with enough of an item's words to reach the score are
+aligned with it locally, which tolerates replaced, missing and added words.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm import _text
 from lumenframe.llm._spark import map_arrow
 
-SEED_WORDS, SEEDS, MIN_SCORE, ITEM_BLOCK = 3, 32, 0.5, 20_000
+SEED_WORDS, MIN_SCORE, ITEM_BLOCK = 3, 0.5, 20_000
 #: Smith-Waterman: what an equal word adds, and what another word or a gap takes.
 MATCH, MISMATCH, GAP = 2, -1, -1
 ALIGN_BATCH = 128
@@ -61,8 +60,8 @@ class Items:
         return at[fine], k[fine]
 
 
-def index_items(rows: list[tuple[int, str]], n: int, rare: dict[int, int] | None = None, seeds: int = SEEDS) -> Items:
-    """Without `rare` all n-grams are seeds; else each item's `seeds` rarest ones by these counts."""
+def index_items(rows: list[tuple[int, str]], n: int) -> Items:
+    """All n-grams of the items are seeds."""
     rows = sorted({(i, t) for i, t in rows if t is not None}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     raw = [t.encode() for _, t in rows]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
@@ -70,34 +69,10 @@ def index_items(rows: list[tuple[int, str]], n: int, rare: dict[int, int] | None
     grams, at = _text.grams(hashes, first, n)
     owners = np.repeat(np.arange(len(rows)), np.diff(at))
     places = np.arange(len(grams)) - at[owners] if len(grams) else np.zeros(0, np.int64)
-    if rare is not None and len(grams):
-        df = np.array([rare.get(g, 0) for g in grams.astype(np.int64).tolist()])
-        order = np.lexsort((places, df, owners))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - at[owners[order]]
-        keep = rank < seeds
-        grams, owners, places = grams[keep], owners[keep], places[keep]
     order = np.lexsort((places, owners, grams))
     return Items([i for i, _ in rows], [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], grams[order], owners[order], places[order])
 
 
-def _seed_counts(docs: DataFrame, items: Items, n: int) -> dict[int, int]:
-    """In how many rows of docs each n-gram of the items occurs; at most one entry for each of them."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = _text.utf8(batch.column(0))
-            for i, j in _text.steps(offsets):
-                grams, at = _text.grams(*_hashed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), n)
-                where, k = items.hits(grams)
-                pairs = np.unique(np.stack([np.searchsorted(at, where, "right"), k]), axis=1)
-                found, times = np.unique(pairs[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(items.seeds[found].astype(np.int64)), pa.array(times)], names=["seed", "n"])
-
-    rows = map_arrow(docs.select("text"), count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"]: r["n"] for r in rows.collect()}
-
-
 def align(queries: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of each pair, and the column at which it ends (exclusive)."""
     rows, cols = max(map(len, queries)), max(map(len, passages))
@@ -148,6 +123,11 @@ def _passages(items: Items, hashes: np.ndarray, first: np.ndarray, n: int) -> It
         yield int(row[a]), int(item[a]), max(0, lead - slack), min(length, max(tail, lead) + int(size[a]) + slack)
 
 
+def _can_reach(words: np.ndarray, passage: np.ndarray, min_score: float) -> bool:
+    """Whether so many of the item's words occur in the passage that an alignment could have min_score."""
+    return int(np.isin(words, passage).sum()) / len(words) >= min_score
+
+
 def _search(docs: DataFrame, items: Items, n: int, min_score: float) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +136,7 @@ def _search(docs: DataFrame, items: Items, n: int, min_score: float) -> DataFram
             for i, j in _text.steps(offsets):
                 hashes, first = _hashed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 found: dict[tuple[int, int], tuple] = {}
-                todo = sorted(_passages(items, hashes, first, n), key=lambda x: x[3] - x[2])
+                todo = sorted((x for x in _passages(items, hashes, first, n) if _can_reach(items.words[x[1]], hashes[first[x[0]] + x[2] : first[x[0]] + x[3]], min_score)), key=lambda x: x[3] - x[2])
                 for at in range(0, len(todo), ALIGN_BATCH):
                     part = todo[at : at + ALIGN_BATCH]
                     scores, ends = align([items.words[x[1]] for x in part], [hashes[first[x[0]] + x[2] : first[x[0]] + x[3]] for x in part])
@@ -173,7 +153,7 @@ def _search(docs: DataFrame, items: Items, n: int, min_score: float) -> DataFram
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), search, FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, seeds: int = SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, item_id, score, begin, end: passages (in words) of rows of docs that hold a test item or an edited copy.
 
     score is the alignment's score by that of an unchanged copy.  Null and empty
@@ -186,9 +166,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, see
     found = spark.createDataFrame([], FOUND)
     for b in range(blocks):
         own = [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        every = index_items(own, n)
-        if len(every.seeds):
-            found = found.unionByName(_search(docs, index_items(own, n, _seed_counts(docs, every, n), seeds), n, min_score))
+        items = index_items(own, n)
+        if len(items.seeds):
+            found = found.unionByName(_search(docs, items, n, min_score))
     return found
 
 

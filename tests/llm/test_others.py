@@ -124,6 +124,29 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_long(spark):
+    import random
+
+    rng = random.Random(6)
+    items = {k: words(rng, n, 10**6) for k, n in enumerate((59, 40, 120, 200, 200, 65))}
+    docs, want = [], {}
+    # Every so many words one is replaced; half an item and more, from either end; other documents hold exact copies.
+    for k, part, every in ((0, (2, 59), 5), (1, (0, 40), 4), (2, (0, 120), 4), (3, (95, 200), 200), (4, (0, 110), 30), (5, (0, 65), 5)):
+        copy = items[k].split()
+        copy[part[0]::every] = [f"z{rng.randrange(10**6)}" for _ in copy[part[0]::every]]
+        docs.append((k, f"{words(rng, 90, 10**6)} {' '.join(copy[part[0] : part[1]])} {words(rng, 70, 10**6)}"))
+    docs += [(100 + k, items[k]) for k in (0, 4)] + [(200, words(rng, 400, 10**6))]
+    for d, t in docs:
+        for k, item in items.items():
+            score = brute_align(item.split(), t.split()) / (2 * len(item.split()))
+            if score >= 0.5:
+                want[d, k] = score
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.contaminated(frame, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == want
+    assert set(want) == {(k, k) for k in items} | {(100, 0), (104, 4)}
+
+
 def brute_align(q, p):
     h = np.zeros((len(q) + 1, len(p) + 1), int)
     for i, a in enumerate(q):
