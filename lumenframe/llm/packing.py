@@ -1,8 +1,8 @@
 """Retrieval packing: sequences whose documents are lexical neighbours.
 
 Documents are tokenised once.  Whole windows of a long document are sequences of
-their own; what remains is an item that carries its token terms and the CRCs of
-its prefixes at every GRAIN tokens, so that it can later be cut without its ids.
+their own; what remains is an item that carries its token terms (and, for the
+document frequencies, the windows' other terms) and the CRCs of its prefixes at every GRAIN tokens, so that it can later be cut without its ids.
 Items are dealt at random to shards of bounded size.  A shard holds a BM25
 inverted index of its items, with document frequencies of all documents; each
 seed's query returns unused neighbours, which fill its window greedily; the one
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from lumenframe.llm import _text
 from lumenframe.llm._spark import group_arrow, map_arrow, saved
 
-WINDOW, GRAIN, SHARD_ITEMS, QUERY_TERMS, K1, B = 4096, 32, 2048, 16, 1.2, 0.75
+WINDOW, GRAIN, SHARD_ITEMS, K1, B = 4096, 32, 2048, 1.2, 0.75
 #: Follows the ids of every document.
 END_ID = 2
 #: Distinct words whose ids a worker keeps at most.
 CACHE_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-ITEMS = "row long, doc_id long, n long, whole binary, prefixes binary, terms binary, counts binary"
+ITEMS = "row long, doc_id long, n long, whole binary, prefixes binary, terms binary, counts binary, more binary"
 # Fixed value: how the tokenizer's file splits words.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -170,7 +170,7 @@ def token_items(docs: DataFrame, tokenizer: str) -> DataFrame:
             data, offsets = _text.utf8(batch.column(1))
             for i, j in _text.steps(offsets):
                 every, at = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                cols: list[list] = [[], [], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], [], []]
                 raw, bounds = every.astype("<u4").tobytes(), (at * 4).tolist()
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     n = (b - a) // 4
@@ -181,34 +181,36 @@ def token_items(docs: DataFrame, tokenizer: str) -> DataFrame:
                         c = crc(raw[x : min(x + GRAIN * 4, b)], c)
                         prefixes.append(c)
                     terms, counts = np.unique(every[rest // 4 : b // 4], return_counts=True)
-                    for col, v in zip(cols, (row, n, whole.tobytes(), prefixes.tobytes(), terms.astype("<u2").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()), strict=True):
+                    more = np.setdiff1d(every[a // 4 : rest // 4], terms) if rest > a else terms[:0]
+                    for col, v in zip(cols, (row, n, whole.tobytes(), prefixes.tobytes(), terms.astype("<u2").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), more.astype("<u2").tobytes()), strict=True):
                         col.append(v)
                     row += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), batch.column(0)[i:j], pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])],
-                    names=["row", "doc_id", "n", "whole", "prefixes", "terms", "counts"],
+                    names=["row", "doc_id", "n", "whole", "prefixes", "terms", "counts", "more"],
                 )
 
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), items, ITEMS)
 
 
 def document_frequencies(items: DataFrame, vocabulary: int) -> np.ndarray:
-    """In how many items each token id occurs; the result is as large as the vocabulary, not as the input."""
+    """In how many documents each token id occurs; the result is as large as the vocabulary, not as the input."""
     part = 4096
     slices = -(-vocabulary // part)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slices * part, np.int64)
         for batch in batches:
-            for terms in batch.column(0):
-                total[np.frombuffer(terms.as_py(), "<u2")] += 1
+            for column in batch.columns:  # no term is in both
+                for terms in column:
+                    total[np.frombuffer(terms.as_py(), "<u2")] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in total.reshape(slices, part)], pa.binary())], names=["slice", "counts"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
 
-    out = group_arrow(map_arrow(items.select("terms"), partial, "slice int, counts binary"), ["slice"], merge, "slice int, counts binary")
+    out = group_arrow(map_arrow(items.select("terms", "more"), partial, "slice int, counts binary"), ["slice"], merge, "slice int, counts binary")
     total = np.zeros((slices, part), np.int64)
     for r in out.collect():
         total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
@@ -236,18 +238,16 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(df) + 1))
-        self.queries = [t[np.argsort(-self.idf[t] * np.sqrt(c), kind="stable")[:QUERY_TERMS]] for t, c in zip(terms, counts, strict=True)]
+        self.queries = terms
         self.size = len(terms)
 
     def neighbours(self, item: int, unused: np.ndarray) -> list[int]:
-        """Unused items that share a term of the seed's query, best first; ties to the smaller item."""
+        """Unused items that share a term with the seed, best first; ties to the smaller item."""
         spans = [slice(self.first[t], self.first[t + 1]) for t in self.queries[item]]
         owners = np.concatenate([self.owner[s] for s in spans])
         scores = np.bincount(owners, np.concatenate([self.weight[s] for s in spans]), self.size)
         scores[~unused] = 0
         few = np.flatnonzero(scores > 0)
-        if len(few) > 64:  # a window seldom takes more; the rest is asked for again from the next seed
-            few = few[np.sort(np.argpartition(-scores[few], 64)[:64])]
         return few[np.argsort(-scores[few], kind="stable")].tolist()
 
 
@@ -322,4 +322,4 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 49408) -> DataFrame:
         names = [x.split()[0] for x in PIECES.split(", ")]
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names)
 
-    return group_arrow(items.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), ["shard"], shard, PIECES)
+    return group_arrow(items.drop("more").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), ["shard"], shard, PIECES)

@@ -215,6 +215,29 @@ def test_packing(odd, odd_rows, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_neighbours():
+    # 150 items share term 0 with the first one, whose 20 other terms are rarer.
+    terms = [np.arange(21)] + [np.array([0, 100 + i]) for i in range(150)] + [np.array([90])]
+    counts = [np.ones(len(t), np.uint8) for t in terms]
+    df = np.bincount(np.concatenate(terms), minlength=300)
+    lengths = np.array([len(t) for t in terms])
+    index = packing.Index(terms, counts, lengths, df, len(terms), 2.0)
+    unused = np.ones(len(terms), bool)
+    unused[[0, 5]] = False
+    assert index.neighbours(0, unused) == [i for i in range(1, 151) if i != 5]
+
+
+def test_packing_frequencies(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = ["zebra " + "the river " * 2600, "the zebra", "a river", None]
+    ids = [set(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) | {2} for t in texts]
+    items = packing.token_items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    got = packing.document_frequencies(items, 49408)
+    assert {i: int(got[i]) for i in np.flatnonzero(got)} == Counter(i for s in ids for i in s)
+
+
 def test_range_crc():
     ids = np.arange(500, dtype="<u4")
     crc = lambda a, b: zlib.crc32(ids[a:b].tobytes())
