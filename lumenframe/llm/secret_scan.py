@@ -9,7 +9,7 @@ join pairs each weak secret with the identifiers and endpoints that lie at most
 from __future__ import annotations
 
 import bisect
-import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -59,11 +59,13 @@ def _mixed(s: str) -> bool:
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
     """Weak candidates that complement each other in one scope; those that overlap a base span are that span."""
-    ends = sorted((b, e) for b, e, _ in base)
+    begins = sorted(b for b, _, _ in base)
+    #: The furthest end of all base spans that begin no later.
+    furthest = list(itertools.accumulate((e for _, e in sorted((b, e) for b, e, _ in base)), max))
 
     def free(m: re.Match) -> bool:
-        k = bisect.bisect_left(ends, (m.end(), -1))
-        return not any(e > m.start() for _, e in ends[max(0, k - 8) : k])
+        k = bisect.bisect_left(begins, m.end())
+        return not k or furthest[k - 1] <= m.start()
 
     secrets = [(m.start(), m.end(), "weak_secret") for m in WEAK_SECRET.finditer(text) if _mixed(m[0]) and "://" not in m[0] and free(m)]
     access = [
@@ -114,7 +116,8 @@ def secret_scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     base_spans and spans are kind:start:end joined by commas, in code points with
     the end exclusive, by start, kind and end; base_spans has the base patterns
     alone.  A null text is empty and has no spans; a null doc_id stays null.
-    Repeated rows are scanned each for itself.
+    Repeated rows are scanned each for itself.  Added spans never overlap base spans.
+    Texts are scanned whole, one at a time; a task holds about ten times its longest.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +147,3 @@ def secret_scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
         scan,
         "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string"
     )
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
