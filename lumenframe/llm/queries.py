@@ -105,16 +105,16 @@ from judged group by doc_id
 
 _TOP_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
   where embedding is not null and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 pairs as (
-  select q.vec_id as query_id, c.vec_id as vec_id,
+  select q.r, q.vec_id as query_id, c.vec_id as vec_id,
          cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+  from v q join v c on q.vec_id % 50 = 0 and c.r <> q.r)
 select query_id, cast(rank as int) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from pairs)
 where rank <= 5
 """
 
