@@ -2,11 +2,17 @@
 
 Documents are tokenised once.  Whole windows of a long document are sequences of
 their own; what remains is an item that carries its token terms (and, for the
-document frequencies, the windows' other terms) and the CRCs of its prefixes at every GRAIN tokens, so that it can later be cut without its ids.
-Items are dealt at random to shards of bounded size.  A shard holds a BM25
-inverted index of its items, with document frequencies of all documents; each
-seed's query returns unused neighbours, which fill its window greedily; the one
-that no longer fits is cut and starts the next window.
+document frequencies, the windows' other terms) and the CRCs of its prefixes at
+every GRAIN tokens, so that it can later be cut without its ids.
+
+Items are dealt to shards by content: they are ordered by their rarest terms that
+another document has as well (the route), so that copies and documents about the
+same rare things lie side by side, and each range of about SHARD_ITEMS items is a
+shard.  As the order ends with the row, a route that very many items share goes
+to several shards.  A shard holds a BM25 inverted index of its items, with
+document frequencies of all documents; each seed's query returns unused
+neighbours, which fill its window greedily; the one that no longer fits is cut
+and starts the next window.
 """
 
 from __future__ import annotations
@@ -25,10 +31,14 @@ from lumenframe.llm import _text
 from lumenframe.llm._spark import group_arrow, map_arrow, saved
 
 WINDOW, GRAIN, SHARD_ITEMS, K1, B = 4096, 32, 2048, 1.2, 0.75
+#: Shards that a task packs one after the other; rarest terms of a route.
+TASK_SHARDS, ROUTE = 4, 4
+#: Terms of more items of a shard than one in so many are scored as rows of a matrix.
+COMMON = 16
 #: Follows the ids of every document.
 END_ID = 2
-#: Distinct words whose ids a worker keeps at most.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a worker keeps between two steps, and bytes of text of a step.
+CACHE_WORDS, STEP = 150_000, 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ITEMS = "row long, doc_id long, n long, whole binary, prefixes binary, terms binary, counts binary, more binary"
 # Fixed value: how the tokenizer's file splits words.
@@ -47,7 +57,8 @@ class WordEncoder:
     """The ids of words (bytes without white space), as the tokenizer gives them; kept by 64-bit hash of the word.
 
     The tokenizer never joins two words, nor letters and signs, so a text's ids are
-    those of such parts.  Recently used ones stay when the store is full.
+    those of such parts.  The store is a sorted array of hashes beside all ids in a
+    row; when it is full, what the last step did not use goes.
     Plain words go to its BPE model in groups, without the costly normaliser; all
     others go through the tokenizer as they are.
     """
@@ -67,13 +78,8 @@ class WordEncoder:
         same = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in set(same)]
         self.alphabet = {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.clear()
-        self.older = (self.slots, self.flat, self.ends)
-
-    def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        #: Slot k's ids are flat[ends[k] : ends[k + 1]].
-        self.flat, self.ends = array("H"), array("q", [0])
+        #: Sorted hashes; word k's ids are flat[ends[k] : ends[k + 1]].
+        self.keys, self.flat, self.ends = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def _slow(self, word: str) -> bytes:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
@@ -114,6 +120,19 @@ class WordEncoder:
         for parts in split:
             yield parts if isinstance(parts, bytes) else pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
+    def _store(self, used: np.ndarray, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Take in the ids of new keys (sorted, not yet stored); a full store first drops all but the used keys."""
+        old, size = self.keys, np.diff(self.ends)
+        keep = np.isin(old, used, assume_unique=True) if len(old) + len(keys) > CACHE_WORDS else np.ones(len(old), bool)
+        every = np.concatenate([old[keep], keys])
+        order = np.argsort(every)
+        sizes = np.concatenate([size[keep], np.array([len(x) // 2 for x in ids], np.int64)])
+        flat = np.concatenate([self.flat[np.repeat(keep, size)], np.frombuffer(b"".join(ids), np.uint16)])
+        begin = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        self.keys, self.ends = every[order], ends
+        self.flat = flat[np.arange(ends[-1]) + np.repeat(begin[order] - ends[:-1], sizes[order])]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows' texts, each text followed by END_ID, and len + 1 offsets."""
         raw = data.tobytes()
@@ -124,27 +143,14 @@ class WordEncoder:
             kind = _CLASS[data]
             starts, ends, first = _text.words(data, offsets, borders=kind[1:] * kind[:-1] == 2)
         keys, where, which = np.unique(_text.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slots) > CACHE_WORDS // 2:
-            self.older = (self.slots, self.flat, self.ends)
-            self.clear()
-        names = keys.tolist()
-        missing = [k for k, h in enumerate(names) if h not in self.slots]
-        if missing:
-            slots, flat, old_ends = self.older
-            again = [k for k in missing if names[k] in slots]
-            missing = [k for k in missing if names[k] not in slots]
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(missing):
             b, e = starts[where[missing]].tolist(), ends[where[missing]].tolist()
-            for k, ids in zip(missing, self._ids([raw[x:y] for x, y in zip(b, e, strict=True)]), strict=True):
-                self.slots[names[k]] = len(self.ends) - 1
-                self.flat.frombytes(ids)
-                self.ends.append(len(self.flat))
-            for k in again:
-                at = slots[names[k]]
-                self.slots[names[k]] = len(self.ends) - 1
-                self.flat.extend(flat[old_ends[at] : old_ends[at + 1]])
-                self.ends.append(len(self.flat))
-        slot = np.array([self.slots[h] for h in names], np.int64)[which]
-        begins, flat = np.array(self.ends, np.int64), np.array(self.flat, np.uint32)
+            new = list(self._ids([raw[x:y] for x, y in zip(b, e, strict=True)]))
+            self._store(keys, keys[missing], new)
+        slot = np.searchsorted(self.keys, keys)[which]
+        begins, flat = self.ends, self.flat
         size = (begins[1:] - begins[:-1])[slot]
         upto = np.concatenate([[0], np.cumsum(size)])
         rows = upto[first] + np.arange(len(first))
@@ -168,7 +174,7 @@ def token_items(docs: DataFrame, tokenizer: str) -> DataFrame:
         crc, row, most = zlib.crc32, TaskContext.get().partitionId() << 40, WINDOW * 4
         for batch in batches:
             data, offsets = _text.utf8(batch.column(1))
-            for i, j in _text.steps(offsets):
+            for i, j in _text.steps(offsets, STEP):
                 every, at = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cols: list[list] = [[], [], [], [], [], [], []]
                 raw, bounds = every.astype("<u4").tobytes(), (at * 4).tolist()
@@ -182,7 +188,7 @@ def token_items(docs: DataFrame, tokenizer: str) -> DataFrame:
                         prefixes.append(c)
                     terms, counts = np.unique(every[rest // 4 : b // 4], return_counts=True)
                     more = np.setdiff1d(every[a // 4 : rest // 4], terms) if rest > a else terms[:0]
-                    for col, v in zip(cols, (row, n, whole.tobytes(), prefixes.tobytes(), terms.astype("<u2").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), more.astype("<u2").tobytes()), strict=True):
+                    for col, v in zip(cols, (row, n, whole.tobytes(), prefixes.tobytes(), terms.astype("<u2").tobytes(), counts.astype("<u2").tobytes(), more.astype("<u2").tobytes()), strict=True):
                         col.append(v)
                     row += 1
                 yield pa.RecordBatch.from_arrays(
@@ -217,6 +223,22 @@ def document_frequencies(items: DataFrame, vocabulary: int) -> np.ndarray:
     return total.ravel()
 
 
+def routed(items: DataFrame, df: np.ndarray) -> DataFrame:
+    """items with route: its ROUTE rarest terms that another document has too, the rarest first, as bytes that sort so."""
+    shared = np.flatnonzero(df > 1)
+    rank = np.zeros(len(df), ">u2")
+    rank[shared[np.argsort(df[shared], kind="stable")]] = np.arange(len(shared))
+    fine = df > 1
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [np.frombuffer(x, "<u2") for x in batch.column(batch.schema.get_field_index("terms")).to_pylist()]
+            routes = [np.sort(rank[t[fine[t]]])[:ROUTE].tobytes() for t in every]
+            yield batch.append_column("route", pa.array(routes, pa.binary()))
+
+    return map_arrow(items, route, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}, route binary")
+
+
 _ZEROS = bytes(WINDOW * 4)
 
 
@@ -227,28 +249,43 @@ def range_crc(prefix: int, until: int, length: int) -> int:
 
 
 class Index:
-    """BM25 inverted index of one shard's items."""
+    """BM25 inverted index of one shard's items; terms that many items have are rows of a matrix, all others posting lists."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, df: np.ndarray, n: int, mean: float):
-        owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
+        self.size, self.queries = len(terms), terms
+        owner = np.repeat(np.arange(self.size), [len(t) for t in terms])
+        term = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
         tf = np.concatenate(counts).astype(np.float32) if counts else np.zeros(0, np.float32)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))).astype(np.float32)
         order = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(df) + 1))
-        self.queries = terms
-        self.size = len(terms)
+        term, self.owner, self.weight = term[order], owner[order].astype(np.int32), weight[order]
+        self.first = np.searchsorted(term, np.arange(len(df) + 1))
+        common = np.flatnonzero(np.diff(self.first) > max(64, self.size // COMMON))
+        self.place = np.full(len(df), -1, np.int64)
+        self.place[common] = np.arange(len(common))
+        self.matrix = np.zeros((self.size, len(common)), np.float32)
+        many = self.place[term] >= 0
+        self.matrix[self.owner[many], self.place[term[many]]] = self.weight[many]
+
+    def scores(self, item: int) -> np.ndarray:
+        """The item's BM25 scores as a query, for all items."""
+        terms = self.queries[item]
+        place = self.place[terms]
+        asked = np.zeros(self.matrix.shape[1], np.float32)
+        asked[place[place >= 0]] = 1
+        spans = [slice(self.first[t], self.first[t + 1]) for t in terms[place < 0].tolist()]
+        out = self.matrix @ asked
+        if spans:
+            out = out + np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
+        return out
 
     def neighbours(self, item: int, unused: np.ndarray) -> list[int]:
         """Unused items that share a term with the seed, best first; ties to the smaller item."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.queries[item]]
-        owners = np.concatenate([self.owner[s] for s in spans])
-        scores = np.bincount(owners, np.concatenate([self.weight[s] for s in spans]), self.size)
-        scores[~unused] = 0
-        few = np.flatnonzero(scores > 0)
-        return few[np.argsort(-scores[few], kind="stable")].tolist()
+        few = np.flatnonzero(unused)
+        scores = self.scores(item)[few]
+        order = np.argsort(-scores, kind="stable")
+        return few[order[: np.count_nonzero(scores > 0)]].tolist()
 
 
 def fill_windows(lengths: np.ndarray, index: Index) -> Iterator[list[tuple[int, int, int]]]:
@@ -295,17 +332,16 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 49408) -> DataFrame:
     items = saved(token_items(docs, tokenizer))
     n, tokens = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df, mean = document_frequencies(items, vocabulary), max(1.0, tokens / max(n, 1))
-    shards = n // SHARD_ITEMS + 1
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def shard(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
+    def packed(table: pa.Table, sequence: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of a shard's items, and the next free sequence id."""
         ids, total = table.column("doc_id").to_pylist(), table.column("n").to_numpy()
         whole, prefixes, terms, counts = (
-            [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("whole", "<u4"), ("prefixes", "<u4"), ("terms", "<u2"), ("counts", np.uint8))
+            [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("whole", "<u4"), ("prefixes", "<u4"), ("terms", "<u2"), ("counts", "<u2"))
         )
         rest = total % WINDOW
         out: list[tuple] = []
-        sequence = key[0].as_py() << 32
         for d, n_tokens, crcs in zip(ids, total.tolist(), whole, strict=True):
             for k, c in enumerate(crcs.tolist()):
                 out.append((d, k * WINDOW, WINDOW, c, n_tokens, sequence, 0))
@@ -319,7 +355,20 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 49408) -> DataFrame:
                 out.append((ids[item], n_tokens - int(rest[item]) + start, length, c, n_tokens, sequence, offset))
                 offset += length
             sequence += 1
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names), sequence
 
-    return group_arrow(items.drop("more").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), ["shard"], shard, PIECES)
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence, held = TaskContext.get().partitionId() << 40, []
+        for batch in batches:
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= 2 * SHARD_ITEMS:
+                table = pa.Table.from_batches(held)
+                out, sequence = packed(table.slice(0, SHARD_ITEMS), sequence)
+                yield out
+                held = table.slice(SHARD_ITEMS).combine_chunks().to_batches()
+        if held:
+            yield packed(pa.Table.from_batches(held), sequence)[0]
+
+    order = ["route", "row"]
+    near = routed(items.drop("more"), df).repartitionByRange(n // (TASK_SHARDS * SHARD_ITEMS) + 1, *order).sortWithinPartitions(*order)
+    return map_arrow(near, shards, PIECES)
