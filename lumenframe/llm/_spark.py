@@ -64,6 +64,14 @@ def cogroup_arrow(a: DataFrame, b: DataFrame, key: str, function: Callable, sche
     return a.groupBy(key).cogroup(b.groupBy(key)).applyInArrow(_trimmed(function), schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, computed and written to the shared folder."""
     shared_dir(df.sparkSession)
@@ -73,12 +81,14 @@ def saved(df: DataFrame) -> DataFrame:
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """doc_id, text and chunk, and the number of chunks: it follows the bytes of all texts.
 
-    A chunk is a function of the row alone, so that a lost task gives the same again.
+    A chunk is a function of doc_id and text, so that a lost task gives the same
+    again and the rows of one doc_id lie in many chunks; only rows that are equal
+    in both share one.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = int(total // chunk_bytes) + 1
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(n)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(n)).cast("int").alias("chunk"),
     ), n

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _text
-from lumenframe.llm._spark import map_arrow
+from lumenframe.llm._spark import map_arrow, unused
 
 SEED_WORDS, MIN_SCORE, ITEM_BLOCK = 3, 0.5, 20_000
 #: Smith-Waterman: what an equal word adds, and what another word or a gap takes.
@@ -174,5 +174,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is in no finding; rows without doc_id stay."""
-    found = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("__found"), "left_anti")
+    name = unused(docs, "found")
+    found = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == F.col(name), "left_anti")

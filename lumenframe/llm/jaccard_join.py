@@ -7,11 +7,13 @@ band hashes.  Within a bucket, a first round verifies each member against the on
 that meets most others in all its buckets, which resolves large groups of near
 copies in linear work.  In buckets whose members are still in different
 components, a class can have a link only if enough of its n-grams occur in any
-other class there; a second round verifies the pairs of those that can, between
-components.  So each pair that shares a bucket is in one component or known to be
-below the threshold.  Links are counted once components are known: a component's
-classes are dealt to blocks, and each pair of blocks is one task's work that
-compares all its pairs and gives counts, so no group's pairs are all emitted.
+other class there; those that can, and are outside their leader's component, are
+held against the bucket's members block by block, and each returns one link to
+every other component it reaches.  So each pair that shares a bucket is in one
+component or known to be below the threshold, and rows stay in proportion to
+members.  Links are counted once components are known: a component's classes are
+dealt to blocks, and each pair of blocks is one task's work that compares all its
+pairs and gives counts, so no group's pairs are emitted.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import _text
 from lumenframe.llm._components import components
-from lumenframe.llm._spark import group_arrow, map_arrow, saved
+from lumenframe.llm._spark import group_arrow, map_arrow, saved, unused
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.998, 128
 #: Classes and n-grams of one block of a component, about.
@@ -234,6 +236,54 @@ def _links(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, thr
     return left, right
 
 
+def bucket_links(opened: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links u, v between components, of buckets' members (band, hash, cls, component, out).
+
+    Each class that is out is compared with all members of its buckets; of its links
+    to one other component it gives the one to the least class.
+    """
+    sized = saved(opened.join(sets.select("cls", F.size("grams").alias("grams")), "cls"))
+    # Buckets with the same members are compared once.
+    name = [F.sum(F.xxhash64(F.lit(salt), "cls", "out").cast("decimal(38,0)")).alias(f"s{salt}") for salt in (1, 2)]
+    size = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    buckets = (
+        sized.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("grams").alias("total"), size, *name)
+        .groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "hash")).alias("b"), F.first("blocks").alias("blocks"), F.first("total").alias("total"))
+    )
+    entries = buckets.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    shards = int(entries // BLOCK_GRAMS) + 1
+    placed = (
+        sized.join(buckets.select("b.band", "b.hash", "blocks"), ["band", "hash"])
+        .withColumns({"bucket": F.xxhash64("band", "hash"), "own": F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), "every": F.expr("sequence(0, blocks - 1)")})
+    )
+    home = F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(F.pmod(F.col("bucket"), F.lit(shards)))
+    columns = ["band", "hash", "cls", "component", home.alias("home")]
+    asking = placed.filter("out").select(*columns, F.lit(0).alias("side"), F.col("own").alias("i"), F.explode("every").alias("j"))
+    asked = placed.select(*columns, F.lit(1).alias("side"), F.explode("every").alias("i"), F.col("own").alias("j"))
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("band", "hash", "side", "cls")]).combine_chunks()
+        lists = table.column("grams").combine_chunks()
+        grams, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        band, hashes, side, cls, component = (table.column(c).to_numpy() for c in ("band", "hash", "side", "cls", "component"))
+        new = np.flatnonzero((band[1:] != band[:-1]) | (hashes[1:] != hashes[:-1])) + 1
+        found = []
+        for x, z in zip([0, *new.tolist()], [*new.tolist(), len(cls)], strict=True):
+            y = x + int(np.searchsorted(side[x:z], 1))
+            if x == y or y == z:
+                continue
+            a, b = at[x : y + 1], at[y : z + 1]
+            common = _common(grams[a[0] : a[-1]], a - a[0], grams[b[0] : b[-1]], b - b[0]).astype(np.float64)
+            hit = common / (np.diff(a)[:, None] + np.diff(b) - common) >= threshold
+            u, v = np.nonzero(hit & (component[x:y, None] != component[None, y:z]))
+            first = np.unique(np.stack([u, component[y + v]]), axis=1, return_index=True)[1]
+            found.append((cls[x + u[first]], cls[y + v[first]]))
+        u, v = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"u": u, "v": v})
+
+    return group_arrow(asking.unionByName(asked).join(sets, "cls"), ["home", "i", "j"], compare, "u long, v long").distinct()
+
+
 def link_counts(labels: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """cls and n_links of each class in labels (node, component), by its n-grams in sets: all pairs of a component are compared."""
     placed = labels.select(F.col("node").alias("cls"), "component")
@@ -317,17 +367,9 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     opened = saved(label.join(open_buckets, ["band", "hash"]).select("band", "hash", "cls", "component", (F.col("component") != F.col("head")).alias("out")))
     able = _able(sets.join(opened.select("cls").distinct(), "cls", "left_semi"), threshold)
     opened = saved(opened.join(able, "cls", "left_semi"))
-    open_pairs = (
-        opened.filter("out").select("band", "hash", F.col("cls").alias("x"), F.col("component").alias("xc"))
-        .join(opened, ["band", "hash"])
-        .filter("component != xc")
-        .select(F.least("x", "cls").alias("u"), F.greatest("x", "cls").alias("v"))
-        .distinct()
-        .join(stars, ["u", "v"], "left_anti")
-    )
-    more = saved(_verified(open_pairs, sets, threshold))
+    more = saved(bucket_links(opened, sets, threshold))
     if not more.isEmpty():
-        labels = saved(components(links.unionByName(more)))
+        labels = saved(components(links.select("u", "v").unionByName(more)))
     out = (
         signed.select("row", "key", "doc_id", "n_grams", "s1", "s2")
         .join(classes.select("n_grams", "s1", "s2", "cls"), ["n_grams", "s1", "s2"], "left")
@@ -350,7 +392,10 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     class_id and copy_id are the least doc_id of the row's component and of the
     rows with its n-gram set, n_links the other sets in its component that reach
     the threshold with that set, and kept marks one row of each component: that
-    with the least doc_id and row.
+    with the least doc_id and row.  Null and empty texts are alone, each row a
+    component of its own; a row without doc_id is never the least one of a
+    component that has a row with one.  A text is held whole in its task, in about
+    twenty times its bytes.
     """
     members, labels, sets = jaccard_join(docs, n, threshold, recall)
     by_class = members.groupBy("cls").agg(F.min("doc_id").alias("copy_id"))
@@ -369,6 +414,6 @@ def one_of_each(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, r
     """
     found = _marked(jaccard_join(docs, n, threshold, recall)[0])
     stay = found.filter("kept").select("key")
-    gone = found.filter("not kept").select("key").distinct().join(stay, "key", "left_anti").withColumnRenamed("key", "__key")
-    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
-    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").drop("__key").select(docs.columns)
+    key = unused(docs, "key")
+    gone = found.filter("not kept").select("key").distinct().join(stay, "key", "left_anti").withColumnRenamed("key", key)
+    return docs.withColumn(key, F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))).join(gone, key, "left_anti").select(docs.columns)
