@@ -115,8 +115,11 @@ def per_channel(values, n: int) -> list[float]:
 
 @dataclass(frozen=True)
 class Image:
+    """whole says that every pixel of the data window has a row; it is only set where that is sure."""
+
     df: DataFrame
     spec: Spec
+    whole: bool = False
 
     @property
     def c(self) -> list[Column]:
@@ -125,7 +128,11 @@ class Image:
     def with_channels(self, values: list[Column], names: list[str] | None = None) -> Image:
         names = tuple(names or self.spec.names[: len(values)])
         cols = [F.col(k) for k in KEYS] + [v.cast("double").alias(f"c{i}") for i, v in enumerate(values)]
-        return Image(self.df.select(*cols), replace(self.spec, names=names))
+        return Image(self.df.select(*cols), replace(self.spec, names=names), self.whole)
+
+    def shown(self, zero_stays: bool) -> Image:
+        """The image itself, if an operator makes zero of zero; else with all its pixels, as those without a row change as well."""
+        return self if zero_stays else self.dense()
 
     def within(self, roi: Roi | None, values: list[Column]) -> Image:
         """The values inside roi (all, if None), the present ones elsewhere."""
@@ -139,9 +146,16 @@ class Image:
 
     def dense(self) -> Image:
         """With a row for each pixel of the data window of each image."""
-        grid = self.df.select("image_id").distinct().join(_lattice(self.df.sparkSession, self.spec.data))
+        if self.whole:
+            return self
+        d = self.spec.data
+        if d.empty:
+            return Image(self.df.limit(0), self.spec, True)
+        grid = self.df.select("image_id").distinct()
+        for axis, lo, hi in (("z", d.z0, d.z1), ("y", d.y0, d.y1), ("x", d.x0, d.x1)):
+            grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
         df = grid.join(self.df, KEYS, "left").select(*KEYS, *[F.coalesce(c, F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(self.c)])
-        return Image(df, self.spec)
+        return Image(df, self.spec, True)
 
 
 def _lattice(spark: SparkSession, roi: Roi) -> DataFrame:
@@ -156,7 +170,7 @@ def _lattice(spark: SparkSession, roi: Roi) -> DataFrame:
 def grid(spark: SparkSession, roi: Roi, values: list[Column], names: list[str] | None = None, full: Roi | None = None, image_id: str = "0") -> Image:
     """A dense image whose channels are expressions of z, y and x."""
     df = _lattice(spark, roi).select(F.lit(image_id).alias("image_id"), "z", "y", "x", *[v.cast("double").alias(f"c{i}") for i, v in enumerate(values)])
-    return Image(df, Spec(roi, full or roi, tuple(names or default_names(len(values)))))
+    return Image(df, Spec(roi, full or roi, tuple(names or default_names(len(values)))), True)
 
 
 def image(df: DataFrame, data: Roi, names: list[str], full: Roi | None = None) -> Image:

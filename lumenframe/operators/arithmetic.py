@@ -13,13 +13,19 @@ from lumenframe.core import KEYS, Image, Roi, joined, per_channel, total
 Operand = Image | float | int | list | tuple
 
 
-def _binary(a: Operand, b: Operand, f: Callable[[Column, Column], Column], roi: Roi | None = None, extra: str = "copy") -> Image:
-    """f for each channel; of two images with different channel counts the rest is copied from the wider one, or left out."""
+def _binary(a: Operand, b: Operand, f: Callable[[Column, Column], Column], zero: Callable[[float, bool], float], roi: Roi | None = None, extra: str = "copy") -> Image:
+    """f for each channel; of two images with different channel counts the rest is copied from the wider one, or left out.
+
+    zero(v, first) is what f makes of 0 and the constant v, which is its first or its second operand.
+    """
     if not isinstance(a, Image):
         values = per_channel(a, b.spec.n)
+        b = b.shown(all(zero(v, True) == 0 for v in values))
         return b.within(roi, [f(F.lit(v), c) for v, c in zip(values, b.c, strict=True)])
     if not isinstance(b, Image):
-        return a.within(roi, [f(c, F.lit(v)) for c, v in zip(a.c, per_channel(b, a.spec.n), strict=True)])
+        values = per_channel(b, a.spec.n)
+        a = a.shown(all(zero(v, False) == 0 for v in values))
+        return a.within(roi, [f(c, F.lit(v)) for c, v in zip(a.c, values, strict=True)])
     df, x, y, spec = joined(a, b)
     out = [f(p, q) for p, q in zip(x, y, strict=False)]
     names = a.spec.names[: len(out)]
@@ -37,32 +43,32 @@ def _made(df, values: list[Column], spec) -> Image:
 
 
 def add(a: Operand, b: Operand, roi: Roi | None = None) -> Image:
-    return _binary(a, b, lambda p, q: p + q, roi)
+    return _binary(a, b, lambda p, q: p + q, lambda v, first: v, roi)
 
 
 def sub(a: Operand, b: Operand, roi: Roi | None = None) -> Image:
-    return _binary(a, b, lambda p, q: p - q, roi)
+    return _binary(a, b, lambda p, q: p - q, lambda v, first: v, roi)
 
 
 def absdiff(a: Operand, b: Operand, roi: Roi | None = None) -> Image:
-    return _binary(a, b, lambda p, q: F.abs(p - q), roi)
+    return _binary(a, b, lambda p, q: F.abs(p - q), lambda v, first: v, roi)
 
 
 def mul(a: Operand, b: Operand, roi: Roi | None = None) -> Image:
-    return _binary(a, b, lambda p, q: p * q, roi, "drop")
+    return _binary(a, b, lambda p, q: p * q, lambda v, first: 0.0, roi, "drop")
 
 
 def div(a: Operand, b: Operand, roi: Roi | None = None) -> Image:
     """A division by zero gives zero."""
-    return _binary(a, b, lambda p, q: F.when(q == 0, 0.0).otherwise(p / F.when(q != 0, q)), roi, "drop")
+    return _binary(a, b, lambda p, q: F.when(q == 0, 0.0).otherwise(p / F.when(q != 0, q)), lambda v, first: 0.0, roi, "drop")
 
 
 def maximum(a: Operand, b: Operand, roi: Roi | None = None) -> Image:
-    return _binary(a, b, lambda p, q: F.when(p > q, p).otherwise(q), roi, "drop")
+    return _binary(a, b, lambda p, q: F.when(p > q, p).otherwise(q), lambda v, first: max(v, 0.0), roi, "drop")
 
 
 def minimum(a: Operand, b: Operand, roi: Roi | None = None) -> Image:
-    return _binary(a, b, lambda p, q: F.when(p < q, p).otherwise(q), roi, "drop")
+    return _binary(a, b, lambda p, q: F.when(p < q, p).otherwise(q), lambda v, first: min(v, 0.0), roi, "drop")
 
 
 def mad(a: Operand, b: Operand, c: Operand, roi: Roi | None = None) -> Image:
@@ -82,15 +88,19 @@ def absolute(a: Image) -> Image:
 
 
 def invert(a: Image, roi: Roi | None = None) -> Image:
+    a = a.dense()
     return a.within(roi, [1 - c for c in a.c])
 
 
 def power(a: Image, b, roi: Roi | None = None) -> Image:
-    return a.within(roi, [F.pow(c, F.lit(v)) for c, v in zip(a.c, per_channel(b, a.spec.n), strict=True)])
+    values = per_channel(b, a.spec.n)
+    a = a.shown(min(values) > 0)
+    return a.within(roi, [F.pow(c, F.lit(v)) for c, v in zip(a.c, values, strict=True)])
 
 
 def normalize(a: Image, in_center: float = 0.0, out_center: float = 0.0, scale: float = 1.0) -> Image:
     """Unit length of the first three channels; a zero vector becomes out_center, a fourth channel stays."""
+    a = a.shown(in_center == 0 and out_center == 0)
     v = [c - in_center for c in a.c[:3]]
     length = F.sqrt(total([x * x for x in v]))
     return a.with_channels([F.when(length > 0, x / F.when(length > 0, length) * scale + out_center).otherwise(out_center) for x in v] + a.c[3:])
@@ -103,6 +113,7 @@ def channel_sum(a: Image, weights=1.0) -> Image:
 def clamp(a: Image, low=float("-inf"), high=float("inf"), clamp_alpha: bool = False, roi: Roi | None = None) -> Image:
     """NaN becomes low."""
     n = a.spec.n
+    a = a.shown(all(lo <= 0 <= hi for lo, hi in zip(per_channel(low, n), per_channel(high, n), strict=True)))
     out = []
     for i, (c, lo, hi) in enumerate(zip(a.c, per_channel(low, n), per_channel(high, n), strict=True)):
         v = F.when(F.isnan(c), lo).otherwise(F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
@@ -122,6 +133,8 @@ def contrast_remap(a: Image, black=0.0, white=1.0, low=0.0, high=1.0, scontrast=
     """Linear stretch, then a sigmoid if any scontrast is not 1, then low to high; equal black and white are a threshold."""
     n = a.spec.n
     args = [per_channel(v, n) for v in (black, white, low, high, scontrast, sthresh)]
+    #: Zero stays zero only where black maps it to the low end, and that is zero.
+    a = a.shown(all((b == 0 != w or b == w > 0) and lo == 0 for b, w, lo in zip(*args[:3], strict=True)))
     out = []
     for c, b, w, lo, hi, s, t in zip(a.c, *args, strict=True):
         r = F.when(c < b, 0.0).otherwise(1.0) if b == w else (c - b) / (w - b)
@@ -227,6 +240,7 @@ def polar_to_complex(a: Image) -> Image:
 
 def color_map(a: Image, knots: list[list[float]], channel: int = 0) -> Image:
     """Piecewise linear map of one channel (luma if negative) by evenly spaced colours."""
+    a = a.shown(not any(knots[0]))
     v = a.c[channel] if channel >= 0 else total([c * w for c, w in zip(a.c, LUMA, strict=False)])
     last = len(knots) - 1
     t = F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * last
@@ -249,6 +263,7 @@ def color_matrix(a: Image, m: list[float], unpremultiply: bool = False) -> Image
     """A 4x4 matrix (rows of 4, row vectors) on the first four channels."""
     src = unpremult(a) if unpremultiply else a
     n = min(4, src.spec.n)
+    src = src.shown(n == 4 or not any(m[12:]))
     v = src.c[:n] + [F.lit(1.0)] * (4 - n)
     out = src.with_channels([total([v[i] * m[4 * i + j] for i in range(4)]) for j in range(n)] + src.c[n:], list(src.spec.names))
     return premult(out) if unpremultiply else out

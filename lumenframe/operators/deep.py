@@ -1,13 +1,13 @@
 """Deep images: each pixel has an array of samples, ordered by depth.
 
 Columns image_id, z, y, x and samples: array of struct(R, G, B, A, Z, Zback).
-Everything is higher-order functions on the array: no shuffle but for the join
-of two images.
+Operators of one image are higher-order functions on the array, without a shuffle;
+the merge of two works on rows of samples.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.core import KEYS, Image
@@ -85,19 +85,53 @@ def flatten(deep: DataFrame) -> DataFrame:
     return folded.select(*KEYS, "f.R", "f.G", "f.B", "f.A", z.alias("depth"))
 
 
+def _depth(a: Column) -> Column:
+    return -F.log1p(-a)
+
+
 def deep_merge(a: DataFrame, b: DataFrame, cull: bool = False) -> DataFrame:
-    """Both images' samples, split where they overlap, sorted, and equal intervals merged."""
-    right = b.select(*KEYS, F.col("samples").alias("more"))
-    both = a.join(right, KEYS, "full_outer").select(*KEYS, F.expr(f"concat(coalesce(samples, {EMPTY}), coalesce(more, {EMPTY}))").alias("samples"))
-    cuts = "array_sort(array_distinct(concat(transform(samples, t -> t.Z), transform(samples, t -> t.Zback))))"
-    both = both.withColumn("cuts", F.expr(cuts))
-    # The pieces of a sample lie between its own ends and the cuts inside; each has its share of the interval.
-    ends = "concat(array(s.Z), filter(cuts, d -> d > s.Z and d < s.Zback), array(s.Zback))"
-    share = "((get(e, i + 1) - get(e, i)) / (s.Zback - s.Z))"
-    piece = _part("get(e, i)", "get(e, i + 1)", share)
-    pieces = f"flatten(transform(samples, s -> case when s.Zback > s.Z then flatten(transform(array({ends}), e -> transform(sequence(0, size(e) - 2), i -> {piece}))) else array(s) end))"
-    out = merge_overlaps(sort(both.withColumn("samples", F.expr(pieces)).drop("cuts")))
-    return occlusion_cull(out) if cull else out
+    """Both images' samples, split where they overlap, sorted, and equal intervals merged.
+
+    Within a sample its optical depth is even, and so are its colours by optical
+    depth.  So a piece between two neighbouring cuts of a pixel needs only sums over
+    the samples that cover it, which run along the pixel's cuts: rows grow with the
+    samples, not with their square.  Where opaque samples cover a piece, they alone
+    make it, each with the same share.
+    """
+    names = ("red", "green", "blue")
+    s = a.select(*KEYS, F.explode("samples").alias("s")).unionByName(b.select(*KEYS, F.explode("samples").alias("s"))).select(*KEYS, *[F.col(f"s.{k}").alias(v) for k, v in zip(FIELDS, (*names, "alpha", "front", "back"), strict=True)])
+    solid = F.col("alpha") >= 1
+    # Of a sample in depth: what it adds to a unit of depth, from Z to Zback; faint ones by colour alone.
+    faint = F.col("alpha") < 1e-12
+    length = F.col("back") - F.col("front")
+    dense = F.when(solid, 0.0).otherwise(_depth(F.col("alpha")) / length)
+    paint = [F.when(solid, 0.0).when(faint, F.col(c) / length).otherwise(F.col(c) / F.col("alpha") * _depth(F.col("alpha")) / length) for c in names]
+    bulk = [F.when(solid, F.col(c)).otherwise(0.0) for c in names]
+    parts = [dense.alias("d"), *[v.alias(f"p{c}") for c, v in zip(names, paint, strict=True)], *[v.alias(f"o{c}") for c, v in zip(names, bulk, strict=True)], solid.cast("int").alias("solid"), F.lit(1).alias("n")]
+    sums = ["d", *[f"p{c}" for c in names], *[f"o{c}" for c in names], "solid", "n"]
+    long = s.filter("back > front")
+    opening = long.select(*KEYS, F.col("front").alias("z_"), *parts)
+    closing = long.select(*KEYS, F.col("back").alias("z_"), *parts).select(*KEYS, "z_", *[(-F.col(c)).alias(c) for c in sums])
+    cuts = opening.unionByName(closing).groupBy(*KEYS, "z_").agg(*[F.sum(c).alias(c) for c in sums])
+    # Points cut what spans them.
+    points = s.filter("not back > front").withColumn("z_", F.col("front"))
+    cuts = cuts.unionByName(points.select(*KEYS, "z_").distinct().select(*KEYS, "z_", *[F.lit(0).alias(c) for c in sums])).groupBy(*KEYS, "z_").agg(*[F.sum(c).alias(c) for c in sums])
+    along = Window.partitionBy(*KEYS).orderBy("z_")
+    running = cuts.select(*KEYS, F.col("z_").alias("front"), F.lead("z_").over(along).alias("back"), *[F.sum(c).over(along).alias(c) for c in sums]).filter("n > 0")
+    size = F.col("back") - F.col("front")
+    pieces = running.select(*KEYS, "front", "back", "solid", "n", (F.col("d") * size).alias("depth"), *[(F.col(f"p{c}") * size).alias(f"p{c}") for c in names], *[F.col(f"o{c}") for c in names])
+    alike = points.groupBy(*KEYS, "front", "back").agg(
+        F.sum(solid.cast("int")).alias("solid"), F.count("*").alias("n"), F.sum(F.when(solid, 0.0).otherwise(_depth(F.col("alpha")))).alias("depth"),
+        *[F.sum(F.when(solid, 0.0).when(faint, F.col(c)).otherwise(F.col(c) / F.col("alpha") * _depth(F.col("alpha")))).alias(f"p{c}") for c in names],
+        *[F.sum(F.when(solid, F.col(c)).otherwise(0.0)).alias(f"o{c}") for c in names],
+    )
+    every = pieces.unionByName(alike)
+    depth, opaque = F.greatest(F.col("depth"), F.lit(0.0)), F.col("solid") > 0
+    factor = F.when(depth < 1e-12, 1.0).otherwise(-F.expm1(-depth) / depth)
+    sample = F.struct(*[F.when(opaque, F.col(f"o{c}") / F.greatest("solid", F.lit(1))).otherwise(factor * F.col(f"p{c}")).alias(k) for k, c in zip("RGB", names, strict=True)], F.when(opaque, 1.0).otherwise(-F.expm1(-depth)).alias("A"), F.col("front").alias("Z"), F.col("back").alias("Zback"))
+    out = from_rows(every.select(*KEYS, sample.alias("sample")))
+    bare = a.select(*KEYS).unionByName(b.select(*KEYS)).distinct().join(out, KEYS, "left").select(*KEYS, F.coalesce("samples", F.expr(EMPTY)).alias("samples"))
+    return occlusion_cull(bare) if cull else bare
 
 
 def deep_holdout(a: DataFrame, holdout: DataFrame) -> DataFrame:

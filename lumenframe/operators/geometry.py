@@ -76,6 +76,7 @@ def hash_noise(x: Column, y: Column, z: Column, c: int, seed: int) -> Column:
 
 def noise(a: Image, kind: str = "white", low: float = 0.0, high: float = 0.1, mono: bool = False, seed: int = 0, roi: Roi | None = None) -> Image:
     """white or uniform: low to high is added; gaussian: mean low, deviation high is added; salt: a share high becomes low."""
+    a = a.dense()
     xyz = [F.col("x"), F.col("y"), F.col("z")]
     out = []
     for i, c in enumerate(a.c):
@@ -95,6 +96,7 @@ def noise(a: Image, kind: str = "white", low: float = 0.0, high: float = 0.1, mo
 
 
 def _composited(a: Image, here: Column, color) -> Image:
+    a = a.dense()
     color = per_channel(color, a.spec.n)
     alpha = color[a.spec.alpha] if a.spec.alpha >= 0 else 1.0
     return a.with_channels([F.when(here, F.lit(v) + c * (1 - alpha)).otherwise(c) for v, c in zip(color, a.c, strict=True)])
@@ -121,7 +123,7 @@ def line_points(x1: int, y1: int, x2: int, y2: int, skip_first: bool = False) ->
 
 def render_line(a: Image, x1: int, y1: int, x2: int, y2: int, color=1.0, skip_first: bool = False) -> Image:
     points = small_table(a.df.sparkSession, [(*p, True) for p in line_points(x1, y1, x2, y2, skip_first)], "x int, y int, hit boolean")
-    return _composited(Image(a.df.join(points, ["x", "y"], "left"), a.spec), F.coalesce("hit", F.lit(False)), color)
+    return _composited(Image(a.dense().df.join(points, ["x", "y"], "left"), a.spec, True), F.coalesce("hit", F.lit(False)), color)
 
 
 def render_box(a: Image, x1: int, y1: int, x2: int, y2: int, color=1.0, filled: bool = False) -> Image:
@@ -135,9 +137,11 @@ def render_box(a: Image, x1: int, y1: int, x2: int, y2: int, color=1.0, filled:
 def channels(a: Image, order: list, values: list[float] | None = None, names: list[str] | None = None) -> Image:
     """order has indices or names of channels; a negative index is the constant of values."""
     out, own = [], []
+    constant = [float((values or [])[k]) if values and k < len(values) else 0.0 for k in range(len(order))]
+    a = a.shown(not any(v for v, c in zip(constant, order, strict=True) if not isinstance(c, str) and c < 0))
     for k, c in enumerate(order):
         i = a.spec.names.index(c) if isinstance(c, str) else c
-        out.append(a.c[i] if i >= 0 else F.lit(float((values or [])[k]) if values and k < len(values) else 0.0))
+        out.append(a.c[i] if i >= 0 else F.lit(constant[k]))
         own.append(a.spec.names[i] if i >= 0 else f"channel{k}")
     return a.with_channels(out, names or own)
 

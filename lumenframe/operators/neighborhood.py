@@ -1,9 +1,9 @@
-"""Stencils and resampling as joins with tap tables.
+"""Stencils and resampling by pixels that send themselves to their targets.
 
-A tap table says for one axis which source coordinate adds to which target
-coordinate, and how.  The pixels are joined with a table for each axis, and the
-targets aggregated with map-side partial sums: no theta join, no window over a
-whole image in one task.
+Which target coordinates a source coordinate adds to, and how, is arithmetic, so
+each pixel makes its own targets, an axis at a time; the targets are aggregated
+with map-side partial sums: no theta join, no table of the window's size, no
+window over a whole image in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.core import KEYS, Image, Roi, Spec, every, finite, small_table
@@ -24,28 +24,44 @@ from lumenframe.operators.arithmetic import _made, add, over, sub
 Taps = list[tuple[int, int, int, float]]
 
 
-def _axis(lo: int, hi: int, offsets: range, clamp: bool) -> Taps:
-    """(src, dst, offset, 1) for dst in lo to hi: src is dst + offset, clamped to the window or left out."""
-    out = []
-    for dst in range(lo, hi):
-        for o in offsets:
-            src = dst + o
-            if clamp:
-                src = min(max(src, lo), hi - 1)
-            if lo <= src < hi:
-                out.append((src, dst, o, 1.0))
-    return out
+def _spread(df: DataFrame, axis: str, lo: int, hi: int, offsets: range, clamp: bool) -> DataFrame:
+    """A row for each target of a pixel: axis becomes the target, d<axis> the offset of the source.
+
+    The target of a source is arithmetic, so each pixel makes its own.  With clamp, the
+    border pixels stand for all beyond: they also reach the targets whose source is cut to them.
+    """
+    at, d = F.col(axis), F.col("d")
+    inside = F.expr(f"transform(sequence({offsets.start}, {offsets.stop - 1}), o -> struct({axis} - o as t, o as d))")
+    if clamp:
+        # Of target t and offset o, t + o lies before lo or after hi - 1.
+        before = F.expr(f"flatten(transform(sequence({lo}, {min(hi - 1, lo - offsets.start - 1)}), t -> transform(sequence({offsets.start}, {lo} - 1 - t), o -> struct(t as t, o as d))))") if offsets.start < 0 else None
+        after = F.expr(f"flatten(transform(sequence({max(lo, hi - offsets.stop + 1)}, {hi - 1}), t -> transform(sequence({hi} - t, {offsets.stop - 1}), o -> struct(t as t, o as d))))") if offsets.stop > 1 else None
+        none = F.expr("cast(array() as array<struct<t:int,d:int>>)")
+        inside = F.concat(inside, *[F.when(at == end, more).otherwise(none) for end, more in ((lo, before), (hi - 1, after)) if more is not None])
+    rows = df.withColumn("k", F.explode(inside)).drop(axis)
+    out = rows.select("*", F.col("k.t").cast("int").alias(axis), F.col("k.d").cast("int").alias(f"d{axis}")).drop("k")
+    return out.filter(F.col(axis).between(lo, hi - 1))
+
+
+def _weight(axis: str, taps: dict[int, float]) -> Column:
+    """The weight of each offset, as an expression."""
+    lo, hi = min(taps), max(taps)
+    return F.get(F.array(*[F.lit(float(taps.get(o, 0.0))) for o in range(lo, hi + 1)]), F.col(f"d{axis}") - lo)
+
+
+def _window(a: Image, axis: str) -> tuple[int, int]:
+    d = a.spec.data
+    return (d.x0, d.x1) if axis == "x" else (d.y0, d.y1)
 
 
 def _tapped(df: DataFrame, axis: str, taps: Taps) -> DataFrame:
-    """A row for each tap: axis becomes the target, d<axis> the offset, w<axis> the weight."""
+    """A row for each tap of a table: axis becomes the target, w<axis> the weight."""
     table = small_table(df.sparkSession, taps, f"src int, dst int, d{axis} int, w{axis} double")
     return df.join(table, df[axis] == table["src"]).drop(axis, "src").withColumnRenamed("dst", axis)
 
 
 def _stencil(a: Image, offsets_x: range, offsets_y: range, clamp: bool) -> DataFrame:
-    d = a.spec.data
-    return _tapped(_tapped(a.df, "x", _axis(d.x0, d.x1, offsets_x, clamp)), "y", _axis(d.y0, d.y1, offsets_y, clamp))
+    return _spread(_spread(a.df, "x", *_window(a, "x"), offsets_x, clamp), "y", *_window(a, "y"), offsets_y, clamp)
 
 
 def convolve(a: Image, kernel: dict[tuple[int, int], float], normalize: bool = True) -> Image:
@@ -61,11 +77,9 @@ def separable(a: Image, row: dict[int, float], column: dict[int, float]) -> Imag
     """Two one-dimensional passes, which make 2 n rows of a pixel and not n * n."""
     out = a
     for axis, taps in (("x", row), ("y", column)):
-        d = out.spec.data
-        lo, hi = (d.x0, d.x1) if axis == "x" else (d.y0, d.y1)
         r = max(map(abs, taps))
-        rows = _tapped(out.df, axis, [(s, t, o, taps.get(o, 0.0)) for s, t, o, _ in _axis(lo, hi, range(-r, r + 1), True)])
-        out = Image(rows.groupBy(*KEYS).agg(*[F.sum(F.col(f"w{axis}") * c).alias(f"c{i}") for i, c in enumerate(out.c)]), a.spec)
+        rows = _spread(out.df, axis, *_window(out, axis), range(-r, r + 1), True)
+        out = Image(rows.groupBy(*KEYS).agg(*[F.sum(_weight(axis, taps) * c).alias(f"c{i}") for i, c in enumerate(out.c)]), a.spec)
     return out
 
 
@@ -85,9 +99,7 @@ def laplacian(a: Image) -> Image:
 def _extreme(a: Image, width: int, height: int, f) -> Image:
     out = a
     for axis, size in (("x", width), ("y", height)):
-        d = out.spec.data
-        lo, hi = (d.x0, d.x1) if axis == "x" else (d.y0, d.y1)
-        rows = _tapped(out.df, axis, _axis(lo, hi, range(-(size // 2), size - size // 2), False))
+        rows = _spread(out.df, axis, *_window(out, axis), range(-(size // 2), size - size // 2), False)
         out = Image(rows.groupBy(*KEYS).agg(*[f(c).alias(f"c{i}") for i, c in enumerate(out.c)]), a.spec)
     return out
 
@@ -154,36 +166,75 @@ def resize_taps(src0: int, srcn: int, full_src: tuple[int, int], dst0: int, dstn
     return [(s, d, 0, w) for (s, d), w in taps.items()]
 
 
+def _curve(name: str, x: Column, width: float) -> Column:
+    """The filter's weight at x, by linear interpolation between TABLE points of one half: filters are even."""
+    f, reach = filters.FILTERS[name][0], width / 2
+    table = F.array(*[F.lit(float(f(k * reach / TABLE, width))) for k in range(TABLE + 1)])
+    at = F.abs(x) * (TABLE / reach)
+    k = F.least(F.floor(at).cast("int"), F.lit(TABLE - 1))
+    return F.when(at <= TABLE, F.get(table, k) * (1 - (at - k)) + F.get(table, k + 1) * (at - k)).otherwise(0.0)
+
+
+#: Targets of an axis up to which exact weights come from a plan-time table; beyond, rows would grow with the window.
+TABLE_TARGETS, TABLE = 4096, 4096
+
+
+def _resampled(a: Image, axis: str, lo: int, n: int, src: tuple[int, int], dst: int, name: str, width: float) -> DataFrame:
+    """A row for each source and target of an axis, with w<axis>; a plan-time table if it is small, else from each pixel's own coordinate."""
+    if dst <= TABLE_TARGETS and n <= TABLE_TARGETS:
+        return _tapped(a, axis, resize_taps(lo, n, src, 0, dst, (0, dst), name, width))
+    ratio = dst / (src[1] - src[0])
+    scale = min(ratio, 1.0)
+    radius = math.ceil(width / 2 / scale)
+    at = F.col(axis)
+    # Targets whose footprint has this pixel; border pixels stand for all beyond.
+    first = F.when(at == lo, F.lit(0)).otherwise(F.greatest(F.floor((at - radius - 1 - src[0]) * ratio).cast("int") - 1, F.lit(0)))
+    last = F.when(at == lo + n - 1, F.lit(dst - 1)).otherwise(F.least(F.ceil((at + radius + 2 - src[0]) * ratio).cast("int") + 1, F.lit(dst - 1)))
+    rows = a.withColumn("t", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<int>)"))))
+    s = src[0] + (F.col("t") + 0.5) / ratio
+    i, frac = F.floor(s), s - F.floor(s)
+    taps = F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda k: F.struct(F.least(F.greatest(i + k, F.lit(lo)), F.lit(lo + n - 1)).alias("p"), _curve(name, scale * (k - (frac - 0.5)), width).alias("w")))
+    rows = rows.withColumn("taps", taps)
+    add = lambda c, what: F.aggregate("taps", F.lit(0.0), lambda acc, t: acc + what(t, c))
+    norm, own = add(None, lambda t, _: t["w"]), add(at, lambda t, c: F.when(t["p"] == c, t["w"]).otherwise(0.0))
+    rows = rows.withColumn(f"w{axis}", F.when(norm != 0, own / norm).otherwise(0.0)).filter(F.col(f"w{axis}") != 0)
+    return rows.drop(axis, "taps").withColumnRenamed("t", axis)
+
+
 def resize(a: Image, width: int, height: int, name: str = "", filter_width: float | None = None) -> Image:
     """Filtered resize between the display windows: a pass for each axis."""
     f, d = a.spec.full, a.spec.data
     if not name:
         name = "blackman-harris" if width > f.width or height > f.height else "lanczos3"
     full = Roi(0, width, 0, height)
-    out = a.df
-    for axis, lo, n, src, dst in (("x", d.x0, d.width, (f.x0, f.x1), (0, width)), ("y", d.y0, d.height, (f.y0, f.y1), (0, height))):
-        rows = _tapped(out, axis, resize_taps(lo, n, src, 0, dst[1], dst, name, filter_width))
+    out, wide = a.df, filter_width or filters.FILTERS[name][1]
+    for axis, lo, n, src, dst in (("x", d.x0, d.width, (f.x0, f.x1), width), ("y", d.y0, d.height, (f.y0, f.y1), height)):
+        rows = _resampled(out, axis, lo, n, src, dst, name, wide)
         out = rows.groupBy(*KEYS).agg(*[F.sum(F.col(f"w{axis}") * c).alias(f"c{i}") for i, c in enumerate(a.c)])
     return Image(out, replace(a.spec, data=full, full=full))
 
 
 def resample(a: Image, width: int, height: int, interpolate: bool = True) -> Image:
-    """The nearest pixel, or two pixels of each axis in proportion."""
+    """The nearest pixel, or two pixels of each axis in proportion: each source pixel finds the targets that take it."""
     f, d = a.spec.full, a.spec.data
     full = Roi(0, width, 0, height)
     out = a.df
     for axis, lo, hi, f0, fn, n in (("x", d.x0, d.x1, f.x0, f.width, width), ("y", d.y0, d.y1, f.y0, f.height, height)):
-        taps: dict[tuple[int, int], float] = {}
-        for dst in range(n):
-            s = f0 + (dst + 0.5) * fn / n
-            i = math.floor(s - 0.5) if interpolate else math.floor(s)
-            frac = s - 0.5 - i if interpolate else 0.0
-            for src, w in ((i, 1 - frac), (i + 1, frac)):
-                if w:
-                    key = (min(max(src, lo), hi - 1), dst)
-                    taps[key] = taps.get(key, 0.0) + w
-        rows = _tapped(out, axis, [(s, t, 0, w) for (s, t), w in taps.items()])
-        out = rows.groupBy(*KEYS).agg(*[F.sum(F.col(f"w{axis}") * c).alias(f"c{i}") for i, c in enumerate(a.c)])
+        at, t = F.col(axis), F.col("t")
+        # Targets between those that the neighbours on either side belong to; border pixels stand for all beyond.
+        first = F.when(at == lo, F.lit(0)).otherwise(F.greatest(F.floor((at - 1.5 - f0) * n / fn - 0.5).cast("int"), F.lit(0)))
+        last = F.when(at == hi - 1, F.lit(n - 1)).otherwise(F.least(F.ceil((at + 1.5 - f0) * n / fn + 0.5).cast("int"), F.lit(n - 1)))
+        rows = out.withColumn("t", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<int>)"))))
+        s = f0 + (t + 0.5) * fn / n
+        cut = lambda v, lo=lo, hi=hi: F.least(F.greatest(v, F.lit(lo)), F.lit(hi - 1))
+        if interpolate:
+            i = F.floor(s - 0.5)
+            frac = s - 0.5 - i
+            w = F.when(cut(i) == at, 1 - frac).otherwise(0.0) + F.when(cut(i + 1) == at, frac).otherwise(0.0)
+        else:
+            w = F.when(cut(F.floor(s)) == at, 1.0).otherwise(0.0)
+        rows = rows.withColumn("w", w).filter("w > 0").drop(axis).withColumnRenamed("t", axis)
+        out = rows.groupBy(*KEYS).agg(*[F.sum(F.col("w") * c).alias(f"c{i}") for i, c in enumerate(a.c)])
     return Image(out, replace(a.spec, data=full, full=full))
 
 
@@ -356,11 +407,11 @@ def make_kernel(spark: SparkSession, name: str, width: float, height: float, nor
 
 
 def interp_bilinear(a: Image, points: DataFrame) -> DataFrame:
-    """Samples at points (image_id, px, py in pixel coordinates); beyond the data window is black."""
+    """Samples at points (image_id, px, py in pixel coordinates), each for itself; beyond the data window is black."""
     at = points.select("image_id", F.lit(0).alias("z"), F.monotonically_increasing_id().alias("p"), (F.col("px") - 0.5).alias("sx"), (F.col("py") - 0.5).alias("sy"))
     fx, fy = F.col("sx") - F.floor("sx"), F.col("sy") - F.floor("sy")
     corners = F.array(*[F.struct((F.floor("sx") + i).cast("int").alias("x"), (F.floor("sy") + j).cast("int").alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)])
-    taps = at.withColumn("k", F.explode(corners)).select("image_id", "z", "sx", "sy", "k.*")
-    rows = taps.join(a.df, KEYS, "left").groupBy("image_id", "sx", "sy")
+    taps = at.withColumn("k", F.explode(corners)).select("p", "image_id", "z", "sx", "sy", "k.*")
+    rows = taps.join(a.df, KEYS, "left").groupBy("p", "image_id", "sx", "sy")
     values = [F.coalesce(F.sum(F.col("w") * c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(a.c)]
     return rows.agg(*values).select("image_id", (F.col("sx") + 0.5).alias("px"), (F.col("sy") + 0.5).alias("py"), *a.c)

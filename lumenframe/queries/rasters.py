@@ -41,7 +41,13 @@ def emb(spark: SparkSession, sf: str) -> Image:
     return image(df, Roi(0, 25, 0, int(rows or 0) + 1), list("RGBA"))
 
 
-EMB = "with a as (select cast(label as varchar) as image_id, cast(vec_id // 25 as int) as y, cast(vec_id % 25 as int) as x, embedding[1]::double as c0, embedding[2]::double as c1, embedding[3]::double as c2, embedding[4]::double as c3 from embeddings)"
+_EMB = "as (select cast(label as varchar) as image_id, cast(vec_id // 25 as int) as y, cast(vec_id % 25 as int) as x, embedding[1]::double as c0, embedding[2]::double as c1, embedding[3]::double as c2, embedding[4]::double as c3 from embeddings)"
+EMB = f"with a {_EMB}"
+#: All pixels of the data window of each image.
+DENSE = (
+    f"with e {_EMB}, ids as (select distinct image_id from e), r as (select max(y) + 1 as n from e), lattice as (select image_id, cast(yy as int) as y, cast(xx as int) as x from ids, r, "
+    "lateral (select unnest(range(0, r.n)) as yy), (select unnest(range(0, 25)) as xx)), a as (select image_id, y, x, " + ", ".join(f"coalesce(c{i}, 0) as c{i}" for i in range(4)) + " from lattice left join e using (image_id, y, x))"
+)
 
 
 def _li(spark: SparkSession, sf: str, flag: str) -> Image:
@@ -72,6 +78,12 @@ def ev(spark: SparkSession, sf: str) -> Image:
 EV = "with a as (select event_type as image_id, cast(dayofyear(ts) as int) as y, cast(hour(ts) as int) as x, sum(value) as c0, count(*)::double as c1 from events group by all), w as (select min(y) as y0, max(y) + 1 as y1 from a)"
 
 
+LATTICE = (
+    "ids as (select distinct image_id from a), lattice as (select image_id, cast(yy as int) as y, cast(xx as int) as x from ids, w, lateral (select unnest(range(w.y0, w.y1)) as yy), (select unnest(range(0, 24)) as xx)), "
+    "d as (select image_id, y, x, coalesce(c0, 0) as c0, coalesce(c1, 0) as c1 from lattice left join a using (image_id, y, x))"
+)
+
+
 def shown(a: Image) -> DataFrame:
     """Rounded channels of the pixels that have a row."""
     return a.df.select("image_id", "y", "x", *[(F.round(c, 6) + 0.0).alias(f"c{i}") for i, c in enumerate(a.c)])
@@ -87,9 +99,10 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
-def unary(name: str, f: Callable[[Image], Image], values: Callable[[int], str] | list[str]) -> None:
+def unary(name: str, f: Callable[[Image], Image], values: Callable[[int], str] | list[str], dense: bool = False) -> None:
+    """dense: the operator changes zero, so the result has all pixels of the window."""
     v = values if isinstance(values, list) else [values(i) for i in range(4)]
-    register(name, lambda s, d: shown(f(emb(s, d))), f"{EMB} select {_show_sql(v)} from a")
+    register(name, lambda s, d: shown(f(emb(s, d))), f"{DENSE if dense else EMB} select {_show_sql(v)} from a")
 
 
 def binary(name: str, f: Callable[[Image, Image], Image], values: Callable[[int], str]) -> None:
@@ -106,24 +119,24 @@ color_only = lambda g: lambda i: g(i) if i < 3 else "c3"
 clip = lambda v, lo, hi: f"least(greatest({v}, {lo}), {hi})"
 
 # --- pixel arithmetic with constants
-unary("addc", lambda a: A.add(a, K), lambda i: f"c{i} + {K[i]}")
-unary("subc", lambda a: A.sub(a, K), lambda i: f"c{i} - {K[i]}")
+unary("addc", lambda a: A.add(a, K), lambda i: f"c{i} + {K[i]}", dense=True)
+unary("subc", lambda a: A.sub(a, K), lambda i: f"c{i} - {K[i]}", dense=True)
 unary("mulc", lambda a: A.mul(a, [2, 3]), lambda i: f"c{i} * {2 if i == 0 else 3}")
 unary("divc", lambda a: A.div(a, [2.0, 0.0, 4.0]), lambda i: ["c0 / 2", "0.0", "c2 / 4", "c3 / 4"][i])
-unary("absdiffc", lambda a: A.absdiff(a, K), lambda i: f"abs(c{i} - {K[i]})")
+unary("absdiffc", lambda a: A.absdiff(a, K), lambda i: f"abs(c{i} - {K[i]})", dense=True)
 unary("abs", A.absolute, lambda i: f"abs(c{i})")
-unary("invert", A.invert, lambda i: f"1 - c{i}")
-unary("madc", lambda a: A.mad(a, K, [1.0, 0.5]), lambda i: f"c{i} * {K[i]} + {1.0 if i == 0 else 0.5}")
+unary("invert", A.invert, lambda i: f"1 - c{i}", dense=True)
+unary("madc", lambda a: A.mad(a, K, [1.0, 0.5]), lambda i: f"c{i} * {K[i]} + {1.0 if i == 0 else 0.5}", dense=True)
 unary("powc", lambda a: A.power(A.absolute(a), [2.0, 0.5]), lambda i: f"pow(abs(c{i}), {2.0 if i == 0 else 0.5})")
-unary("maxc", lambda a: A.maximum(a, 0.05), lambda i: f"greatest(c{i}, 0.05)")
+unary("maxc", lambda a: A.maximum(a, 0.05), lambda i: f"greatest(c{i}, 0.05)", dense=True)
 unary("minc", lambda a: A.minimum(a, 0.05), lambda i: f"least(c{i}, 0.05)")
 unary("clamp", lambda a: A.clamp(a, [-0.1, 0.0], [0.1, 0.2], True), lambda i: [clip("c0", -0.1, 0.1), clip("c1", "0.0", 0.2), clip("c2", "0.0", 0.2), clip(clip("c3", "0.0", 0.2), "0.0", "1.0")][i])
 unary("chsum", lambda a: A.channel_sum(a, [0.5, 0.25, 0.125]), ["c0 * 0.5 + c1 * 0.25 + c2 * 0.125 + c3 * 0.125"])
 unary("maxchan", A.maxchan, ["greatest(c0, c1, c2, c3)"])
 unary("minchan", A.minchan, ["least(c0, c1, c2, c3)"])
 LENGTH = "sqrt(c0 * c0 + c1 * c1 + c2 * c2)"
-unary("normalize", lambda a: A.normalize(a, 0.0, 0.5, 0.5), color_only(lambda i: f"c{i} / {LENGTH} * 0.5 + 0.5"))
-unary("contrast", lambda a: A.contrast_remap(a, 0.1, 0.9, 0.0, 2.0), lambda i: f"(c{i} - 0.1) / 0.8 * 2.0")
+unary("normalize", lambda a: A.normalize(a, 0.0, 0.5, 0.5), color_only(lambda i: f"case when {LENGTH} = 0 then 0.5 else c{i} / {LENGTH} * 0.5 + 0.5 end"), dense=True)
+unary("contrast", lambda a: A.contrast_remap(a, 0.1, 0.9, 0.0, 2.0), lambda i: f"(c{i} - 0.1) / 0.8 * 2.0", dense=True)
 unary("contrast_threshold", lambda a: A.contrast_remap(a, 0.1, 0.1), lambda i: f"case when c{i} < 0.1 then 0.0 else 1.0 end")
 SIG = lambda x: f"(1 / (1 + exp(5.0 * (0.5 - ({x})))))"
 unary("contrast_sigmoid", lambda a: A.contrast_remap(a, 0.0, 1.0, 0.0, 1.0, 5.0, 0.5), lambda i: f"({SIG(f'c{i}')} - {SIG('0.0')}) / ({SIG('1.0')} - {SIG('0.0')})")
@@ -138,7 +151,7 @@ unary("unpremult", A.unpremult, color_only(lambda i: f"case when c3 in (0, 1) th
 unary("repremult", A.repremult, color_only(lambda i: f"case when c3 in (0, 1) then c{i} else c{i} * c3 end"))
 unary("polar", lambda a: A.complex_to_polar(G.channels(a, [0, 1])), ["sqrt(c0 * c0 + c1 * c1)", "case when atan2(c1, c0) < 0 then atan2(c1, c0) + 6.283185307179586 else atan2(c1, c0) end"])
 unary("unpolar", lambda a: A.polar_to_complex(G.channels(a, [0, 1])), ["c0 * cos(c1)", "c0 * sin(c1)"])
-unary("colormap", lambda a: A.color_map(a, A.COLOR_MAPS["blue-red"], 0), [clip("c0", "0.0", "1.0"), "0.0", f"1 - {clip('c0', '0.0', '1.0')}"])
+unary("colormap", lambda a: A.color_map(a, A.COLOR_MAPS["blue-red"], 0), [clip("c0", "0.0", "1.0"), "0.0", f"1 - {clip('c0', '0.0', '1.0')}"], dense=True)
 M = [0.5, 0.1, 0.0, 0.0, 0.2, 0.5, 0.1, 0.0, 0.0, 0.2, 0.6, 0.0, 0.01, 0.02, 0.03, 1.0]
 unary("ccmatrix", lambda a: A.color_matrix(a, M), lambda j: " + ".join(f"c{i} * {M[4 * i + j]}" for i in range(4)))
 TO_LIN = lambda v: f"case when {v} <= 0.04045 then {v} / 12.92 else pow(({v} + 0.055) / 1.055, 2.4) end"
@@ -166,8 +179,8 @@ register("chappend", lambda s, d: shown(G.channel_append(_li(s, d, "A"), G.chann
 
 
 # --- geometry
-def geometry(name: str, f: Callable[[Image], Image], x: str, y: str, values: list[str] | None = None, where: str = "true") -> None:
-    sql = f"{EV} select image_id, cast({y} as int) as y, cast({x} as int) as x, " + ", ".join(f"round({v}, 6) + 0.0 as c{i}" for i, v in enumerate(values or ["c0", "c1"])) + f" from a, w where {where}"
+def geometry(name: str, f: Callable[[Image], Image], x: str, y: str, values: list[str] | None = None, where: str = "true", dense: bool = False) -> None:
+    sql = f"{EV}, {LATTICE} select image_id, cast({y} as int) as y, cast({x} as int) as x, " + ", ".join(f"round({v}, 6) + 0.0 as c{i}" for i, v in enumerate(values or ["c0", "c1"])) + f" from {'d' if dense else 'a'}, w where {where}"
     register(name, lambda s, d: shown(f(ev(s, d))), sql)
 
 
@@ -180,11 +193,11 @@ geometry("transpose", G.transpose, "y", "x")
 geometry("cshift", lambda a: G.circular_shift(a, 5, 3), "(x + 5) % 24", "(y - y0 + 3) % (y1 - y0) + y0")
 geometry("crop", lambda a: G.crop(a, Roi(3, 9, 2, 20)), "x", "y", where="x between 3 and 8 and y between 2 and 19")
 geometry("cut", lambda a: G.cut(a, Roi(3, 9, 2, 20)), "x - 3", "y - 2", where="x between 3 and 8 and y between 2 and 19")
-geometry("ch", lambda a: G.channels(a, [1, -1, 0], [0, 0.5, 0], ["A", "B", "C"]), "x", "y", ["c1", "0.5", "c0"])
+geometry("ch", lambda a: G.channels(a, [1, -1, 0], [0, 0.5, 0], ["A", "B", "C"]), "x", "y", ["c1", "0.5", "c0"], dense=True)
 geometry("reorient", lambda a: G.ORIENTATIONS[8](a), "y", "23 - x")
-geometry("box", lambda a: G.render_box(a, 4, 3, 8, 9, [7.0, 8.0], True), "x", "y", [f"case when x between 4 and 8 and y between 3 and 9 then {v} else c{i} end" for i, v in enumerate((7.0, 8.0))])
-geometry("point", lambda a: G.render_point(a, 5, 6, [1.0, 2.0]), "x", "y", [f"case when x = 5 and y = 6 then {v} else c{i} end" for i, v in enumerate((1.0, 2.0))])
-geometry("line", lambda a: G.render_line(a, 2, 2, 12, 12, [1.0, 2.0]), "x", "y", [f"case when x = y and x between 2 and 12 then {v} else c{i} end" for i, v in enumerate((1.0, 2.0))])
+geometry("box", lambda a: G.render_box(a, 4, 3, 8, 9, [7.0, 8.0], True), "x", "y", [f"case when x between 4 and 8 and y between 3 and 9 then {v} else c{i} end" for i, v in enumerate((7.0, 8.0))], dense=True)
+geometry("point", lambda a: G.render_point(a, 5, 6, [1.0, 2.0]), "x", "y", [f"case when x = 5 and y = 6 then {v} else c{i} end" for i, v in enumerate((1.0, 2.0))], dense=True)
+geometry("line", lambda a: G.render_line(a, 2, 2, 12, 12, [1.0, 2.0]), "x", "y", [f"case when x = y and x between 2 and 12 then {v} else c{i} end" for i, v in enumerate((1.0, 2.0))], dense=True)
 geometry("origin", lambda a: a.moved(F.col("x") + 10, F.col("y") - 4, a.spec.data.shifted(10, -4)), "x + 10", "y - 4")
 GRID = "select '0' as image_id, cast(y as int) as y, cast(x as int) as x, {v} from range({y0}, {y1}) s(y), range({x0}, {x1}) t(x)"
 
@@ -215,7 +228,7 @@ register("mosaic", lambda s, d: shown(G.mosaic([G.fill(s, R64, [k]) for k in (0.
 def stencil(name: str, f: Callable[[Image], Image], agg: Callable[[int], str], offsets: str, clamp: bool, dense: bool) -> None:
     """agg may use v<i> (a neighbour's channel), k (the kernel's weight), dx and dy."""
     src = "d" if dense else "a"
-    grid = "ids as (select distinct image_id from a), lattice as (select image_id, cast(yy as int) as y, cast(xx as int) as x from ids, w, lateral (select unnest(range(w.y0, w.y1)) as yy), (select unnest(range(0, 24)) as xx)), d as (select image_id, y, x, coalesce(c0, 0) as c0, coalesce(c1, 0) as c1 from lattice left join a using (image_id, y, x))"
+    grid = LATTICE
     at = "least(greatest({c} + {o}, {lo}), {hi} - 1)" if clamp else "{c} + {o}"
     sx, sy = at.format(c="l.x", o="o.dx", lo="0", hi="24"), at.format(c="l.y", o="o.dy", lo="w.y0", hi="w.y1")
     sql = f"{EV}, {grid}, o as (select * from (values {offsets}) v(dx, dy, k)) select l.image_id, l.y, l.x, " + ", ".join(f"round({agg(i)}, 6) + 0.0 as c{i}" for i in range(2)) + f" from lattice l, w, o join {src} s on s.image_id = l.image_id and s.x = {sx} and s.y = {sy} group by l.image_id, l.y, l.x"
@@ -257,8 +270,27 @@ def resized(name: str, f: Callable[[Image], Image], filt: str, width: int, heigh
 
 for _f in ("box", "triangle", "gaussian", "sharp-gaussian", "catmull-rom", "blackman-harris", "sinc", "lanczos3", "mitchell", "b-spline", "cubic", "keys", "simon", "rifman"):
     resized(f"resize_{_f.replace('-', '_')}", lambda a, f=_f: N.resize(a, 12, 10, f), _f, 12, 10)
-register("resample_nearest", lambda s, d: shown(N.resample(ev(s, d), 12, 8, False)))
-register("resample_bilinear", lambda s, d: shown(N.resample(ev(s, d), 12, 8, True)))
+
+
+def _resampled_sql(width: int, height: int, bilinear: bool) -> str:
+    """Each target pixel's sources by its own coordinates."""
+    at = lambda t, o, lo, hi, n: f"{lo} + ({t} + 0.5) * ({hi} - {lo}) / {n}{o}"
+    half = " - 0.5" if bilinear else ""
+    sx, sy = at("tx", half, "0", "24", width), at("ty", half, "w.y0", "w.y1", height)
+    t = f"t as (select image_id, tx, ty, {sx} as sx, {sy} as sy, w.y0, w.y1 from ids, w, (select unnest(range(0, {width})) as tx), (select unnest(range(0, {height})) as ty))"
+    taps = "(values (0, 0), (0, 1), (1, 0), (1, 1)) o(dx, dy)" if bilinear else "(values (0, 0)) o(dx, dy)"
+    weight = "(case when dx = 1 then sx - floor(sx) else 1 - (sx - floor(sx)) end) * (case when dy = 1 then sy - floor(sy) else 1 - (sy - floor(sy)) end)" if bilinear else "1.0"
+    src = f"s as (select image_id, cast(tx as int) as x, cast(ty as int) as y, cast(least(greatest(floor(sx) + dx, 0), 23) as int) as px, cast(least(greatest(floor(sy) + dy, y0), y1 - 1) as int) as py, {weight} as k from t, {taps})"
+    values = ", ".join(f"round(sum(k * d.c{i}) + 1e-9, 6) + 0.0 as c{i}" for i in range(2))
+    return f"{EV}, {LATTICE}, {t}, {src} select s.image_id, s.y, s.x, {values} from s join d on d.image_id = s.image_id and d.x = px and d.y = py group by s.image_id, s.y, s.x"
+
+
+def _no_tie(a: Image) -> DataFrame:
+    return shown(a.with_channels([c + 1e-9 for c in a.c]))
+
+
+register("resample_nearest", lambda s, d: _no_tie(N.resample(ev(s, d).dense(), 12, 8, False)), _resampled_sql(12, 8, False))
+register("resample_bilinear", lambda s, d: _no_tie(N.resample(ev(s, d).dense(), 12, 8, True)), _resampled_sql(12, 8, True))
 register("fit", lambda s, d: shown(N.fit(ev(s, d), 20, 20, "triangle")))
 register("rotate", lambda s, d: shown(N.rotate(ev(s, d), 0.3, name="triangle")))
 register("warp", lambda s, d: shown(N.warp(ev(s, d), [1.1, 0.1, 0, -0.1, 0.9, 0, 1, 2, 1], "triangle")))
@@ -350,8 +382,26 @@ register("deep_sample_count", lambda s, d: D.sample_count(_deep(s, d)).select("i
 register("deep_flatten", lambda s, d: D.flatten(_deep(s, d)).select("image_id", "y", "x", (F.round("A", 6) + 0.0).alias("a"), (F.round("R", 6) + 0.0).alias("r")), f"{DEEP} select image_id, y, x, round(1 - product(1 - a), 6) + 0.0 as a, round(0.5 * (1 - product(1 - a)), 6) + 0.0 as r from s group by all")
 register("deep_opaque_z", lambda s, d: _deep(s, d).withColumn("samples", F.expr("transform(samples, t -> named_struct('R', t.R, 'G', t.G, 'B', t.B, 'A', t.A * 10, 'Z', t.Z, 'Zback', t.Zback))")).select("image_id", "y", "x", (F.round(F.least(D.opaque_z(), F.lit(1e30)), 6) + 0.0).alias("zt")), f"{DEEP} select image_id, y, x, round(coalesce(arg_min(zb, (zf, zb)) filter (where a * 10 >= 1), 1e30), 6) + 0.0 as zt from s group by all")
 register("deep_split_count", lambda s, d: D.split(_deep(s, d), "25.2").select("image_id", "y", "x", F.size("samples").cast("long").alias("n")), f"{DEEP} select image_id, y, x, count(*) + count(*) filter (where zf < 25.2 and zb > 25.2) as n from s group by all")
-register("deep_merge", lambda s, d: D.flatten(D.deep_merge(_deep(s, d, 0), _deep(s, d, 1))).select("image_id", "y", "x", (F.round("A", 6) + 0.0).alias("a")), f"{DEEP} select image_id, y, x, round(1 - product(1 - a), 6) + 0.0 as a from s group by all")
-register("deep_holdout", lambda s, d: D.deep_holdout(_deep(s, d, 0), D.deepen(G.fill(s, R64, [0, 0, 0, 1, 25.5], names=["R", "G", "B", "A", "Z"]))).select("image_id", "y", "x", F.size("samples").cast("long").alias("n")), f"{DEEP.replace('from lineitem', 'from lineitem where l_linenumber % 2 = 0')} select image_id, y, x, count(*) filter (where zf < 25.5 or (zf = 25.5 and zb = 25.5)) as n from s group by all")
+
+
+def _merged_samples(s: SparkSession, d: str) -> DataFrame:
+    """Every sample of the merge of two deep images."""
+    out = D.deep_merge(_deep(s, d, 0), _deep(s, d, 1)).select("image_id", "y", "x", F.explode("samples").alias("s"))
+    return out.select("image_id", "y", "x", *[(F.round(F.col(f"s.{k}") + 1e-9, 6) + 0.0).alias(f"s_{k.lower()}") for k in D.FIELDS])
+
+
+_D, _L = "(case when i.a >= 1 then 1e30 else -ln(1 - i.a) end)", "(case when i.zb > i.zf then (e.zb - e.zf) / (i.zb - i.zf) else 1 end)"
+DEEP_MERGE = (
+    f"{DEEP}, cuts as (select distinct image_id, y, x, z from (select image_id, y, x, zf as z from s union all select image_id, y, x, zb from s)), "
+    "gaps as (select image_id, y, x, z as zf, lead(z) over (partition by image_id, y, x order by z) as zb from cuts), "
+    "e as (select * from gaps where zb is not null union all select distinct image_id, y, x, zf, zb from s where zf = zb), "
+    f"p as (select e.image_id, e.y, e.x, e.zf, e.zb, sum({_D} * {_L}) as depth, sum(i.r / i.a * {_D} * {_L}) filter (where i.a > 0) as red, sum({_D} * {_L}) filter (where i.a > 0) as blue "
+    "from e join s i on i.image_id = e.image_id and i.y = e.y and i.x = e.x and ((e.zf < e.zb and i.zf <= e.zf and i.zb >= e.zb) or (e.zf = e.zb and i.zf = e.zf and i.zb = e.zb)) group by all) "
+    "select image_id, y, x, " + ", ".join(f"round({v} + 1e-9, 6) + 0.0 as s_{n}" for n, v in (("r", "coalesce(f * red, 0)"), ("g", "coalesce(f * red / 2, 0)"), ("b", "coalesce(f * blue, 0)"), ("a", "1 - exp(-depth)"), ("z", "zf"), ("zback", "zb")))
+    + " from (select *, case when depth > 1e-12 then (1 - exp(-depth)) / depth else 1 end as f from p)"
+)
+register("deep_merge", _merged_samples, DEEP_MERGE)
+register("deep_holdout", lambda s, d: D.deep_holdout(_deep(s, d), D.deepen(G.fill(s, R64, [0, 0, 0, 1, 25.5], names=["R", "G", "B", "A", "Z"]))).select("image_id", "y", "x", F.size("samples").cast("long").alias("n")), f"{DEEP} select image_id, y, x, count(*) filter (where zf < 25.5 or (zf = 25.5 and zb = 25.5)) as n from s group by all")
 register("deepen", lambda s, d: D.deepen(ev(s, d).with_channels([F.col("c0") * 0 + F.when(F.col("c1") > 1, 1.0).otherwise(0.0)], ["R"])).select("image_id", "y", "x", F.size("samples").cast("long").alias("n")), f"{EV} select image_id, y, x, case when c1 > 1 then 1 else 0 end::bigint as n from a")
 register("igrep", lambda s, d: S.igrep(_attribs(s, d), "^h.*LD$", True), "select cast(c_custkey as varchar) as filename, 'segment' as name, c_mktsegment as value from customer where regexp_matches(lower(c_mktsegment), '^h.*ld$')")
 register("igrep_invert", lambda s, d: S.igrep(_attribs(s, d), "HOUSE", False, True).select("filename"), "select cast(c_custkey as varchar) as filename from customer where not regexp_matches(c_mktsegment, 'HOUSE') and not regexp_matches(c_name, 'HOUSE')")
@@ -426,7 +476,7 @@ def _bicubic(s: SparkSession, d: str) -> DataFrame:
 
 register("texture3d", _volume, "select o_orderkey as id, round((1 + o_orderkey % 50 / 10.0 - 0.5) + (1 + o_orderkey % 45 / 10.0 - 0.5) * 2 + (1 + o_orderkey % 40 / 10.0 - 0.5) * 4, 6) + 0.0::double as c0 from orders")
 register("interp_bicubic", _bicubic, "select o_orderkey as id, round((4 + o_orderkey % 500 / 10.0 - 0.5) + (4 + o_orderkey % 450 / 10.0 - 0.5) * 2, 6) + 0.0::double as c0 from orders")
-unary("perpixel_op", lambda a: U.per_pixel(a, lambda v: v * 2 + 1), lambda i: f"c{i} * 2 + 1")
+unary("perpixel_op", lambda a: U.per_pixel(a.dense(), lambda v: v * 2 + 1), lambda i: f"c{i} * 2 + 1", dense=True)
 register("perpixel_op2", lambda s, d: shown(U.per_pixel(_li(s, d, "A"), lambda v, w: v - w + 1e-9, _li(s, d, "R"))), f"{LI} select {_show_sql([f'a{i} - b{i} + 1e-9' for i in range(5)])} from a")
 register("parallel_image", lambda s, d: shown(U.per_tile(G.fill(s, R64, [0], [1], [2], [4]), lambda v, roi: v * 0.5, 16)), GRID.format(v="round(0.5 * ((1 - y / 63.0) * (x / 63.0) + y / 63.0 * ((1 - x / 63.0) * 2 + x / 63.0 * 4)), 6) + 0.0 as c0", y0=0, y1=64, x0=0, x1=64))
 register("bluenoise_image", lambda s, d: U.bluenoise_image(s).df.agg(F.count("*").alias("n"), *[(F.round(F.avg(f"c{i}"), 6) + 0.0).alias(f"m{i}") for i in range(4)]), "select 1024::bigint as n, 0.5 as m0, 0.5 as m1, 0.5 as m2, 0.5 as m3")
