@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, row int, chunk string, key string"
+#: Extra columns are named as operators' own.
+CLASHING = ("row", "chunk", "key", "doc", "row_hash", "bits", "found", "__doc", "__key", "cls", "band", "Hash", "route")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHING)
 
 
 def words(rng, n, kinds=4000):
@@ -24,9 +26,12 @@ def odd_rows():
         long, "ab " * 500, "shared line of text\nown " + words(rng, 20), " Shared Line OF text \nother " + words(rng, 20),
         "ünïcode ¿qué? 漢字 " * 30, "é" * 900, "x" * 900, "12 34 !!", "shared line of text\nshared line of text",
     ]
-    rows = [(i, t, ("en", "de", None)[i % 3], "s", len(t or ""), i, "c", "k") for i, t in enumerate(texts)]
-    rows.append((None, "no id here " + words(rng, 30), "en", None, None, None, None, None))
-    rows.append((None, None, None, None, None, None, None, None))
+    own, no = (*range(len(CLASHING)),), (None,) * len(CLASHING)
+    rows = [(i, t, ("en", "de", None)[i % 3], "s", len(t or ""), *own) for i, t in enumerate(texts)]
+    rows.append(((1 << 63) - 1, "shared line of text\nthe largest id", "en", "s", 1, *own))
+    rows.append((None, "no id here " + words(rng, 30), "en", None, None, *no))
+    rows.append((None, "shared line of text\nno id", "en", None, None, *no))
+    rows.append((None, None, None, None, None, *no))
     rows.append(rows[3])
     return rows
 
