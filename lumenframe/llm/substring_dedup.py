@@ -1,10 +1,11 @@
 """Substring deduplication by relative Lempel-Ziv parsing over words.
 
-Passages that share a rare n-gram meet in a reference block, which is indexed by
-a suffix array.  Every passage is factored greedily against the block: a factor
-is the longest match that occurs elsewhere in it.  Factors of at least `width`
-words are duplicate spans; windows that cross the end of a factor are checked
-against the index one by one.
+Passages that share a rare n-gram meet in a reference block, so that each document
+is parsed against every block that can hold a match of it.  A block is indexed once,
+by a suffix array over the names of its words, and every passage is factored
+greedily: a factor is the longest match that occurs elsewhere in the block.  The
+windows within a factor are duplicate spans.  A window that crosses a factor's end
+may still occur elsewhere: these, and only these, are looked up one by one.
 """
 
 from __future__ import annotations
@@ -17,63 +18,95 @@ from lumenframe.llm import _text
 from lumenframe.llm._repeats import Unit, remove_repeats
 
 WIDTH, GRAM = 35, 8
+BLANK = np.arange(256) == 0x20
 REMOVED = "doc_id long, n_words long, n_removed long, spans array<struct<begin:long,end:long>>, text string"
 
 
-def match_lengths(symbols: np.ndarray, most: int) -> np.ndarray:
-    """Length of the longest match of each position with another one, exact up to `most`.
-
-    The index is a suffix array by doubling; neighbours in it are compared by the
-    names that each doubling gave to substrings.
-    """
-    n = len(symbols)
-    levels = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
-    while 1 << len(levels) <= most:
-        step, name = 1 << (len(levels) - 1), levels[-1]
-        after = np.zeros(n, np.int64)
-        after[: n - step] = name[step:] + 1
-        levels.append(np.unique(name * (n + 2) + after, return_inverse=True)[1].astype(np.int64))
-    array = np.argsort(levels[-1], kind="stable")
-    a, b = array[:-1], array[1:]
-    common = np.zeros(n - 1, np.int64) if n else np.zeros(0, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        x, y = a + common, b + common
-        fine = (x + (1 << k) <= n) & (y + (1 << k) <= n)
-        same = np.zeros(len(a), bool)
-        same[fine] = levels[k][x[fine]] == levels[k][y[fine]]
-        common[same] += 1 << k
-    out = np.zeros(n, np.int64)
-    if n > 1:
-        out[a] = common
-        out[b] = np.maximum(out[b], common)
-    return out
-
-
-def factor(lengths: list[int], windows: int, width: int) -> list[int]:
-    """Starts of the repeated windows of a passage, from its greedy factors and the windows at their ends."""
-    out, at = [], 0
-    while at < windows:
-        long = lengths[at]
-        if long >= width:
-            whole = min(at + long - width + 1, windows)
-            out += range(at, whole)
-            out += [s for s in range(whole, min(at + long, windows)) if lengths[s] >= width]
-        else:
-            out += [s for s in range(at + 1, min(at + long, windows)) if lengths[s] >= width]
-        at += max(1, long)
+class Reference:
+    """A block's words as one row of symbols, each segment closed by an end of its own; suffix array by doubling."""
+
+    def __init__(self, segments: list[bytes], most: int):
+        data = np.frombuffer(b" ".join(segments), np.uint8)
+        starts, ends, _ = _text.words(data, np.array([0, len(data)]), BLANK)
+        offsets = pa.py_buffer(np.append(starts, len(data) + 1).astype("<i8"))
+        # Names of words: equal words, and no others, share one.  All but the last are followed by a blank.
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data.tobytes() + b" ")])
+        names = words.dictionary_encode().indices.to_numpy()
+        sizes = np.array([s.count(b" ") + 1 for s in segments])
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.begins = self.ends - sizes
+        symbols = np.empty(int(self.ends[-1]) + 1, np.int64)
+        symbols[self.ends] = np.arange(len(segments)) + len(names)
+        inside = np.ones(len(symbols), bool)
+        inside[self.ends] = False
+        symbols[inside] = names
+        n = len(symbols)
+        self.levels = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
+        while 1 << len(self.levels) <= most:
+            step, name = 1 << (len(self.levels) - 1), self.levels[-1]
+            after = np.zeros(n, np.int64)
+            after[: n - step] = name[step:] + 1
+            self.levels.append(np.unique(name * (n + 2) + after, return_inverse=True)[1].astype(np.int64))
+        self.array = np.argsort(self.levels[-1], kind="stable")
+        self.rank = np.empty(n, np.int64)
+        self.rank[self.array] = np.arange(n)
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes a and b, by the names of substrings."""
+        n, common = len(self.array), np.zeros(len(a), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            x, y = a + common, b + common
+            fine = (x + (1 << k) <= n) & (y + (1 << k) <= n)
+            fine[fine] = self.levels[k][x[fine]] == self.levels[k][y[fine]]
+            common[fine] += 1 << k
+        return common
+
+    def longest(self, at: np.ndarray) -> np.ndarray:
+        """For each place, the length of its longest match elsewhere: that with a neighbour in the suffix array."""
+        out = np.zeros(len(at), np.int64)
+        for step in (-1, 1):
+            other = self.rank[at] + step
+            fine = (other >= 0) & (other < len(self.array))
+            out[fine] = np.maximum(out[fine], self._common(at[fine], self.array[other[fine]]))
+        return out
+
+
+def repeated_windows(reference: Reference, width: int) -> np.ndarray:
+    """A mark for each place of the reference where a window starts that occurs elsewhere: greedy factors of all segments, side by side."""
+    marks = np.zeros(len(reference.array) + 1, np.int64)
+    last = reference.ends - width  # of the windows of each segment
+    looked = reference.begins.copy()  # windows before have been decided
+    at = reference.begins.copy()
+    go = np.flatnonzero(at <= last)
+    crossing: list[np.ndarray] = []
+    while len(go):
+        long = reference.longest(at[go])
+        # Windows within the factor are repeated, without another look.
+        upto = np.minimum(at[go] + long - width, last[go]) + 1
+        whole = upto > at[go]
+        np.add.at(marks, at[go][whole], 1)
+        np.add.at(marks, upto[whole], -1)
+        after = np.minimum(at[go] + np.maximum(long, 1), last[go] + 1)
+        # Those that start within it and end behind it are looked up.
+        begin = np.maximum(np.where(whole, upto, at[go] + 1), looked[go])
+        begin[(long == 0)] = after[long == 0]
+        size = np.maximum(after - begin, 0)
+        crossing.append(np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size))
+        at[go] += np.maximum(long, 1)
+        looked[go] = np.maximum(looked[go], after)
+        go = go[at[go] <= last[go]]
+    out = np.cumsum(marks[:-1]) > 0
+    rest = np.concatenate([*crossing, np.zeros(0, np.int64)])
+    rest = rest[~out[rest]]
+    out[rest[reference.longest(rest) >= width]] = True
     return out
 
 
-def solve(segments: list[np.ndarray], width: int) -> list[np.ndarray]:
+def solve(segments: list[bytes], width: int) -> list[np.ndarray]:
     """For each segment, the starts of windows that occur elsewhere among all segments."""
-    sizes = np.array([len(s) for s in segments])
-    ends = np.cumsum(sizes + 1)
-    symbols = np.empty(int(ends[-1]), np.int64)
-    for k, (s, e) in enumerate(zip(segments, ends.tolist(), strict=True)):
-        symbols[e - len(s) - 1 : e - 1] = s
-        symbols[e - 1] = -1 - k  # ends differ from each other and from all words
-    lengths = match_lengths(symbols, 2 * width).tolist()
-    return [np.array(factor(lengths[e - n - 1 : e - 1], n - width + 1, width), np.int64) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    reference = Reference(segments, 2 * width)
+    marks = repeated_windows(reference, width)
+    return [np.flatnonzero(marks[b : max(b, e - width + 1)]) for b, e in zip(reference.begins.tolist(), reference.ends.tolist(), strict=True)]
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -81,7 +114,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     A word goes if a window of `width` words that covers it starts anywhere else as
     well, in whatever row; so repeated rows lose such windows in every copy.  Windows
-    are judged on the input.  A null or empty text has no words; a null doc_id stays.
+    are judged on the input, on their text.  A null or empty text has no words; a null
+    doc_id stays.  A long text is a step of its own, in about forty times its bytes.
     """
 
     def finish(table: pa.Table, ranges: list) -> pa.Table:
