@@ -146,3 +146,16 @@ def quantize(v: Column, bits: int, signed: bool = False) -> Column:
 
 def dequantize(v: Column, bits: int, signed: bool = False) -> Column:
     return v / float((1 << (bits - signed)) - 1)
+
+
+def sincos(x: Column) -> Column:
+    """Sine and cosine together."""
+    return F.struct(F.sin(x).alias("sin"), F.cos(x).alias("cos"))
+
+
+def fast_safe_pow(x: Column, y: Column) -> Column:
+    """A power that is never undefined: 1 for a power of 0, 0 of 0, and of negative numbers only whole powers."""
+    whole = F.floor(y) == y
+    odd = F.abs(F.pmod(y, F.lit(2.0))) == 1
+    size = F.least(F.pow(F.abs(x), y), F.lit(3.4028234663852886e38))
+    return F.when(y == 0, 1.0).when(x == 0, 0.0).when(y == 1, x).when(y == 2, F.least(x * x, F.lit(3.4028234663852886e38))).when(x > 0, size).when(whole, F.when(odd, -size).otherwise(size)).otherwise(0.0)

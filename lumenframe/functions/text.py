@@ -150,3 +150,68 @@ def wordwrap(a: Column, columns: int) -> Column:
     """Lines of at most `columns` characters, broken at blanks."""
     step = lambda acc, w: F.when(F.length(acc) == 0, w).when(F.length(F.substring_index(acc, "\n", -1)) + F.length(w) + 1 > columns, F.concat(acc, lit("\n"), w)).otherwise(F.concat(acc, lit(" "), w))
     return F.aggregate(F.split(a, " "), lit(""), step)
+
+
+def utf8_to_unicode(s: Column) -> Column:
+    """The code points of all characters."""
+    return F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+def _rest(s: Column, found: Column, after: Column) -> Column:
+    """found, and the text after what was eaten; the whole text if nothing was."""
+    return F.struct(found.alias("found"), F.when(found, after).otherwise(s).alias("rest"))
+
+
+def parse_char(s: Column, c: str, skip_whitespace: bool = True) -> Column:
+    """Whether the text begins with a character, after blanks if they are skipped; and what follows."""
+    body = F.ltrim(s) if skip_whitespace else s
+    return _rest(s, F.startswith(body, lit(c)), F.substr(body, lit(2)))
+
+
+def parse_prefix(s: Column, prefix: str, skip_whitespace: bool = True) -> Column:
+    """Whether the text begins with prefix; and what follows."""
+    body = F.ltrim(s) if skip_whitespace else s
+    return _rest(s, F.startswith(body, lit(prefix)), F.substr(body, lit(len(prefix) + 1)))
+
+
+def _parsed(s: Column, pattern: str, kind: str) -> Column:
+    text = F.regexp_extract(s, rf"^\s*({pattern})", 1)
+    size = F.char_length(F.regexp_extract(s, rf"^(\s*{pattern})", 1))
+    return F.struct(F.when(text != "", text.cast(kind)).alias("value"), F.substr(s, size + 1).alias("rest"))
+
+
+def parse_int(s: Column) -> Column:
+    """The whole number that the text begins with, after blanks, or null; and what follows."""
+    return _parsed(s, "[-+]?[0-9]+", "int")
+
+
+def parse_float(s: Column) -> Column:
+    return _parsed(s, r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?", "double")
+
+
+def stod(s: Column) -> Column:
+    """The number that the text begins with, 0 if none."""
+    return F.coalesce(parse_float(s)["value"], lit(0.0))
+
+
+def parse_string(s: Column, keep_quotes: bool = False) -> Column:
+    """The quoted string, or else the run without blanks, that the text begins with; and what follows."""
+    quoted = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"
+    text = F.regexp_extract(s, rf"^\s*({quoted}|[^\s\"']+)", 1)
+    size = F.char_length(F.regexp_extract(s, rf"^(\s*(?:{quoted}|[^\s\"']+))", 1))
+    bare = F.when(text.rlike("^[\"']"), F.substr(text, lit(2), F.greatest(F.char_length(text) - 2, lit(0)))).otherwise(text)
+    return F.struct((text if keep_quotes else bare).alias("value"), F.substr(s, size + 1).alias("rest"))
+
+
+def parse_nested(s: Column) -> Column:
+    """The balanced part in (), [] or {} that the text begins with, or an empty one; and what follows."""
+    opening = F.substr(s, lit(1), lit(1))
+    closing = F.translate(opening, "([{", ")]}")
+    step = lambda acc, c: F.struct(
+        F.when(acc["end"] > 0, acc["depth"]).when(c == opening, acc["depth"] + 1).when(c == closing, acc["depth"] - 1).otherwise(acc["depth"]).alias("depth"),
+        (acc["at"] + 1).alias("at"),
+        F.when(acc["end"] > 0, acc["end"]).when((c == closing) & (acc["depth"] == 1), acc["at"] + 1).otherwise(0).alias("end"),
+    )
+    start = F.struct(lit(0).alias("depth"), lit(0).alias("at"), lit(0).alias("end"))
+    end = F.when(opening.isin("(", "[", "{"), F.aggregate(F.split(s, ""), start, step, lambda acc: acc["end"])).otherwise(0)
+    return F.struct(F.substr(s, lit(1), end).alias("value"), F.substr(s, end + 1).alias("rest"))

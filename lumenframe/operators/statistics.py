@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,13 +132,34 @@ def histogram(a: Image, channel: int = 0, bins: int = 256, low: float = 0.0, hig
     return full.join(counted, ["image_id", "bin"], "left").select("image_id", "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def pixel_hash(a: Image, block_rows: int = 64) -> DataFrame:
-    """image_id, sha1: of the digests of blocks of rows, each of its pixels' values in scan order."""
-    text = F.concat_ws(",", F.col("y"), F.col("x"), *[F.format_string("%.6f", F.round(c, 6) + 0.0) for c in a.c])
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("z", "y", "x", text.alias("t")))), lambda r: r["t"])
-    blocks = a.df.groupBy("image_id", F.expr(f"floor(y / {block_rows})").alias("block")).agg(F.sha1(F.concat_ws(";", ordered)).alias("h"))
-    digests = F.transform(F.sort_array(F.collect_list(F.struct("block", "h"))), lambda r: r["h"])
-    return blocks.groupBy("image_id").agg(F.sha1(F.concat_ws("", digests)).alias("sha1"))
+def pixel_hash(a: Image, block_rows: int = 64, extra: str = "") -> DataFrame:
+    """image_id, sha1: of the pixels' 32-bit values as bytes, channel by channel in scan order.
+
+    Each block of rows is hashed by a task of its own, and the result is the hash of
+    the blocks' digests; extra goes in at the end.  Pixels without a row are zero.
+    """
+    d, n = a.spec.data, a.spec.n
+    lines = F.expr(f"(z - {d.z0}) * {d.height} + y - {d.y0}").cast("long")
+
+    def digest(key: tuple, table: pa.Table) -> pa.Table:
+        block = key[1].as_py()
+        rows = min(block_rows, d.depth * d.height - block * block_rows)
+        full = np.zeros((rows, d.width, n), "<f4")
+        at = table.column("line").to_numpy() - block * block_rows
+        for i in range(n):
+            full[at, table.column("x").to_numpy() - d.x0, i] = table.column(f"c{i}").to_numpy()
+        return pa.table({"image_id": [key[0].as_py()], "block": pa.array([block], pa.int64()), "h": [hashlib.sha1(full.tobytes()).hexdigest()]})
+
+    rows = a.df.filter(d.has()).select("image_id", lines.alias("line"), "x", *a.c).withColumn("block", F.expr(f"line div {block_rows}"))
+    blocks = rows.groupBy("image_id", "block").applyInArrow(digest, "image_id string, block long, h string")
+    # Blocks without any row are zero throughout.
+    zero = lambda rows: hashlib.sha1(np.zeros((rows, d.width, n), "<f4").tobytes()).hexdigest()
+    count, last = divmod(d.depth * d.height, block_rows)
+    every = F.explode(F.expr(f"sequence(0L, {count - (last == 0)}L)")).alias("block")
+    whole = a.df.select("image_id").distinct().select("image_id", every).join(blocks, ["image_id", "block"], "left")
+    missing = F.when(F.col("block") == count, zero(last)).otherwise(zero(block_rows))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("block", F.coalesce("h", missing).alias("h")))), lambda r: r["h"])
+    return whole.groupBy("image_id").agg(F.sha1(F.concat(F.concat_ws("", ordered), F.lit(extra)).cast("binary")).alias("sha1"))
 
 
 def diff_status(results: DataFrame, pixels: int, fail_percent: float = 0.0, hard_fail: float = math.inf, warn_percent: float = 0.0, hard_warn: float = math.inf) -> DataFrame:

@@ -55,7 +55,7 @@ string("replace", lambda p, n: F.replace(p, lit("-"), lit("::")), f"replace({P},
 string("stoi", lambda p, n: T.stoi(p), f"cast(regexp_extract({P}, '^([0-9]+)', 1) as int)")
 string("stof", lambda p, n: T.stof(F.concat(p.substr(1, 1), lit(".25x"))), f"cast({P}[1] || '.25' as double)")
 string("string_is_int", lambda p, n: T.string_is_int(F.substring_index(n, "#", -1)), f"regexp_full_match(split_part({C}, '#', 2), '[0-9]+')", True)
-string("string_is_float", lambda p, n: T.string_is_float(p), "false")
+string("string_is_float", lambda p, n: T.string_is_float(F.concat(p.substr(1, 1), F.when(F.col("o_orderkey") % 2 == 0, ".5e3").otherwise("x5"))), "o_orderkey % 2 = 0")
 string("parse_word", lambda p, n: T.parse_word(n), f"regexp_extract({C}, '^([A-Za-z]+)', 1)", True)
 string("parse_identifier", lambda p, n: T.parse_identifier(n), f"regexp_extract({C}, '^([A-Za-z_][A-Za-z0-9_]*)', 1)", True)
 string("parse_until", lambda p, n: T.parse_until(n, "#"), f"split_part({C}, '#', 1)", True)
@@ -65,7 +65,14 @@ string("escape_chars", lambda p, n: T.escape_chars(F.concat(n, lit('\n"'))), f"{
 string("unescape_chars", lambda p, n: T.unescape_chars(T.escape_chars(F.concat(n, lit('\t\\n"')))), f"{C} || chr(9) || '\\n\"'", True)
 string("base64_encode", lambda p, n: F.base64(n.cast("binary")), f"base64(encode({C}))", True)
 string("sha1", lambda p, n: F.sha1(n.cast("binary")), f"sha1({C})", True)
-string("utf8_to_unicode", lambda p, n: F.ascii(p), f"ascii({P})")
+string("utf8_to_unicode", lambda p, n: F.array_join(T.utf8_to_unicode(F.concat(n, lit("é"))).cast("array<string>"), ","), f"array_to_string(list_transform(string_split({C} || 'é', ''), lambda x: unicode(x)), ',')", True)
+string("parse_char", lambda p, n: F.concat_ws("|", T.parse_char(F.concat(lit("  "), p), "2")["found"].cast("string"), T.parse_char(p, "1")["rest"]), f"cast({P}[1] = '2' as varchar) || '|' || case when {P}[1] = '1' then substr({P}, 2) else {P} end")
+string("parse_prefix", lambda p, n: T.parse_prefix(n, "Cust")["rest"], f"substr({C}, 5)", True)
+string("parse_int", lambda p, n: T.parse_int(F.substring_index(n, "#", -1))["value"] + F.char_length(T.parse_int(F.concat(lit(" -12x"), n))["rest"]), f"cast(split_part({C}, '#', 2) as int) + length({C}) + 1", True)
+string("parse_float", lambda p, n: T.parse_float(F.concat(lit(" -"), p.substr(1, 1), lit(".5e1,"), p))["value"], f"-(cast({P}[1] as double) + 0.5) * 10")
+string("stod", lambda p, n: T.stod(F.concat(p.substr(1, 1), lit(".25x"))) + T.stod(lit("none")), f"cast({P}[1] || '.25' as double)")
+string("parse_string", lambda p, n: F.concat_ws("|", T.parse_string(F.concat(lit(' "'), n, lit('" rest')))["value"], T.parse_string(F.concat(lit("one two "), n))["rest"]), f"{C} || '| two ' || {C}", True)
+string("parse_nested", lambda p, n: F.concat_ws("|", *[T.parse_nested(F.concat(lit("(a[b](c)"), n, lit(") tail)")))[k] for k in ("value", "rest")]), f"'(a[b](c)' || {C} || ')| tail)'", True)
 MEM = "cast(trunc(o_totalprice * 10) as bigint)"
 string("memformat", lambda p, n: T.memformat((F.col("o_totalprice") * 10).cast("long")), f"case when {MEM} >= 1048576 then printf('%.1f MB', floor({MEM} / 1048576.0 * 10 + 0.5) / 10) else printf('%.1f KB', floor({MEM} / 1024.0 * 10 + 0.5) / 10) end")
 string("wordwrap", lambda p, n: T.wordwrap(F.replace(n, lit("#"), lit(" of number ")), 12), f"'Customer of' || chr(10) || 'number' || case when length(split_part({C}, '#', 2)) + 7 > 12 then chr(10) else ' ' end || split_part({C}, '#', 2)", True)
@@ -130,6 +137,8 @@ for _name, _f, _s in (
     ("sinpi", lambda u, x, i: F.sin(3.141592653589793 * u), f"sin(pi() * {U})"), ("cospi", lambda u, x, i: F.cos(3.141592653589793 * u), f"cos(pi() * {U})"), ("pow_pos", lambda u, x, i: F.pow(u + 1, x), f"pow({U} + 1, {X})"), ("logb", lambda u, x, i: F.floor(F.log2(u + 1.01)).cast("double"), f"floor(log2({U} + 1.01))"),
 ):
     math(f"fast_{_name}", _f, _s)
+math("sincos", lambda u, x, i: M.sincos(x)["sin"] * 2 + M.sincos(x)["cos"], f"sin({X}) * 2 + cos({X})")
+math("fast_safe_pow", lambda u, x, i: M.fast_safe_pow(x, F.floor(u * 4).cast("double")) + M.fast_safe_pow(x, u), f"(case when floor({U} * 4) = 0 then 1.0 when {X} = 0 then 0.0 else pow({X}, floor({U} * 4)) end) + (case when {U} = 0 then 1.0 when {X} = 0 then 0.0 when {X} > 0 then pow(abs({X}), {U}) when {U} = 1 then {X} else 0.0 end)")
 _T = f"(1 / (1 + 0.3275911 * abs({X})))"
 _ERF = f"(sign({X}) * (1 - {_T} * (0.254829592 + {_T} * (-0.284496736 + {_T} * (1.421413741 + {_T} * (-1.453152027 + {_T} * 1.061405429)))) * exp(-{X} * {X})))"
 math("fast_erf", lambda u, x, i: M.fast_erf(x), _ERF)

@@ -33,11 +33,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where that is unset, as in tests, a folder of this machine is set instead.
+    Where that is unset, as in tests, a folder of this machine is set instead; that
+    only works with a local master, so on a cluster it is an error.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", path)
     if context._jsc.sc().getCheckpointDir().isEmpty():

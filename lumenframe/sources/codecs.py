@@ -339,3 +339,6 @@ def decode(data: bytes, filename: str = "") -> Pixels:
     if found.decode is None:
         raise ValueError(f"{filename!r} can only be written")
     return found.decode(data)
+
+
+from lumenframe.sources import formats  # noqa: E402, F401  (its codecs join the table above)
