@@ -470,7 +470,7 @@ for _fmt, _top, _stored in (("pnm", 255, 255), ("bmp", 255, 255), ("png", 255, 2
     register(f"format_{_fmt}", _roundtrip(_fmt, _top), _roundtrip_sql(_top, _stored))
 register("format_zfile", _roundtrip("zfile", 999), _roundtrip_sql(999, None, True))
 register("format_hdr", lambda s, d: _roundtrip("hdr", 20)(s, d).agg(F.count("*").alias("n")), "select 144::bigint as n")
-register("format_gif", lambda s, d: _roundtrip("gif", 30)(s, d), f"with v as ({_roundtrip_sql(3000, 3000)}) select y, x, " + ", ".join(f"cast(floor(round(255.0 * round(c{i} / 3000.0 * {n}) / {n}) / 255.0 * 30 + 0.5) as bigint) as c{i}" for i, n in enumerate((5, 6, 5))) + " from v")
+register("format_gif", lambda s, d: _roundtrip("gif", 30)(s, d), f"with v as ({_roundtrip_sql(3000, 3000)}) select y, x, " + ", ".join(f"cast(floor(round(255.0 * round_even(c{i} / 3000.0 * {n}, 0) / {n}) / 255.0 * 30 + 0.5) as bigint) as c{i}" for i, n in enumerate((5, 6, 5))) + " from v")
 register("stream_windows", lambda s, d: T.run_available(s, d, "events.parquet").select("kind", F.col("begin").cast("timestamp_ntz").alias("begin"), "n", (F.round("total", 4) + 0.0).alias("total")), "select event_type as kind, date_trunc('hour', ts) as begin, count(*) as n, round(sum(value), 4) + 0.0 as total from events group by all")
 
 
