@@ -22,28 +22,37 @@ from lumenframe.session import shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language stays doubtful, go."""
+    """Documents without a letter (null and empty ones too), or whose language is doubtful or unlike all that were learned, go.
+
+    Repeated rows are judged alike.
+    """
     return known_language(docs, fit_language_id(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; documents stay, if need be with an empty text.  n_chars follows the text."""
+    """Lines that an earlier document holds go; documents stay, if need be with an empty text.  n_chars follows the text.
+
+    A null text stays null; rows without doc_id are one document that comes last.
+    """
     out = apply_bitmaps(docs, drop_bitmaps(docs))
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: that with the least doc_id.
+
+    Rows that share a doc_id are one document; null and empty texts are no copies and stay.
+    """
     return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go; null and empty texts stay."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences."""
+    """The pieces of all sequences; a null or empty text is its end alone."""
     return pack(docs, tokenizer_path())
 
 
@@ -60,7 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents, each written to the shared folder first."""
+    """All stages applied to documents, each written to the shared folder first, where the last one's rows are read from."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
