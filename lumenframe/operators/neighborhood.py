@@ -259,30 +259,31 @@ def _inverse(m: Matrix) -> np.ndarray:
 def warp(a: Image, m: Matrix, name: str = "lanczos3", filter_width: float | None = None, roi: Roi | None = None) -> Image:
     """Projective warp by a row-vector 3x3 matrix: each target pixel's centre is mapped back and its source footprint filtered."""
     roi = roi or a.spec.data
-    inv, f, (weight, default) = _inverse(m), a.spec.data, filters.FILTERS[name]
-    fw = filter_width or default
-    rows = []
-    # The footprint of every target pixel is a plan-time table of the output's size, in blocks on the executors.
+    inv, (weight, default) = _inverse(m), filters.FILTERS[name]
+    fw, spark, wide = filter_width or default, a.df.sparkSession, np.vectorize(weight, otypes=[float])
+    # The footprints of the targets are a table of the output's size, made on the executors a scan line at a time.
     schema = "tx int, ty int, x int, y int, w double"
-    spark = a.df.sparkSession
+
+    def line(ty: int) -> pd.DataFrame:
+        tx = np.arange(roi.x0, roi.x1)
+        p = np.stack([tx + 0.5, np.full(len(tx), ty + 0.5), np.ones(len(tx))], 1)
+        at = [(p + step) @ inv for step in ([0, 0, 0], [1, 0, 0], [0, 1, 0])]
+        (s, t), (sx, tx_), (sy, ty_) = [(q[:, 0] / q[:, 2], q[:, 1] / q[:, 2]) for q in at]
+        ds, dt = np.maximum(1, np.maximum(abs(sx - s), abs(sy - s))), np.maximum(1, np.maximum(abs(tx_ - t), abs(ty_ - t)))
+        x0, x1 = np.floor(s - 0.5 * ds * fw).astype(int), np.ceil(s + 0.5 * ds * fw).astype(int)
+        y0, y1 = np.floor(t - 0.5 * dt * fw).astype(int), np.ceil(t + 0.5 * dt * fw).astype(int)
+        size = (x1 - x0) * (y1 - y0)
+        own = np.repeat(np.arange(len(tx)), size)
+        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        y, x = y0[own] + k // (x1 - x0)[own], x0[own] + k % (x1 - x0)[own]
+        w = wide((x + 0.5 - s[own]) / ds[own], fw) * wide((y + 0.5 - t[own]) / dt[own], fw) if len(own) else np.zeros(0)
+        fine = w != 0
+        return pd.DataFrame({"tx": tx[own[fine]], "ty": ty, "x": x[fine], "y": y[fine], "w": w[fine]})
 
     def taps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows.clear()
             for ty in batch["y"]:
-                for tx in range(roi.x0, roi.x1):
-                    p = np.array([tx + 0.5, ty + 0.5, 1.0])
-                    q, qx, qy = p @ inv, (p + [1, 0, 0]) @ inv, (p + [0, 1, 0]) @ inv
-                    s, t = q[0] / q[2], q[1] / q[2]
-                    ds = max(1.0, abs(qx[0] / qx[2] - s), abs(qy[0] / qy[2] - s))
-                    dt = max(1.0, abs(qx[1] / qx[2] - t), abs(qy[1] / qy[2] - t))
-                    rx, ry = 0.5 * ds * fw, 0.5 * dt * fw
-                    for y in range(math.floor(t - ry), math.ceil(t + ry)):
-                        for x in range(math.floor(s - rx), math.ceil(s + rx)):
-                            w = weight((x + 0.5 - s) / ds, fw) * weight((y + 0.5 - t) / dt, fw)
-                            if w:
-                                rows.append((tx, ty, x, y, w))
-            yield pd.DataFrame(rows, columns=["tx", "ty", "x", "y", "w"])
+                yield line(ty)
 
     table = spark.range(roi.y0, roi.y1).select(F.col("id").cast("int").alias("y")).mapInPandas(taps, schema)
     norm = table.groupBy("tx", "ty").agg(F.sum("w").alias("norm"))

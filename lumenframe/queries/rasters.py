@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -292,13 +293,47 @@ def _no_tie(a: Image) -> DataFrame:
 register("resample_nearest", lambda s, d: _no_tie(N.resample(ev(s, d).dense(), 12, 8, False)), _resampled_sql(12, 8, False))
 register("resample_bilinear", lambda s, d: _no_tie(N.resample(ev(s, d).dense(), 12, 8, True)), _resampled_sql(12, 8, True))
 register("fit", lambda s, d: shown(N.fit(ev(s, d), 20, 20, "triangle")))
-register("rotate", lambda s, d: shown(N.rotate(ev(s, d), 0.3, name="triangle")))
-register("warp", lambda s, d: shown(N.warp(ev(s, d), [1.1, 0.1, 0, -0.1, 0.9, 0, 1, 2, 1], "triangle")))
-register("st_warp", lambda s, d: shown(N.st_warp(ev(s, d), _st(s, d))))
+
+
+def _warp_sql(m: list[float]) -> str:
+    """Each target's centre mapped back by the inverse, and the triangle filter of two pixels about it, widened where the map shrinks."""
+    inv = np.linalg.inv(np.array(m, float).reshape(3, 3))
+    back = lambda x, y, k: f"(({x}) * {float(inv[0, k])!r}::double + ({y}) * {float(inv[1, k])!r}::double + {float(inv[2, k])!r}::double)"
+    q = lambda x, y, k: f"{back(x, y, k)} / {back(x, y, 2)}"
+    x, y = "l.x + 0.5", "l.y + 0.5"
+    points = ", ".join(f"{q(px, py, k)} as {n}{k}" for n, px, py in (("o", x, y), ("r", x + " + 1", y), ("b", x, y + " + 1")) for k in (0, 1))
+    t = f"t as (select l.image_id, l.x, l.y, {points} from lattice l), u as (select *, greatest(1.0, abs(r0 - o0), abs(b0 - o0)) as ds, greatest(1.0, abs(r1 - o1), abs(b1 - o1)) as dt from t)"
+    near = "s.x >= floor(o0 - ds) and s.x < ceil(o0 + ds) and s.y >= floor(o1 - dt) and s.y < ceil(o1 + dt)"
+    cells = "cells as (select xx as x, yy as y from (select unnest(range(-100, 200)) as xx), (select unnest(range(-100, 500)) as yy))"
+    weight = "greatest(0.0, 1 - abs((s.x + 0.5 - o0) / ds)) * greatest(0.0, 1 - abs((s.y + 0.5 - o1) / dt))"
+    norm = f"n as (select u.image_id, u.x, u.y, sum({weight}) as norm from u join cells s on {near} group by all)"
+    got = f"g as (select u.image_id, u.x, u.y, " + ", ".join(f"sum(({weight}) * s.c{i}) as c{i}" for i in range(2)) + f" from u join a s on s.image_id = u.image_id and {near} and ({weight}) > 0 group by all)"
+    return f"{EV}, {LATTICE}, {t}, {cells}, {norm}, {got} select image_id, y, x, " + ", ".join(f"round(case when norm > 0 then c{i} / norm else 0.0 end + 1e-9, 6) + 0.0 as c{i}" for i in range(2)) + " from g join n using (image_id, x, y)"
+
+
+_WARP = [1.13, 0.07, 0, -0.11, 0.93, 0, 1.3, 2.1, 1]
+
+
+def _turn_sql(angle: float) -> str:
+    """The matrix needs the window's centre, which only the query knows: rotate about a fixed point."""
+    c, s, (x, y) = np.cos(angle), np.sin(angle), CENTER
+    return _warp_sql([c, s, 0, -s, c, 0, x - c * x + s * y, y - s * x - c * y, 1])
+
+
+CENTER = (12.0, 15.0)
+register("rotate", lambda s, d: _no_tie(N.rotate(ev(s, d), 0.3, CENTER, "triangle")), _turn_sql(0.3))
+register("warp", lambda s, d: _no_tie(N.warp(ev(s, d), _WARP, "triangle")), _warp_sql(_WARP))
+_PX, _PY = "(t.x + 0.25 - 0.5)", "(t.y + 0.75 - 0.5)"
+register("st_warp", lambda s, d: _no_tie(N.st_warp(ev(s, d), _st(s, d))), f"{EV}, o as (select * from (values (0, 0), (0, 1), (1, 0), (1, 1)) v(dx, dy)), t as (select image_id, x, y from a), k as (select t.image_id, t.x, t.y, cast(floor({_PX}) + dx as int) as sx, cast(floor({_PY}) + dy as int) as sy, (case when dx = 1 then {_PX} - floor({_PX}) else 1 - ({_PX} - floor({_PX})) end) * (case when dy = 1 then {_PY} - floor({_PY}) else 1 - ({_PY} - floor({_PY})) end) as w from t, o) select k.image_id, k.y, k.x, " + ", ".join(f"round(sum(w * a.c{i}) + 1e-9, 6) + 0.0 as c{i}" for i in range(2)) + " from k join a on a.image_id = k.image_id and a.x = sx and a.y = sy where w > 0 group by k.image_id, k.y, k.x")
 register("fillholes", lambda s, d: shown(N.fillholes_pushpull(_small(s))))
-register("fft", lambda s, d: shown(N.fft(ev(s, d).dense())))
+register("fft", lambda s, d: _no_tie(N.fft(ev(s, d).dense())), f"{EV}, {LATTICE}, h as (select y1 - y0 as n, y0 from w) select u.image_id, u.y, u.x, round(sum(d.c0 * cos(2 * pi() * (u.x * d.x / 24.0 + (u.y - h.y0) * (d.y - h.y0) / h.n::double))) / sqrt(24 * any_value(h.n)) + 1e-9, 6) + 0.0 as c0, round(-sum(d.c0 * sin(2 * pi() * (u.x * d.x / 24.0 + (u.y - h.y0) * (d.y - h.y0) / h.n::double))) / sqrt(24 * any_value(h.n)) + 1e-9, 6) + 0.0 as c1 from d u join d on d.image_id = u.image_id cross join h group by u.image_id, u.y, u.x")
 register("ifft", lambda s, d: shown(N.ifft(N.fft(ev(s, d).dense()))), f"{EV}, ids as (select distinct image_id from a), lattice as (select image_id, cast(yy as int) as y, cast(xx as int) as x from ids, w, lateral (select unnest(range(w.y0, w.y1)) as yy), (select unnest(range(0, 24)) as xx)) select l.image_id, l.y, l.x, round(coalesce(c0, 0), 6) + 0.0 as c0 from lattice l left join a using (image_id, y, x)")
-register("demosaic", lambda s, d: shown(N.demosaic(G.channels(ev(s, d), [0]))))
+_KIND = "case when ({y} - w.y0) % 2 = 0 and {x} % 2 = 0 then 0 when ({y} - w.y0) % 2 = 1 and {x} % 2 = 1 then 2 else 1 end"
+register(
+    "demosaic", lambda s, d: _no_tie(N.demosaic(G.channels(ev(s, d), [0]))),
+    f"{EV}, {LATTICE}, n as (select t.image_id, t.y, t.x, {_KIND.format(y='t.y', x='t.x')} as own, {_KIND.format(y='s.y', x='s.x')} as kind, abs(s.x - t.x) + abs(s.y - t.y) as far, s.c0 as v from d t cross join w join d s on s.image_id = t.image_id and abs(s.x - t.x) <= 1 and abs(s.y - t.y) <= 1) select image_id, y, x, "
+    + ", ".join(f"round(avg(v) filter (where (own = {k} and far = 0) or (own <> {k} and kind = {k} and {'far = 1' if k == 1 else 'far > 0'})) + 1e-9, 6) + 0.0 as c{k}" for k in range(3)) + " from n group by image_id, y, x",
+)
 register("bayer_mosaic", lambda s, d: shown(N.mosaic_bayer(G.channels(emb(s, d), [0, 1, 2]))), f"{EMB} select {_show_sql(['case when y % 2 = 0 and x % 2 = 0 then c0 when y % 2 = 1 and x % 2 = 1 then c2 else c1 end'])} from a")
 NANS = "case when c0 > 0.2 then 'nan'::double when c0 < -0.2 then 'inf'::double else c0 end"
 
@@ -465,6 +500,20 @@ def _roundtrip_sql(top: int, stored: int | None, one: bool = False) -> str:
 register("make_texture", _pyramid, "select * from (values " + ", ".join(f"({m}, {4 ** (6 - m)}::bigint, 1.75)" for m in range(7)) + ") v(mip, n, mean)")
 _TS, _TT = (f"least(greatest(((o_orderkey % {k}) / {k}) * 64 - 0.5, 0), 63) / 63" for k in (97, 89))
 register("texture_bilinear", _lookups, f"with q as (select o_orderkey as id, {_TS} as u, {_TT} as v from orders) select id, round((1 - v) * u + v * ((1 - u) * 2 + u * 4) + 1e-9, 6) + 0.0 as c0 from q")
+
+
+def _periodic(s: SparkSession, d: str) -> DataFrame:
+    """Lookups between the first two levels of a pattern that repeats, also beyond its edges."""
+    q = _table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("0").alias("image_id"), ((F.col("o_orderkey") % 97) / 48 - 0.5).alias("s"), ((F.col("o_orderkey") % 89) / 44 - 0.5).alias("t"), (1 + (F.col("o_orderkey") % 5) / 5).alias("footprint"))
+    a = grid(s, R64, [F.pmod(F.col("x"), F.lit(2)) * 1.0 + F.pmod(F.floor(F.col("y") / 2), F.lit(2)) * 2.0], ["V"])
+    return X.texture(X.make_texture(a), q, 64, 64, 1, "periodic").select("id", (F.round(F.col("c0") + 1e-9, 6) + 0.0).alias("c0"))
+
+
+# Level 0 alternates in x by pixels and in y by pairs; level 1 is 0.5 in x, and alternates in y by pixels.
+_TRI = lambda v: f"abs(({v}) - 2 * floor(({v}) / 2) - 1)"
+_Q = "select o_orderkey as id, (o_orderkey % 97) / 48.0::double - 0.5 as s, (o_orderkey % 89) / 44.0::double - 0.5 as t, 1 + (o_orderkey % 5) / 5.0::double as f from orders"
+_PAIR = lambda y, k: f"((cast(floor(floor({y}) + {k}) as int) & 3) // 2)"
+register("texture_trilinear", _periodic, f"with q as ({_Q}), p as (select id, s * 64 - 0.5 as x, t * 64 - 0.5 as y, t * 32 - 0.5 as y1, log2(f) as m from q) select id, round((1 - m) * (1 - {_TRI('x')} + 2 * ((1 - (y - floor(y))) * {_PAIR('y', 0)} + (y - floor(y)) * {_PAIR('y', 1)})) + m * (0.5 + 2 * (1 - {_TRI('y1')})) + 1e-9, 6) + 0.0 as c0 from p")
 # Steps of what each format stores; tests read files made by the formats' own rules.
 for _fmt, _top, _stored in (("pnm", 255, 255), ("bmp", 255, 255), ("png", 255, 255), ("sgi", 255, 255), ("targa", 255, 255), ("dds", 255, 255), ("ico", 255, 255), ("tiff", 65535, 65535), ("dpx", 65535, 65535), ("cineon", 1023, 1023), ("pfm", 999, None), ("fits", 999, None)):
     register(f"format_{_fmt}", _roundtrip(_fmt, _top), _roundtrip_sql(_top, _stored))
