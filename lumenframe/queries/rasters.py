@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.core import Image, Roi, grid, image
 from lumenframe.functions import types as Y
+from lumenframe.operators import access as X_
 from lumenframe.operators import arithmetic as A
 from lumenframe.operators import color as C
 from lumenframe.operators import deep as D
@@ -200,6 +201,9 @@ geometry("box", lambda a: G.render_box(a, 4, 3, 8, 9, [7.0, 8.0], True), "x", "y
 geometry("point", lambda a: G.render_point(a, 5, 6, [1.0, 2.0]), "x", "y", [f"case when x = 5 and y = 6 then {v} else c{i} end" for i, v in enumerate((1.0, 2.0))], dense=True)
 geometry("line", lambda a: G.render_line(a, 2, 2, 12, 12, [1.0, 2.0]), "x", "y", [f"case when x = y and x between 2 and 12 then {v} else c{i} end" for i, v in enumerate((1.0, 2.0))], dense=True)
 geometry("origin", lambda a: a.moved(F.col("x") + 10, F.col("y") - 4, a.spec.data.shifted(10, -4)), "x + 10", "y - 4")
+register("getpixel", lambda s, d: X_.getpixel(ev(s, d), 29, 6, wrap="periodic").select("image_id", *[(F.round(f"c{i}", 6) + 0.0).alias(f"c{i}") for i in range(2)]), f"{EV}, {LATTICE} select image_id, round(c0, 6) + 0.0 as c0, round(c1, 6) + 0.0 as c1 from d where x = 5 and y = 6")
+register("set_pixels", lambda s, d: shown(X_.set_pixels(ev(s, d), Roi(3, 7, 2, 9), [F.col("x") * 2.0])), f"{EV}, {LATTICE} select image_id, y, x, round(case when x between 3 and 6 and y between 2 and 8 then x * 2.0 else c0 end, 6) + 0.0 as c0, round(c1, 6) + 0.0 as c1 from d")
+register("get_pixels", lambda s, d: shown(X_.get_pixels(ev(s, d), Roi(-5, 30, 4, 9), "mirror")), f"{EV}, {LATTICE}, o as (select unnest(range(-5, 30)) as x) select image_id, d.y, cast(o.x as int) as x, round(c0, 6) + 0.0 as c0, round(c1, 6) + 0.0 as c1 from o join d on d.x = (case when o.x < 0 then -1 - o.x when o.x > 23 then 47 - o.x else o.x end) where d.y between 4 and 8")
 GRID = "select '0' as image_id, cast(y as int) as y, cast(x as int) as x, {v} from range({y0}, {y1}) s(y), range({x0}, {x1}) t(x)"
 
 
@@ -437,6 +441,9 @@ DEEP_MERGE = (
 )
 register("deep_merge", _merged_samples, DEEP_MERGE)
 register("deep_holdout", lambda s, d: D.deep_holdout(_deep(s, d), D.deepen(G.fill(s, R64, [0, 0, 0, 1, 25.5], names=["R", "G", "B", "A", "Z"]))).select("image_id", "y", "x", F.size("samples").cast("long").alias("n")), f"{DEEP} select image_id, y, x, count(*) filter (where zf < 25.5 or (zf = 25.5 and zb = 25.5)) as n from s group by all")
+register("deep_value", lambda s, d: X_.deep_value(_deep(s, d), "A", 0).select("image_id", "y", "x", (F.round("v", 6) + 0.0).alias("v")), f"{DEEP} select image_id, y, x, round(first(a order by zf, zb, a), 6) + 0.0 as v from s group by all")
+register("deep_set_value", lambda s, d: X_.deep_value(X_.set_deep_value(_deep(s, d), "Z", 1, -2.0), "Z", 1).select("image_id", "y", "x", "v"), f"{DEEP} select image_id, y, x, case when count(*) > 1 then -2.0 else 0.0 end::double as v from s group by all")
+register("deep_copy_pixel", lambda s, d: D.sample_count(X_.copy_deep_pixel(_deep(s, d, 0), _deep(s, d, 1), 1, 2)).select("image_id", "y", "x", F.col("samples").cast("long").alias("n")), f"{DEEP.replace(' from lineitem', ', l_linenumber % 2 as p from lineitem')}, e as (select image_id, y, x, count(*) filter (where p = 0) as n, count(*) filter (where p = 1) as m from s group by all) select a.image_id, a.y, a.x, case when b.m > 0 then b.m else a.n end as n from e a left join e b on b.image_id = a.image_id and b.y = a.y + 2 and b.x = a.x + 1 where a.n > 0")
 register("deepen", lambda s, d: D.deepen(ev(s, d).with_channels([F.col("c0") * 0 + F.when(F.col("c1") > 1, 1.0).otherwise(0.0)], ["R"])).select("image_id", "y", "x", F.size("samples").cast("long").alias("n")), f"{EV} select image_id, y, x, case when c1 > 1 then 1 else 0 end::bigint as n from a")
 register("igrep", lambda s, d: S.igrep(_attribs(s, d), "^h.*LD$", True), "select cast(c_custkey as varchar) as filename, 'segment' as name, c_mktsegment as value from customer where regexp_matches(lower(c_mktsegment), '^h.*ld$')")
 register("igrep_invert", lambda s, d: S.igrep(_attribs(s, d), "HOUSE", False, True).select("filename"), "select cast(c_custkey as varchar) as filename from customer where not regexp_matches(c_mktsegment, 'HOUSE') and not regexp_matches(c_name, 'HOUSE')")
