@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm import _text
 from lumenframe.llm._spark import map_arrow, unused
 
-SEED_WORDS, MIN_SCORE, ITEM_BLOCK = 3, 0.5, 20_000
+SEED_WORDS, MIN_SCORE = 3, 0.5
+#: Items, and bytes of their texts, of a block that goes to every task, about; a longer item is a block with few others.
+ITEM_BLOCK, ITEM_BYTES = 20_000, 8 << 20
 #: Smith-Waterman: what an equal word adds, and what another word or a gap takes.
 MATCH, MISMATCH, GAP = 2, -1, -1
 ALIGN_BATCH = 128
@@ -158,11 +160,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min
 
     score is the alignment's score by that of an unchanged copy.  Null and empty
     texts on either side match nothing, nor do items of fewer than n words; equal
-    items count once; repeated rows of docs are searched each for itself.
+    items count once; repeated rows of docs are searched each for itself.  Of passages
+    with equal scores the first counts.  Texts are searched whole; each block of items
+    is one scan of docs.
     """
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
-    blocks = rows.count() // ITEM_BLOCK + 1
+    n_items, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(n_items // ITEM_BLOCK, size // ITEM_BYTES) + 1
     found = spark.createDataFrame([], FOUND)
     for b in range(blocks):
         own = [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
@@ -173,7 +178,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is in no finding; rows without doc_id stay."""
+    """The rows of docs, with all their columns, whose doc_id is in no finding; rows without doc_id stay.
+
+    Null and empty texts have no findings, so they stay, and so do repeated rows if one does.
+    """
     name = unused(docs, "found")
     found = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(found, docs["doc_id"].cast("long") == F.col(name), "left_anti")

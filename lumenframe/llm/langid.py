@@ -5,15 +5,21 @@ of blanks counts as one border), followed by a linear layer.  Both are trained b
 stochastic gradient descent in numpy on a bounded sample of labelled rows.  As
 everything up to the softmax is linear, prediction folds the two layers into one
 table of class weights for each bucket.  A temperature is fitted on rows kept
-back from training; a prediction whose calibrated score is below a threshold
-from the same rows is rejected.
+back from training.
+
+Rejection is calibrated on the same rows, by two tests: the calibrated score, and
+how familiar the text is, which is the mean log frequency of its subwords in
+training against what is usual for so many subwords.  (A softmax alone is sure of
+languages that it has never met.)  Each threshold is the score that all but
+REJECT_SHARE of the kept-back rows with a right prediction reach, so a few odd rows
+do not switch rejection off.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +32,10 @@ from lumenframe.llm._spark import map_arrow
 BUCKET_BITS, DIMS, ORDERS, EPOCHS, RATE = 15, 16, (3, 4), 5, 8.0
 #: About so many labelled rows are taken for training and calibration.
 SAMPLE_ROWS = 4000
-#: No calibrated score above this is ever rejected.
-REJECT_BELOW = 0.5
+#: Share of right kept-back rows that each test may reject, and the slack below in standard deviations of familiarity.
+REJECT_SHARE, SLACK = 0.005, 2.0
+#: No calibrated score above this is rejected.
+SURE = 0.9
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -59,43 +67,62 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 
 @dataclass
 class Model:
+    """table has a column of weights for each language, and at last the log frequency of each bucket."""
+
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
-    temperature: float
-    threshold: float
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities, a row for each text; even ones for a text without n-grams."""
-        rows = len(offsets) - 1
-        total, count = np.zeros((rows, len(self.langs))), np.zeros(rows)
+    temperature: float = 1.0
+    threshold: float = 0.0
+    #: Mean familiarity, its variance and that part which falls with the number of subwords, and the least one accepted.
+    usual: tuple[float, float, float] = (0.0, 1.0, 0.0)
+    least: float = -np.inf
+
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Means of the table's columns over each text's subwords, and how many these are."""
+        rows, wide = len(offsets) - 1, self.table.shape[1]
+        total, count = np.zeros((rows, wide)), np.zeros(rows)
         filled = np.flatnonzero(np.diff(offsets))
         for h, fine in subwords(data, offsets):
             if not len(h) or not len(filled):
                 continue
-            weights = np.zeros((len(data), len(self.langs)), np.float32)
+            weights = np.zeros((len(data), wide), np.float32)
             weights[: len(h)] = self.table[h]
             weights[: len(h)][~fine] = 0
             total[filled] += np.add.reduceat(weights, offsets[filled], axis=0, dtype=np.float64)
             one = np.zeros(len(data), np.int64)
             one[: len(h)] = fine
             count[filled] += np.add.reduceat(one, offsets[filled])
-        z = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
+        return total / np.maximum(count, 1)[:, None], count
+
+    def judged(self, means: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities, a row for each text (even ones without subwords), and standardised familiarity."""
+        z = (means[:, :-1] + self.bias) / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+        mean, fixed, falling = self.usual
+        return z / z.sum(1, keepdims=True), (means[:, -1] - mean) / np.sqrt(fixed + falling / np.maximum(count, 1))
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.judged(*self.sums(data, offsets))
+
+
+#: A text as its buckets, the share of its subwords that each has, and how many these are.
+Bag = tuple[np.ndarray, np.ndarray, int]
+
+
+def bag(text: bytes) -> Bag:
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for h, fine in subwords(np.frombuffer(text, np.uint8), np.array([0, len(text)])):
+        counts += np.bincount(h[fine], minlength=1 << BUCKET_BITS)
+    at = np.flatnonzero(counts)
+    return at, (counts[at] / max(1, counts.sum())).astype(np.float32), int(counts.sum())
 
 
-def train(texts: list[str], langs: list[str], seed: int = 0) -> Model | None:
+def train(bags: list[Bag], langs: list[str], seed: int = 0) -> Model | None:
     """None if there is no row to learn from."""
     names = sorted(set(langs))
     if not names:
         return None
-    bags = []
-    for text in texts:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        counts = sum(np.bincount(h[fine], minlength=1 << BUCKET_BITS) for h, fine in subwords(raw, np.array([0, len(raw)])))
-        at = np.flatnonzero(counts)
-        bags.append((at, (counts[at] / max(1, counts.sum())).astype(np.float32)))
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(bags))
@@ -105,7 +132,7 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Model | None:
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(fit):
-            at, w = bags[i]
+            at, w, _ = bags[i]
             rate = RATE * (1 - done / steps)
             done += 1
             if not len(at):
@@ -118,18 +145,36 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Model | None:
             emb[at] -= rate * w[:, None] * (out @ p)
             out -= 0.05 * rate * np.outer(hidden, p)
             bias -= 0.01 * rate * p
-    table = emb @ out
-    z = np.array([w @ table[at] + bias for at, w in (bags[i] for i in kept)]).reshape(len(kept), len(names))
-
-    def scaled(t: float) -> np.ndarray:
-        p = np.exp((z - z.max(1, keepdims=True)) / t)
-        return p / p.sum(1, keepdims=True)
-
-    loss = lambda t: -np.log(np.maximum(scaled(t)[np.arange(len(kept)), y[kept]], 1e-12)).mean() if len(kept) else abs(t - 1)
-    temperature = min(np.geomspace(0.1, 10, 41), key=loss)
-    right = scaled(temperature)[np.arange(len(kept)), y[kept]] if len(kept) else np.zeros(0)
-    threshold = min(REJECT_BELOW, float(right.min())) if len(right) else 0.0
-    return Model(names, table.astype(np.float32), bias, float(temperature), threshold)
+    seen = sum((np.bincount(bags[i][0], bags[i][1], 1 << BUCKET_BITS) for i in fit), np.zeros(1 << BUCKET_BITS))
+    rarity = np.log2((seen + 1e-7 * max(len(fit), 1)) / max(len(fit), 1))
+    model = Model(names, np.column_stack([emb @ out, rarity]).astype(np.float32), bias)
+    if not len(kept):
+        return model
+    return calibrated(model, [bags[i] for i in kept], y[kept])
+
+
+def calibrated(model: Model, bags: list[Bag], y: np.ndarray) -> Model:
+    """model with the temperature and thresholds that rows kept back from training give."""
+    means, count = np.array([w @ model.table[at] for at, w, _ in bags]), np.array([n for *_, n in bags])
+    rows = np.arange(len(y))
+
+    def loss(t: float) -> float:
+        return -np.log(np.maximum(replace(model, temperature=t).judged(means, count)[0][rows, y], 1e-12)).mean()
+
+    model = replace(model, temperature=float(min(np.geomspace(0.1, 10, 41), key=loss)))
+    p, _ = model.judged(means, count)
+    right = (p.argmax(1) == y) & (count > 0)
+    if not right.any():
+        return model
+    familiar, one = means[right, -1], 1 / count[right]
+    apart = (familiar - np.median(familiar)) ** 2
+    # Squared distances as a + b / n, without the hundredth that lies furthest off.
+    near = apart <= np.quantile(apart, 0.99)
+    b, a = np.polyfit(one[near], apart[near], 1) if np.ptp(one[near]) > 0 else (0.0, apart[near].mean())
+    model = replace(model, usual=(float(np.median(familiar)), float(max(a, 1e-4)), float(max(b, 0.0))))
+    p, z = model.judged(means[right], count[right])
+    at = np.quantile(p.max(1), REJECT_SHARE), np.quantile(z, REJECT_SHARE)
+    return replace(model, threshold=min(SURE, float(at[0])), least=float(at[1]) - SLACK)
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
@@ -138,19 +183,32 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 
 
 def fit_language_id(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Learns from text and non-null lang of rows outside fold 0; about sample_rows of them, chosen by a hash of doc_id."""
+    """Learns from text and non-null lang of rows outside fold 0; about sample_rows of them, chosen by a hash of doc_id.
+
+    Their bags of subwords come to the driver, which are of bounded size however long
+    a text is; twice sample_rows is the most that can come.
+    """
     usable = docs.select("doc_id", "text", "lang").filter((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = usable.count()
     draw = F.xxhash64(F.lit("language sample"), "doc_id")
     share = min(1.0, sample_rows / max(n, 1))
-    rows = usable.filter(F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(draw).limit(2 * sample_rows).collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [bag(t.encode()) for t in batch.column(2).to_pylist()]
+            cols = [pa.array([at.astype("<u2").tobytes() for at, _, _ in made], pa.binary()), pa.array([w.tobytes() for _, w, _ in made], pa.binary()), pa.array([k for *_, k in made], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["draw", "lang", "buckets", "shares", "n"])
+
+    drawn = usable.filter(F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30))).select(draw.alias("draw"), "lang", "text")
+    rows = map_arrow(drawn, bags, "draw long, lang string, buckets binary, shares binary, n long").orderBy("draw", "lang", "buckets", "shares").limit(2 * sample_rows).collect()
+    return train([(np.frombuffer(r["buckets"], "<u2").astype(np.int64), np.frombuffer(r["shares"], np.float32), r["n"]) for r in rows], [r["lang"] for r in rows])
 
 
 def _judged(data: np.ndarray, offsets: np.ndarray, model: Model | None) -> tuple[list[str], np.ndarray, list[bool]]:
     """Language, score and acceptance of each text."""
     names: list[str] = []
     scores: list[np.ndarray] = []
+    familiar: list[np.ndarray] = []
     for i, j in _text.steps(offsets, _text.STEP_BYTES // 2):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         sums = np.concatenate([[0], np.cumsum(_LETTER[part])])
@@ -160,21 +218,28 @@ def _judged(data: np.ndarray, offsets: np.ndarray, model: Model | None) -> tuple
         if model is None:
             names += [UNKNOWN] * (j - i)
             scores.append(np.zeros(j - i))
+            familiar.append(np.zeros(j - i))
             continue
-        p = model.scores(part, at)
+        p, own = model.scores(part, at)
+        familiar.append(own)
         best = p.argmax(1)
         names += [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
         scores.append(np.where(letters, p[np.arange(j - i), best], 0.0))
     score = np.concatenate(scores) if scores else np.zeros(0)
-    least = model.threshold if model else 0.0
-    return names, score, [n != UNKNOWN and s >= least for n, s in zip(names, score.tolist(), strict=True)]
+    if model is None:
+        return names, score, [False] * len(names)
+    fine = (score >= model.threshold) & (np.concatenate([*familiar, np.zeros(0)]) >= model.least)
+    return names, score, [n != UNKNOWN and bool(ok) for n, ok in zip(names, fine, strict=True)]
 
 
 def language_id(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted for each row of docs.
 
     `und`, score 0 and not accepted if the text is null or has no letter, or if
-    there was nothing to learn from.  held_out is false for a null doc_id.
+    there was nothing to learn from.  held_out is false for a null doc_id.  Of
+    languages with equal scores the first by name is told.  Repeated rows are judged
+    each for itself.  A text is judged whole, and takes its task some forty bytes
+    for each of its own.
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
