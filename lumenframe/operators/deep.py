@@ -156,6 +156,6 @@ def erase_samples(deep: DataFrame, at: int, n: int = 1) -> DataFrame:
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
-    """Rows of image_id, z, y, x and sample become pixels, with samples by Z, Zback and then the other fields."""
+    """Rows of image_id, z, y, x and sample become pixels, with samples by Z, Zback and then the other fields; a pixel's samples are one array, so they must fit in a row."""
     order = F.struct(*[F.col(f"sample.{k}").alias(f"k{i}") for i, k in enumerate(("Z", "Zback", "R", "G", "B", "A"))], F.col("sample").alias("s"))
     return rows.groupBy(*KEYS).agg(F.transform(F.sort_array(F.collect_list(order)), lambda t: t["s"]).alias("samples"))

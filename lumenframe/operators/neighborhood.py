@@ -114,7 +114,7 @@ def erode(a: Image, width: int = 3, height: int = 3) -> Image:
 
 
 def median_filter(a: Image, width: int = 3, height: int = 3) -> Image:
-    """Upper median of the neighbours inside the image."""
+    """Upper median of the neighbours inside the image; a target holds its width * height neighbours at once."""
     span = lambda n: range(-(n // 2), n - n // 2)
     rows = _stencil(a.dense(), span(width), span(height), False)
     middle = lambda c: F.expr(f"get(sort_array(collect_list({c})), cast(count({c}) div 2 as int))")

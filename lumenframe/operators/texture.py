@@ -35,7 +35,7 @@ def wrapped(at: Column, n: Column, mode: str) -> Column:
 
 
 def texture(tiles: DataFrame, queries: DataFrame, width: int, height: int, channels: int, wrap: str = "clamp") -> DataFrame:
-    """queries (id, image_id, s, t, footprint in texels of level 0) with c0, ...: bilinear on the two nearest levels, blended."""
+    """queries (id, image_id, s, t, footprint in texels of level 0) with c0, ...: bilinear on the two nearest levels, blended; ids are unique."""
     levels = int(math.log2(max(width, height))) if max(width, height) > 1 else 0
     level = F.least(F.greatest(F.log2(F.greatest("footprint", F.lit(1.0))), F.lit(0.0)), F.lit(float(levels)))
     low = F.floor(level).cast("int")
@@ -74,7 +74,7 @@ def bspline(f: Column) -> list[Column]:
 
 
 def bicubic(a: Image, points: DataFrame) -> DataFrame:
-    """Samples at points (id, image_id, px, py in pixels) by 16 B-spline taps; beyond the data window is its border."""
+    """Samples at points (id, image_id, px, py in pixels) by 16 B-spline taps; beyond the data window is its border; ids are unique."""
     d = a.spec.data
     at = points.select("id", "image_id", (F.col("px") - 0.5).alias("sx"), (F.col("py") - 0.5).alias("sy"))
     wx, wy = bspline(F.col("sx") - F.floor("sx")), bspline(F.col("sy") - F.floor("sy"))
@@ -85,7 +85,7 @@ def bicubic(a: Image, points: DataFrame) -> DataFrame:
 
 
 def texture3d(a: Image, points: DataFrame) -> DataFrame:
-    """Trilinear samples of a volume at points (id, image_id, px, py, pz in voxels), eight taps each; beyond the window is black."""
+    """Trilinear samples of a volume at points (id, image_id, px, py, pz in voxels), eight taps each; beyond the window is black; ids are unique."""
     at = points.select("id", "image_id", *[(F.col(p) - 0.5).alias(s) for p, s in (("px", "sx"), ("py", "sy"), ("pz", "sz"))])
     part = {s: F.col(s) - F.floor(s) for s in ("sx", "sy", "sz")}
     side = lambda s, i: part[s] if i else 1 - part[s]
