@@ -257,23 +257,43 @@ stencil("erode", lambda a: N.erode(a, 5, 3), lambda i: f"min(s.c{i})", offsets(5
 stencil("unsharp", lambda a: N.unsharp_mask(a, "gaussian", 3.0, 1.0, 0.0), lambda i: f"2 * sum(s.c{i}) filter (where dx = 0 and dy = 0) - sum(k * s.c{i})", offsets(3, 3, filters.kernel("gaussian", 3, 3)), True, True)
 
 
+# The filters' textbook formulas in SQL, by the distance u; each with half of its width.
+_SINC = lambda u: f"(case when {u} < 1e-4 then 1.0 else sin(pi() * {u}) / (pi() * {u}) end)"
+_KEYS = lambda a: f"(case when u < 1 then ({a} + 2) * u ** 3 - ({a} + 3) * u ** 2 + 1 else {a} * u ** 3 - 5 * {a} * u ** 2 + 8 * {a} * u - 4 * {a} end)"
+FILTER_SQL = {
+    "box": ("1.0", 0.5), "triangle": ("1 - u", 1.0), "gaussian": ("(case when u < 1.5 then exp(-2 * (u / 1.5) ** 2) else 0.0 end)", 1.5), "sharp-gaussian": ("(case when u < 1 then exp(-4 * u ** 2) else 0.0 end)", 1.0),
+    "catmull-rom": ("(case when u < 1 then 1.5 * u ** 3 - 2.5 * u ** 2 + 1 else -0.5 * u ** 3 + 2.5 * u ** 2 - 4 * u + 2 end)", 2.0),
+    "blackman-harris": ("0.35875 + 0.48829 * cos(2 * pi() * u / 3) + 0.14128 * cos(4 * pi() * u / 3) + 0.01168 * cos(2 * pi() * u)", 1.5),
+    "sinc": (_SINC("u"), 2.0), "lanczos3": (f"{_SINC('u')} * {_SINC('(u / 3)')}", 3.0),
+    "mitchell": ("(case when u < 1 then (7 * u ** 3 - 12 * u ** 2 + 16 / 3.0) / 6 else (-7 / 3.0 * u ** 3 + 12 * u ** 2 - 20 * u + 32 / 3.0) / 6 end)", 2.0),
+    "b-spline": ("(case when u <= 1 then 2 / 3.0 - u ** 2 + u ** 3 / 2 else (2 - u) ** 3 / 6 end)", 2.0),
+    "cubic": (_KEYS("0.0"), 2.0), "keys": (_KEYS("(-0.5)"), 2.0), "simon": (_KEYS("(-0.75)"), 2.0), "rifman": (_KEYS("(-1.0)"), 2.0),
+}
+
+
 def resized(name: str, f: Callable[[Image], Image], filt: str, width: int, height: int) -> None:
-    """SQL with the taps of both axes as values; the number of days is known only at run time, so the query cuts 24 of them."""
-    x = N.resize_taps(0, 24, (0, 24), 0, width, (0, width), filt)
-    y = N.resize_taps(2, 24, (2, 26), 0, height, (0, height), filt)
-    rows = lambda t: ", ".join(f"({s}, {d}, {w!r}::double)" for s, d, _, w in t)
-    sql = f"{EV}, tx as (select * from (values {rows(x)}) v(src, dst, w)), ty as (select * from (values {rows(y)}) v(src, dst, w)) select image_id, ty.dst as y, tx.dst as x, round(sum(tx.w * ty.w * c0) + 1e-9, 6) + 0.0 as c0, round(sum(tx.w * ty.w * c1) + 1e-9, 6) + 0.0 as c1 from a join tx on a.x = tx.src join ty on a.y = ty.src group by image_id, ty.dst, tx.dst"
-    square = Roi(0, 24, 2, 26)
+    """Each target's sources from its own coordinate, weighted by the filter's formula and normalised; all days take part."""
+    formula, half = FILTER_SQL[filt]
+
+    def taps(axis: str, lo: str, hi: str, n: int) -> str:
+        at = f"(select t, {lo} + (t + 0.5::double) * ({hi} - {lo}) / {n} as s, least({n}::double / ({hi} - {lo}), 1.0) as scale, {lo} as lo, {hi} as hi from w, (select unnest(range(0, {n})) as t))"
+        own = f"(select t, cast(least(greatest(floor(s) + k, lo), hi - 1) as int) as src, abs(scale * (k - (s - floor(s) - 0.5))) as u from {at}, (select unnest(range(-40, 41)) as k))"
+        return f"{axis}u as (select t, src, case when u <= {half} then {formula} else 0.0 end as w from {own}), {axis}t as (select t as dst, src, sum(w) / any_value(total) as w from (select *, sum(w) over (partition by t) as total from {axis}u) group by t, src)"
+
+    sql = f"{EV}, {taps('x', '0', '24', width)}, {taps('y', 'w.y0', 'w.y1', height)} select image_id, cast(yt.dst as int) as y, cast(xt.dst as int) as x, " + ", ".join(f"round(sum(xt.w * yt.w * c{i}) + 1e-9, 6) + 0.0 as c{i}" for i in range(2)) + " from a join xt on a.x = xt.src join yt on a.y = yt.src group by image_id, yt.dst, xt.dst"
 
     def query(s: SparkSession, d: str) -> DataFrame:
-        a = G.crop(ev(s, d), square)
-        out = f(Image(a.df, replace(a.spec, full=square)))
-        return shown(out.with_channels([c + 1e-9 for c in out.c]))  # no tie is left to the engines' rounding
+        return shown(_nudged(f(ev(s, d))))
 
     register(name, query, sql)
 
 
-for _f in ("box", "triangle", "gaussian", "sharp-gaussian", "catmull-rom", "blackman-harris", "sinc", "lanczos3", "mitchell", "b-spline", "cubic", "keys", "simon", "rifman"):
+def _nudged(a: Image) -> Image:
+    """No tie is left to the engines' rounding."""
+    return a.with_channels([c + 1e-9 for c in a.c])
+
+
+for _f in FILTER_SQL:
     resized(f"resize_{_f.replace('-', '_')}", lambda a, f=_f: N.resize(a, 12, 10, f), _f, 12, 10)
 
 
