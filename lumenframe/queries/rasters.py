@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -244,17 +244,25 @@ def offsets(w: int, h: int, k: dict | None = None) -> str:
     return ", ".join(f"({x}, {y}, {(k or {}).get((x, y), 1.0)!r}::double)" for y in range(-(h // 2), h - h // 2) for x in range(-(w // 2), w - w // 2))
 
 
-GAUSS = filters.kernel("gaussian", 5, 5)
-BOX = filters.kernel("box", 3, 3)
-LAPK = filters.kernel("laplacian", 3, 3)
+
+
+def _bell(n: int) -> dict:
+    """The Gaussian of n pixels by its formula, normalised."""
+    r = range(-(n // 2), n // 2 + 1)
+    out = {(x, y): math.exp(-8 * (x * x + y * y) / n**2) for x in r for y in r}
+    return {k: v / sum(out.values()) for k, v in out.items()}
+
+
+GAUSS = _bell(5)
+LAPK = {(-1, 0): 1.0, (1, 0): 1.0, (0, -1): 1.0, (0, 1): 1.0, (0, 0): -4.0}
 weighted = lambda i: f"sum(k * s.c{i})"
-stencil("convolve", lambda a: N.convolve(a, GAUSS), weighted, offsets(5, 5, GAUSS), True, False)
+stencil("convolve", lambda a: N.convolve(a, filters.kernel("gaussian", 5, 5)), weighted, offsets(5, 5, GAUSS), True, False)
 stencil("blur", lambda a: N.blur(a, "gaussian", 5, 5), weighted, offsets(5, 5, GAUSS), True, False)
 stencil("laplacian", N.laplacian, weighted, ", ".join(f"({x}, {y}, {v})" for (x, y), v in LAPK.items()), True, False)
 stencil("median", lambda a: N.median_filter(a, 3, 3), lambda i: f"list_sort(list(s.c{i}))[cast(count(*) // 2 as int) + 1]", offsets(3, 3), False, True)
 stencil("dilate", lambda a: N.dilate(a, 3, 5), lambda i: f"max(s.c{i})", offsets(3, 5), False, True)
 stencil("erode", lambda a: N.erode(a, 5, 3), lambda i: f"min(s.c{i})", offsets(5, 3), False, True)
-stencil("unsharp", lambda a: N.unsharp_mask(a, "gaussian", 3.0, 1.0, 0.0), lambda i: f"2 * sum(s.c{i}) filter (where dx = 0 and dy = 0) - sum(k * s.c{i})", offsets(3, 3, filters.kernel("gaussian", 3, 3)), True, True)
+stencil("unsharp", lambda a: N.unsharp_mask(a, "gaussian", 3.0, 1.0, 0.0), lambda i: f"2 * sum(s.c{i}) filter (where dx = 0 and dy = 0) - sum(k * s.c{i})", offsets(3, 3, _bell(3)), True, True)
 
 
 # The filters' textbook formulas in SQL, by the distance u; each with half of its width.
@@ -439,6 +447,12 @@ def _deep(s: SparkSession, d: str, parity: int | None = None) -> DataFrame:
 DEEP = "with s as (select '0' as image_id, cast(l_orderkey % 64 as int) as y, cast(l_suppkey % 64 as int) as x, l_discount::double * 0.5 as r, l_discount::double as a, l_quantity::double as zf, l_quantity::double + l_discount::double * 10 as zb from lineitem)"
 register("deep_sample_count", lambda s, d: D.sample_count(_deep(s, d)).select("image_id", "y", "x", F.col("samples").cast("long").alias("n")), f"{DEEP} select image_id, y, x, count(*) as n from s group by all")
 register("deep_flatten", lambda s, d: D.flatten(_deep(s, d)).select("image_id", "y", "x", (F.round("A", 6) + 0.0).alias("a"), (F.round("R", 6) + 0.0).alias("r")), f"{DEEP} select image_id, y, x, round(1 - product(1 - a), 6) + 0.0 as a, round(0.5 * (1 - product(1 - a)), 6) + 0.0 as r from s group by all")
+_TEN = "transform(samples, t -> named_struct('R', t.R * 10, 'G', t.G * 10, 'B', t.B * 10, 'A', t.A * 10, 'Z', t.Z, 'Zback', t.Zback))"
+register(
+    "deep_flatten_opaque", lambda s, d: D.flatten(_deep(s, d).withColumn("samples", F.expr(_TEN))).select("image_id", "y", "x", *[(F.round(F.col(k) + 1e-9, 6) + 0.0).alias(n) for k, n in (("A", "a"), ("R", "r"), ("depth", "depth"))]),
+    f"{DEEP}, t as (select *, a * 10 as k, coalesce(product(1 - a * 10) over (partition by image_id, y, x order by zf, zb, a rows between unbounded preceding and 1 preceding), 1) as open from s) "
+    "select image_id, y, x, round(sum(open * k) + 1e-9, 6) + 0.0 as a, round(sum(open * r * 10) + 1e-9, 6) + 0.0 as r, round(case when sum(open * k) > 0 then sum(open * k * zf) / sum(open * k) else 1e30 end + 1e-9, 6) + 0.0 as depth from t group by all",
+)
 register("deep_opaque_z", lambda s, d: _deep(s, d).withColumn("samples", F.expr("transform(samples, t -> named_struct('R', t.R, 'G', t.G, 'B', t.B, 'A', t.A * 10, 'Z', t.Z, 'Zback', t.Zback))")).select("image_id", "y", "x", (F.round(F.least(D.opaque_z(), F.lit(1e30)), 6) + 0.0).alias("zt")), f"{DEEP} select image_id, y, x, round(coalesce(arg_min(zb, (zf, zb)) filter (where a * 10 >= 1), 1e30), 6) + 0.0 as zt from s group by all")
 register("deep_split_count", lambda s, d: D.split(_deep(s, d), "25.2").select("image_id", "y", "x", F.size("samples").cast("long").alias("n")), f"{DEEP} select image_id, y, x, count(*) + count(*) filter (where zf < 25.2 and zb > 25.2) as n from s group by all")
 
