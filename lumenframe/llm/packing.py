@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _text
-from lumenframe.llm._spark import group_arrow, map_arrow, saved
+from lumenframe.llm._spark import group_arrow, map_arrow, saved, trim
 
 WINDOW, GRAIN, SHARD_ITEMS, K1, B = 4096, 32, 2048, 1.2, 0.75
 #: Shards that a task packs one after the other; rarest terms of a route.
@@ -38,7 +38,7 @@ COMMON = 16
 #: Follows the ids of every document.
 END_ID = 2
 #: Distinct words whose ids a worker keeps between two steps, and bytes of text of a step.
-CACHE_WORDS, STEP = 150_000, 1 << 19
+CACHE_WORDS, STEP = 150_000, 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ITEMS = "row long, doc_id long, n long, whole binary, prefixes binary, terms binary, counts binary, more binary"
 # Fixed value: how the tokenizer's file splits words.
@@ -358,6 +358,8 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 49408) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names), sequence
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # a worker that has tokenised needs its memory for the shards now
+        trim()
         sequence, held = TaskContext.get().partitionId() << 40, []
         for batch in batches:
             held.append(batch)

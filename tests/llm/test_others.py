@@ -241,6 +241,16 @@ def test_packing_neighbours(common, monkeypatch):
     assert index.neighbours(0, unused) == [i for i in range(1, 151) if i != 5]
 
 
+def test_packing_routes(spark):
+    df = np.array([9, 1, 2, 5, 3, 2, 0, 9])
+    terms = [[0, 1, 2, 3, 4, 5, 7], [0, 2, 3, 4, 5], [1, 6], [], [7, 0]]
+    rows = [(k, k, len(t), b"", b"", np.array(t, "<u2").tobytes(), b"") for k, t in enumerate(terms)]
+    schema = packing.ITEMS.replace(", more binary", "")
+    got = {r["row"]: r["route"] for r in packing.routed(spark.createDataFrame(rows, schema), df).collect()}
+    # Terms 2 and 5 are in two documents each, 4 in three, 3 in five; those of one document alone do not route.
+    assert got[0] == got[1] and len(got[0]) == 2 * packing.ROUTE and got[2] == got[3] == b"" < got[0] < got[4]
+
+
 def test_packing_frequencies(spark):
     from tokenizers import Tokenizer
 
