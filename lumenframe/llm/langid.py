@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _text
-from lumenframe.llm._spark import map_arrow
+from lumenframe.llm._spark import map_arrow, trim
 
 BUCKET_BITS, DIMS, ORDERS, EPOCHS, RATE = 15, 16, (3, 4), 5, 8.0
 #: About so many labelled rows are taken for training and calibration.
@@ -200,8 +200,16 @@ def fit_language_id(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model |
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["draw", "lang", "buckets", "shares", "n"])
 
     drawn = usable.filter(F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30))).select(draw.alias("draw"), "lang", "text")
-    rows = map_arrow(drawn, bags, "draw long, lang string, buckets binary, shares binary, n long").orderBy("draw", "lang", "buckets", "shares").limit(2 * sample_rows).collect()
-    return train([(np.frombuffer(r["buckets"], "<u2").astype(np.int64), np.frombuffer(r["shares"], np.float32), r["n"]) for r in rows], [r["lang"] for r in rows])
+    rows = map_arrow(drawn, bags, "draw long, lang string, buckets binary, shares binary, n long").orderBy("draw", "lang", "buckets", "shares").limit(2 * sample_rows)
+    # Arrays over the bytes as they come; what the driver took for them is given back.
+    own, langs = [], []
+    for r in rows.select("lang", "buckets", "shares", "n").toLocalIterator():
+        own.append((np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["shares"], np.float32), r["n"]))
+        langs.append(r["lang"])
+    model = train(own, langs)
+    del own
+    trim()
+    return model
 
 
 def _judged(data: np.ndarray, offsets: np.ndarray, model: Model | None) -> tuple[list[str], np.ndarray, list[bool]]:
