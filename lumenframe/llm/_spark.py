@@ -92,3 +92,9 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
         "text",
         F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(n)).cast("int").alias("chunk"),
     ), n
+
+
+def remove(spark, folder: str) -> None:
+    """Delete a folder of the shared store; one that is not there is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
