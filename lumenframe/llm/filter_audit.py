@@ -57,7 +57,8 @@ def measures(docs: DataFrame, labels: DataFrame) -> DataFrame:
         )
     )
     # Only texts that two rows have can be copies; the others need no partner in the join.
-    firsts = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1 and first is not null").drop("rows")
+    # They are written first, so that the join deals both of its sides and can split a text that a third of all rows have.
+    firsts = saved(own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1 and first is not null").drop("rows"))
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     return (
         own.join(firsts, "digest", "left")
