@@ -24,6 +24,7 @@ import mmap
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _text
-from lumenframe.llm._spark import group_arrow, map_arrow, saved
+from lumenframe.llm._spark import group_arrow, map_arrow, saved, trim
 from lumenframe.llm.packing import STEP, WordEncoder
 
 #: Follows the ids of every document.
@@ -45,7 +46,11 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Documents of one Arrow batch that is read back.
 READ_ROWS = 10_000
 
-_encoders: dict[str, WordEncoder] = {}
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str) -> WordEncoder:
+    """A worker's only encoder: a function of the module, as what a nested one refers to is sent, and made anew, with each task."""
+    return WordEncoder(tokenizer)
 
 
 def _place(folder: str, part: int, kind: str) -> str:
@@ -99,9 +104,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         part, chunk, outputs = TaskContext.get().partitionId(), 0, []
         for batch in batches:
             if batch.num_rows and not outputs:
-                if tokenizer not in _encoders:
-                    _encoders[tokenizer] = WordEncoder(tokenizer)
-                encoder = _encoders[tokenizer]
+                encoder = _encoder(tokenizer)
                 width = 2 if max(len(encoder.last) - 2, end_id) < 1 << 16 else 4
                 outputs = [_Output(_place(folder, part, kind)) for kind in ("ids", "docs")]
             ids = batch.column(0)
@@ -114,6 +117,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 row = [part, chunk, j - i, len(every), ids[i:j].null_count, width, np.diff(at).astype("<u8").tobytes()]
                 yield pa.RecordBatch.from_pylist([dict(zip(chunk_schema.names, row, strict=True))], chunk_schema)
                 chunk += 1
+            trim()  # the sort beside this worker needs the memory
         for output in outputs:
             output.close()
 
