@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lumenframe.core import KEYS, Image, Roi, Spec, every, finite, small_table
 from lumenframe.operators import filters
 from lumenframe.operators.arithmetic import _made, add, over, sub
+from lumenframe.session import shared_dir
 
 Taps = list[tuple[int, int, int, float]]
 
@@ -316,11 +317,13 @@ def st_warp(a: Image, st: Image, chan_s: int = 0, chan_t: int = 1, flip_s: bool
 
 
 def pyramid(a: Image, name: str = "box") -> list[Image]:
-    """Levels of half size each, down to one pixel."""
+    """Levels of half size each, down to one pixel; each is written before the next is made of it, so that none is computed twice."""
+    shared_dir(a.df.sparkSession)
     out = [a]
     while max(out[-1].spec.full.width, out[-1].spec.full.height) > 1:
         f = out[-1].spec.full
-        out.append(resize(out[-1], max(1, f.width // 2), max(1, f.height // 2), name))
+        level = resize(out[-1], max(1, f.width // 2), max(1, f.height // 2), name)
+        out.append(replace(level, df=level.df.checkpoint()))
     return out
 
 
