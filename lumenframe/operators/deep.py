@@ -2,15 +2,20 @@
 
 Columns image_id, z, y, x and samples: array of struct(R, G, B, A, Z, Zback).
 Operators of one image are higher-order functions on the array, without a shuffle;
-the merge of two works on rows of samples.
+the merge of two joins them by pixel and works on whole batches of arrays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.core import KEYS, Image
+from lumenframe.session import ship
 
 FIELDS = ("R", "G", "B", "A", "Z", "Zback")
 SAMPLES = "array<struct<R:double,G:double,B:double,A:double,Z:double,Zback:double>>"
@@ -85,8 +90,69 @@ def flatten(deep: DataFrame) -> DataFrame:
     return folded.select(*KEYS, "f.R", "f.G", "f.B", "f.A", z.alias("depth"))
 
 
-def _depth(a: Column) -> Column:
-    return -F.log1p(-a)
+#: Pairs of a sample and a piece of it that are held at a time; one pixel's pairs stay together.
+PAIRS = 1 << 20
+
+
+def _merged(pixel: np.ndarray, s: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The merged samples of pixels, ordered by pixel, Z and Zback: each piece between two cuts is a sum over the samples that cover it."""
+    long = s["Zback"] > s["Z"]
+    mine, points = np.flatnonzero(long), np.flatnonzero(~long)
+    # All ends cut what spans them, and so do points.
+    at_pixel = np.concatenate([pixel[mine], pixel[mine], pixel[points]])
+    at_z = np.concatenate([s["Z"][mine], s["Zback"][mine], s["Z"][points]])
+    order = np.lexsort((at_z, at_pixel))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(at_pixel[order]) != 0) | (np.diff(at_z[order]) != 0)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    cut_pixel, cut_z = at_pixel[order][new], at_z[order][new]
+    first, last = rank[: len(mine)], rank[len(mine) : 2 * len(mine)]
+    count = last - first
+    own = np.repeat(mine, count)
+    piece = np.arange(len(own)) + np.repeat(first - (np.cumsum(count) - count), count)
+    share = (cut_z[piece + 1] - cut_z[piece]) / (s["Zback"][own] - s["Z"][own]) if len(own) else np.zeros(0)
+    # Points are merged with those of the same depths.
+    order = points[np.lexsort((s["Zback"][points], s["Z"][points], pixel[points]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(pixel[order]) != 0) | (np.diff(s["Z"][order]) != 0) | (np.diff(s["Zback"][order]) != 0)
+    heads, n = order[new], len(cut_z)
+    own, share = np.concatenate([own, order]), np.concatenate([share, np.ones(len(order))])
+    piece = np.concatenate([piece, n + np.cumsum(new) - 1]).astype(np.int64)
+    size = n + len(heads)
+    add = lambda v: np.bincount(piece, v, size)
+    alpha = s["A"][own]
+    solid, faint = alpha >= 1, alpha < 1e-12
+    depth = np.where(solid, 0.0, -np.log1p(-np.where(solid, 0.0, alpha)))
+    total, opaque = add(depth * share), add(solid.astype(float))
+    gain = np.where(solid, 0.0, np.where(faint, share, depth * share / np.where(faint, 1.0, alpha)))
+    factor = np.where(total < 1e-12, 1.0, -np.expm1(-total) / np.where(total < 1e-12, 1.0, total))
+    out = {c: np.where(opaque > 0, add(np.where(solid, s[c][own], 0.0)) / np.maximum(opaque, 1), factor * add(s[c][own] * gain)) for c in "RGB"}
+    out["A"] = np.where(opaque > 0, 1.0, -np.expm1(-total))
+    out["Z"] = np.concatenate([cut_z, s["Z"][heads]])
+    out["Zback"] = np.concatenate([np.append(cut_z[1:], 0.0), s["Zback"][heads]])
+    owner = np.concatenate([cut_pixel, pixel[heads]])
+    there = np.flatnonzero(np.bincount(piece, minlength=size) > 0)
+    there = there[np.lexsort((out["Zback"][there], out["Z"][there], owner[there]))]
+    return owner[there], {k: v[there] for k, v in out.items()}
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("samples")
+        offsets, values = np.asarray(lists.offsets), lists.values
+        s = {k: values.field(k).fill_null(0.0).to_numpy(zero_copy_only=False) for k in FIELDS}
+        begin = 0
+        while begin < batch.num_rows:
+            # A pixel of n samples has fewer than 2 n cuts, so no more than 2 n * n pairs.
+            sizes = np.diff(offsets[begin:]).astype(float)
+            end = begin + max(1, int(np.searchsorted(np.cumsum(2 * sizes * sizes), PAIRS, "right")))
+            a, b = offsets[begin], offsets[end]
+            pixel, out = _merged(np.repeat(np.arange(end - begin), np.diff(offsets[begin : end + 1])), {k: v[a:b] for k, v in s.items()})
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pixel, minlength=end - begin))]).astype(np.int32)
+            samples = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(out[k]) for k in FIELDS], list(FIELDS)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], samples] if (begin, end) == (0, batch.num_rows) else [*[c[begin:end] for c in batch.columns[:-1]], samples], names=batch.schema.names)
+            begin = end
 
 
 def deep_merge(a: DataFrame, b: DataFrame, cull: bool = False) -> DataFrame:
@@ -94,44 +160,16 @@ def deep_merge(a: DataFrame, b: DataFrame, cull: bool = False) -> DataFrame:
 
     Within a sample its optical depth is even, and so are its colours by optical
     depth.  So a piece between two neighbouring cuts of a pixel needs only sums over
-    the samples that cover it, which run along the pixel's cuts: rows grow with the
-    samples, not with their square.  Where opaque samples cover a piece, they alone
-    make it, each with the same share.
+    the samples that cover it; nothing is subtracted, so a thin dense sample does
+    not blur what lies behind it.  Where opaque samples cover a piece, they alone
+    make it, each with the same share.  One exchange brings a pixel's samples
+    together, which stay one row.
     """
-    names = ("red", "green", "blue")
-    s = a.select(*KEYS, F.explode("samples").alias("s")).unionByName(b.select(*KEYS, F.explode("samples").alias("s"))).select(*KEYS, *[F.col(f"s.{k}").alias(v) for k, v in zip(FIELDS, (*names, "alpha", "front", "back"), strict=True)])
-    solid = F.col("alpha") >= 1
-    # Of a sample in depth: what it adds to a unit of depth, from Z to Zback; faint ones by colour alone.
-    faint = F.col("alpha") < 1e-12
-    length = F.col("back") - F.col("front")
-    dense = F.when(solid, 0.0).otherwise(_depth(F.col("alpha")) / length)
-    paint = [F.when(solid, 0.0).when(faint, F.col(c) / length).otherwise(F.col(c) / F.col("alpha") * _depth(F.col("alpha")) / length) for c in names]
-    bulk = [F.when(solid, F.col(c)).otherwise(0.0) for c in names]
-    parts = [dense.alias("d"), *[v.alias(f"p{c}") for c, v in zip(names, paint, strict=True)], *[v.alias(f"o{c}") for c, v in zip(names, bulk, strict=True)], solid.cast("int").alias("solid"), F.lit(1).alias("n")]
-    sums = ["d", *[f"p{c}" for c in names], *[f"o{c}" for c in names], "solid", "n"]
-    long = s.filter("back > front")
-    opening = long.select(*KEYS, F.col("front").alias("z_"), *parts)
-    closing = long.select(*KEYS, F.col("back").alias("z_"), *parts).select(*KEYS, "z_", *[(-F.col(c)).alias(c) for c in sums])
-    cuts = opening.unionByName(closing).groupBy(*KEYS, "z_").agg(*[F.sum(c).alias(c) for c in sums])
-    # Points cut what spans them.
-    points = s.filter("not back > front").withColumn("z_", F.col("front"))
-    cuts = cuts.unionByName(points.select(*KEYS, "z_").distinct().select(*KEYS, "z_", *[F.lit(0).alias(c) for c in sums])).groupBy(*KEYS, "z_").agg(*[F.sum(c).alias(c) for c in sums])
-    along = Window.partitionBy(*KEYS).orderBy("z_")
-    running = cuts.select(*KEYS, F.col("z_").alias("front"), F.lead("z_").over(along).alias("back"), *[F.sum(c).over(along).alias(c) for c in sums]).filter("n > 0")
-    size = F.col("back") - F.col("front")
-    pieces = running.select(*KEYS, "front", "back", "solid", "n", (F.col("d") * size).alias("depth"), *[(F.col(f"p{c}") * size).alias(f"p{c}") for c in names], *[F.col(f"o{c}") for c in names])
-    alike = points.groupBy(*KEYS, "front", "back").agg(
-        F.sum(solid.cast("int")).alias("solid"), F.count("*").alias("n"), F.sum(F.when(solid, 0.0).otherwise(_depth(F.col("alpha")))).alias("depth"),
-        *[F.sum(F.when(solid, 0.0).when(faint, F.col(c)).otherwise(F.col(c) / F.col("alpha") * _depth(F.col("alpha")))).alias(f"p{c}") for c in names],
-        *[F.sum(F.when(solid, F.col(c)).otherwise(0.0)).alias(f"o{c}") for c in names],
-    )
-    every = pieces.unionByName(alike)
-    depth, opaque = F.greatest(F.col("depth"), F.lit(0.0)), F.col("solid") > 0
-    factor = F.when(depth < 1e-12, 1.0).otherwise(-F.expm1(-depth) / depth)
-    sample = F.struct(*[F.when(opaque, F.col(f"o{c}") / F.greatest("solid", F.lit(1))).otherwise(factor * F.col(f"p{c}")).alias(k) for k, c in zip("RGB", names, strict=True)], F.when(opaque, 1.0).otherwise(-F.expm1(-depth)).alias("A"), F.col("front").alias("Z"), F.col("back").alias("Zback"))
-    out = from_rows(every.select(*KEYS, sample.alias("sample")))
-    bare = a.select(*KEYS).unionByName(b.select(*KEYS)).distinct().join(out, KEYS, "left").select(*KEYS, F.coalesce("samples", F.expr(EMPTY)).alias("samples"))
-    return occlusion_cull(bare) if cull else bare
+    mine, other = (d.select(*KEYS, F.col("samples").alias(n)) for d, n in ((a, "p"), (b, "q")))
+    both = mine.join(other, KEYS, "full_outer").select(*KEYS, F.concat(*[F.coalesce(c, F.expr(EMPTY)) for c in "pq"]).alias("samples"))
+    ship(a.sparkSession)
+    merged = both.mapInArrow(_merge_batches, f"{', '.join(f'{c} {t}' for c, t in both.dtypes[:-1])}, samples {SAMPLES}")
+    return occlusion_cull(merged) if cull else merged
 
 
 def deep_holdout(a: DataFrame, holdout: DataFrame) -> DataFrame:

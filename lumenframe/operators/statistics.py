@@ -1,4 +1,8 @@
-"""Aggregates of images: partial sums on the map side, one small row for each image and channel."""
+"""Aggregates of images: partial sums on the map side, one small row for each image and channel.
+
+A pixel of the data window without a row is zero: how many there are follows from
+the number of rows, so they count without being made.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.core import Image, Roi, every, finite, joined, per_channel, some
@@ -18,8 +22,13 @@ def long_form(a: Image) -> DataFrame:
     return a.df.select("image_id", "z", "y", "x", F.posexplode(F.array(*a.c)).alias("c", "v"))
 
 
+def _absent(a: Image) -> Column:
+    """Of a group's pixels those without a row."""
+    return F.lit(0).cast("long") if a.whole else F.greatest(F.lit(a.spec.data.pixels) - F.count("*"), F.lit(0).cast("long"))
+
+
 def pixel_stats(a: Image) -> DataFrame:
-    """image_id, c, min, max, avg, stddev, sum, nan, inf, finite of the pixels that have a row.
+    """image_id, c, min, max, avg, stddev, sum, nan, inf, finite of all pixels.
 
     Only finite values count; without any all are 0.  One pass over wide rows: the
     channels are aggregates of one grouping, not a multiple of the rows.
@@ -29,17 +38,18 @@ def pixel_stats(a: Image) -> DataFrame:
         ok = F.when(finite(v), v)
         aggs += [F.min(ok).alias(f"lo{i}"), F.max(ok).alias(f"hi{i}"), F.sum(ok).alias(f"s{i}"), F.sum(ok * ok).alias(f"q{i}"), F.count(ok).alias(f"n{i}")]
         aggs += [F.count_if(F.isnan(v)).alias(f"nan{i}"), F.count_if(F.abs(v) == float("inf")).alias(f"inf{i}")]
-    wide = a.df.groupBy("image_id").agg(*aggs)
+    wide = a.df.groupBy("image_id").agg(*aggs, _absent(a).alias("absent"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    with_absent = lambda f, c: F.when(F.col("absent") > 0, f(zero(F.col(c)), F.lit(0.0))).otherwise(zero(F.col(c)))
     rows = []
     for i in range(a.spec.n):
-        n = F.greatest(F.col(f"n{i}"), F.lit(1))
+        n = F.greatest(F.col(f"n{i}") + F.col("absent"), F.lit(1))
         avg = zero(F.col(f"s{i}")) / n
         var = F.greatest(zero(F.col(f"q{i}")) / n - avg * avg, F.lit(0.0))
         rows.append(
             F.struct(
-                F.lit(i).alias("c"), zero(F.col(f"lo{i}")).alias("min"), zero(F.col(f"hi{i}")).alias("max"), avg.alias("avg"), F.sqrt(var).alias("stddev"),
-                zero(F.col(f"s{i}")).alias("sum"), F.col(f"nan{i}").alias("nan"), F.col(f"inf{i}").alias("inf"), F.col(f"n{i}").alias("finite"),
+                F.lit(i).alias("c"), with_absent(F.least, f"lo{i}").alias("min"), with_absent(F.greatest, f"hi{i}").alias("max"), avg.alias("avg"), F.sqrt(var).alias("stddev"),
+                zero(F.col(f"s{i}")).alias("sum"), F.col(f"nan{i}").alias("nan"), F.col(f"inf{i}").alias("inf"), (F.col(f"n{i}") + F.col("absent")).alias("finite"),
             )
         )
     return wide.select("image_id", F.explode(F.array(*rows)).alias("r")).select("image_id", "r.*")
@@ -82,17 +92,26 @@ def compare(a: Image, b: Image, fail: float, warn: float, fail_relative: float =
 
 
 def is_constant_color(a: Image, threshold: float = 0.0) -> DataFrame:
-    """image_id, constant: all pixels within threshold of the first in scan order; missing pixels are not considered."""
-    first = a.df.groupBy("image_id").agg(*[F.min_by(c, F.struct("z", "y", "x")).alias(f"f{i}") for i, c in enumerate(a.c)], *[F.min(c).alias(f"lo{i}") for i, c in enumerate(a.c)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(a.c)])
-    far = [F.greatest(F.col(f"hi{i}") - F.col(f"f{i}"), F.col(f"f{i}") - F.col(f"lo{i}")) <= threshold for i in range(a.spec.n)]
+    """image_id, constant: all pixels within threshold of the first in scan order."""
+    d, n = a.spec.data, range(a.spec.n)
+    first = a.df.groupBy("image_id").agg(
+        F.min(F.struct("z", "y", "x")).alias("at"), _absent(a).alias("absent"), *[F.min_by(c, F.struct("z", "y", "x")).alias(f"f{i}") for i, c in enumerate(a.c)],
+        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(a.c)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(a.c)],
+    )
+    corner = (F.col("at.z") == d.z0) & (F.col("at.y") == d.y0) & (F.col("at.x") == d.x0)
+    head = [F.when(F.lit(a.whole) | corner, F.col(f"f{i}")).otherwise(0.0) for i in n]
+    near = lambda v, i: F.abs(v - head[i]) <= threshold
+    far = [(near(F.col(f"hi{i}"), i)) & near(F.col(f"lo{i}"), i) & ((F.col("absent") == 0) | near(F.lit(0.0), i)) for i in n]
     return first.select("image_id", every(far).alias("constant"))
 
 
 def is_constant_channel(a: Image, channel: int, value: float, threshold: float = 0.0) -> DataFrame:
-    return a.df.groupBy("image_id").agg(F.bool_and(F.abs(a.c[channel] - value) <= threshold).alias("constant"))
+    rows = a.df.groupBy("image_id").agg(F.bool_and(F.abs(a.c[channel] - value) <= threshold).alias("all"), _absent(a).alias("absent"))
+    return rows.select("image_id", (F.col("all") & ((F.col("absent") == 0) | F.lit(abs(value) <= threshold))).alias("constant"))
 
 
 def is_monochrome(a: Image, threshold: float = 0.0) -> DataFrame:
+    """Pixels without a row are monochrome."""
     spread = F.greatest(*a.c) - F.least(*a.c) if a.spec.n > 1 else F.lit(0.0)
     return a.df.groupBy("image_id").agg(F.bool_and(spread <= threshold).alias("monochrome"))
 
@@ -100,7 +119,11 @@ def is_monochrome(a: Image, threshold: float = 0.0) -> DataFrame:
 def color_count(a: Image, colors: list[list[float]], eps=0.001) -> DataFrame:
     """image_id, color, n: pixels that match each colour; a pixel can match several."""
     e = per_channel(eps, a.spec.n)
-    hits = [F.count_if(every([F.abs(c - v) <= t for c, v, t in zip(a.c, per_channel(k, a.spec.n), e, strict=True)])) for k in colors]
+    hits = []
+    for k in colors:
+        want = per_channel(k, a.spec.n)
+        black = all(abs(v) <= t for v, t in zip(want, e, strict=True))
+        hits.append(F.count_if(every([F.abs(c - v) <= t for c, v, t in zip(a.c, want, e, strict=True)])) + (_absent(a) if black else F.lit(0)))
     rows = a.df.groupBy("image_id").agg(F.array(*hits).alias("n"))
     return rows.select("image_id", F.posexplode("n").alias("color", "n"))
 
@@ -108,7 +131,12 @@ def color_count(a: Image, colors: list[list[float]], eps=0.001) -> DataFrame:
 def color_range_check(a: Image, low, high) -> DataFrame:
     lo, hi = per_channel(low, a.spec.n), per_channel(high, a.spec.n)
     under, above = some([c < v for c, v in zip(a.c, lo, strict=True)]), some([c > v for c, v in zip(a.c, hi, strict=True)])
-    return a.df.groupBy("image_id").agg(F.count_if(under).alias("n_low"), F.count_if(above).alias("n_high"), F.count_if(~under & ~above).alias("n_in"))
+    # Where black pixels belong.
+    black_low, black_high = any(v > 0 for v in lo), any(v < 0 for v in hi)
+    also = lambda n, if_black: n + _absent(a) if if_black else n
+    return a.df.groupBy("image_id").agg(
+        also(F.count_if(under), black_low).alias("n_low"), also(F.count_if(above), black_high).alias("n_high"), also(F.count_if(~under & ~above), not black_low and not black_high).alias("n_in")
+    )
 
 
 def nonzero_region(a: Image) -> DataFrame:
@@ -128,8 +156,11 @@ def histogram(a: Image, channel: int = 0, bins: int = 256, low: float = 0.0, hig
     v = a.c[channel]
     at = F.least(F.greatest(F.floor((v - low) * (bins / (high - low))), F.lit(0)), F.lit(bins - 1)).cast("int")
     counted = df.groupBy("image_id", at.alias("bin")).agg(F.count("*").alias("n"))
-    full = a.df.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return full.join(counted, ["image_id", "bin"], "left").select("image_id", "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    black = min(max(math.floor((0.0 - low) * (bins / (high - low))), 0), bins - 1)
+    absent = F.lit(0).cast("long") if ignore_empty else _absent(a)
+    full = a.df.groupBy("image_id").agg(absent.alias("absent")).select("image_id", "absent", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    also = F.when(F.col("bin") == black, F.col("absent")).otherwise(0)
+    return full.join(counted, ["image_id", "bin"], "left").select("image_id", "bin", (F.coalesce("n", F.lit(0).cast("long")) + also).alias("n"))
 
 
 def pixel_hash(a: Image, block_rows: int = 64, extra: str = "") -> DataFrame:

@@ -53,7 +53,9 @@ DENSE = (
 
 
 def _li(spark: SparkSession, sf: str, flag: str) -> Image:
-    df = _table(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag).groupBy(F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("x")).agg(
+    """The returned lines are one image, all others the other."""
+    mine = F.col("l_returnflag") == "R" if flag == "R" else F.col("l_returnflag") != "R"
+    df = _table(spark, sf, "lineitem").filter(mine).groupBy(F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("x")).agg(
         (F.sum("l_quantity") / 100).alias("c0"), (F.max("l_extendedprice") / 10000).alias("c1"), F.max("l_discount").alias("c2"), F.max("l_tax").alias("c3"), (F.sum("l_quantity") / (F.count("*") * 50)).alias("c4")
     )
     rows = _table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]
@@ -63,7 +65,7 @@ def _li(spark: SparkSession, sf: str, flag: str) -> Image:
 def _li_sql(name: str, flag: str) -> str:
     return (
         f"{name} as (select cast(l_orderkey as int) as y, cast(l_linenumber as int) as x, sum(l_quantity) / 100 as c0, max(l_extendedprice) / 10000 as c1, max(l_discount)::double as c2, max(l_tax)::double as c3, "
-        f"sum(l_quantity) / (count(*) * 50) as c4 from lineitem where l_returnflag = '{flag}' group by l_orderkey, l_linenumber)"
+        f"sum(l_quantity) / (count(*) * 50) as c4 from lineitem where l_returnflag {'=' if flag == 'R' else '<>'} 'R' group by l_orderkey, l_linenumber)"
     )
 
 
@@ -395,9 +397,9 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 LONG = "select image_id, y, x, unnest([0, 1, 2, 3]) as c, unnest([c0, c1, c2, c3]) as v from a"
-STATS = f"{EMB}, l as ({LONG}) select image_id, c, round(min(v), 6) + 0.0 as min, round(max(v), 6) + 0.0 as max, round(avg(v), 6) + 0.0 as avg, round(stddev_pop(v), 6) + 0.0 as stddev, round(sum(v), 6) + 0.0 as sum, 0::bigint as nan, 0::bigint as inf, count(*) as finite from l group by image_id, c"
+STATS = f"{DENSE}, l as ({LONG}) select image_id, c, round(min(v), 6) + 0.0 as min, round(max(v), 6) + 0.0 as max, round(avg(v), 6) + 0.0 as avg, round(stddev_pop(v), 6) + 0.0 as stddev, round(sum(v), 6) + 0.0 as sum, 0::bigint as nan, 0::bigint as inf, count(*) as finite from l group by image_id, c"
 register("stats", lambda s, d: _rounded(S.pixel_stats(emb(s, d))), STATS)
-register("stats_nonfinite", lambda s, d: _rounded(S.pixel_stats(_holes(emb(s, d))).filter("c = 0").select("image_id", "min", "max", "avg", "nan", "inf", "finite")), f"{EMB} select image_id, round(coalesce(min(c0) filter (where c0 between -0.2 and 0.2), 0), 6) + 0.0 as min, round(coalesce(max(c0) filter (where c0 between -0.2 and 0.2), 0), 6) + 0.0 as max, round(coalesce(avg(c0) filter (where c0 between -0.2 and 0.2), 0), 6) + 0.0 as avg, count(*) filter (where c0 > 0.2) as nan, count(*) filter (where c0 < -0.2) as inf, count(*) filter (where c0 between -0.2 and 0.2) as finite from a group by image_id")
+register("stats_nonfinite", lambda s, d: _rounded(S.pixel_stats(_holes(emb(s, d))).filter("c = 0").select("image_id", "min", "max", "avg", "nan", "inf", "finite")), f"{DENSE} select image_id, round(coalesce(min(c0) filter (where c0 between -0.2 and 0.2), 0), 6) + 0.0 as min, round(coalesce(max(c0) filter (where c0 between -0.2 and 0.2), 0), 6) + 0.0 as max, round(coalesce(avg(c0) filter (where c0 between -0.2 and 0.2), 0), 6) + 0.0 as avg, count(*) filter (where c0 > 0.2) as nan, count(*) filter (where c0 < -0.2) as inf, count(*) filter (where c0 between -0.2 and 0.2) as finite from a group by image_id")
 
 
 def over_stats(s: SparkSession, d: str) -> DataFrame:
@@ -406,7 +408,14 @@ def over_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 _O = ", ".join(f"{OVER(i)} as c{i}" for i in range(5))
-register("over_stats", over_stats, f"{LI}, o as (select image_id, {_O} from a), l as (select image_id, unnest([0, 1, 2, 3, 4]) as c, unnest([c0, c1, c2, c3, c4]) as v from o) select image_id, c, round(min(v), 6) + 0.0 as min, round(max(v), 6) + 0.0 as max, round(avg(v), 6) + 0.0 as avg, round(stddev_pop(v), 6) + 0.0 as stddev, round(sum(v), 6) + 0.0 as sum, 0::bigint as nan, 0::bigint as inf, count(*) as finite from l group by image_id, c")
+# A pixel that neither image has is zero.
+register(
+    "over_stats", over_stats,
+    f"{LI}, o as (select image_id, {_O} from a), l as (select image_id, unnest([0, 1, 2, 3, 4]) as c, unnest([c0, c1, c2, c3, c4]) as v from o), w as (select 7 * (max(o_orderkey) + 1) as n from orders), "
+    "t as (select image_id, c, min(v) as lo, max(v) as hi, sum(v) as s, sum(v * v) as q, count(*) as k, any_value(w.n) as n from l, w group by image_id, c) "
+    "select image_id, c, round(case when k < n then least(lo, 0) else lo end, 6) + 0.0 as min, round(case when k < n then greatest(hi, 0) else hi end, 6) + 0.0 as max, round(s / n, 6) + 0.0 as avg, "
+    "round(sqrt(greatest(q / n - (s / n) * (s / n), 0)), 6) + 0.0 as stddev, round(s, 6) + 0.0 as sum, 0::bigint as nan, 0::bigint as inf, n::bigint as finite from t",
+)
 
 
 def _compared(s: SparkSession, d: str) -> DataFrame:
@@ -422,13 +431,13 @@ register(
     f"select e.image_id, round(sum({' + '.join(_E)}) / any_value(n.n), 6) + 0.0 as mean_error, round(sqrt(sum({' + '.join(f'{e} * {e}' for e in _E)}) / any_value(n.n)), 6) + 0.0 as rms_error, round(max(top), 6) + 0.0 as max_error, any_value(best.x) as x, any_value(best.y) as y, 0 as z, any_value(best.c) as c, "
     "count(*) filter (where top > 0.1) as n_warn, count(*) filter (where top > 0.3) as n_fail from e, n, best group by e.image_id",
 )
-register("is_constant_color", lambda s, d: S.is_constant_color(emb(s, d), 0.1), f"{EMB}, f as (select image_id, {', '.join(f'arg_min(c{i}, y * 25 + x) as f{i}' for i in range(4))} from a group by image_id) select image_id, bool_and({' and '.join(f'abs(c{i} - f{i}) <= 0.1' for i in range(4))}) as constant from a join f using (image_id) group by image_id")
-register("is_constant_channel", lambda s, d: S.is_constant_channel(emb(s, d), 1, 0.0, 0.3), f"{EMB} select image_id, bool_and(abs(c1) <= 0.3) as constant from a group by image_id")
-register("is_monochrome", lambda s, d: S.is_monochrome(emb(s, d), 0.5), f"{EMB} select image_id, bool_and(greatest(c0, c1, c2, c3) - least(c0, c1, c2, c3) <= 0.5) as monochrome from a group by image_id")
-register("color_count", lambda s, d: S.color_count(emb(s, d), [[0.0], [0.1, 0.1, 0.1, 0.1]], 0.15), f"{EMB} select image_id, color, count(*) filter (where abs(c0 - v) <= 0.15 and abs(c1 - v) <= 0.15 and abs(c2 - v) <= 0.15 and abs(c3 - v) <= 0.15) as n from a, (values (0, 0.0), (1, 0.1)) k(color, v) group by image_id, color")
-register("rangecheck", lambda s, d: S.color_range_check(emb(s, d), -0.2, 0.2), f"{EMB} select image_id, count(*) filter (where least(c0, c1, c2, c3) < -0.2) as n_low, count(*) filter (where greatest(c0, c1, c2, c3) > 0.2) as n_high, count(*) filter (where least(c0, c1, c2, c3) >= -0.2 and greatest(c0, c1, c2, c3) <= 0.2) as n_in from a group by image_id")
+register("is_constant_color", lambda s, d: S.is_constant_color(emb(s, d), 0.1), f"{DENSE}, f as (select image_id, {', '.join(f'arg_min(c{i}, y * 25 + x) as f{i}' for i in range(4))} from a group by image_id) select image_id, bool_and({' and '.join(f'abs(c{i} - f{i}) <= 0.1' for i in range(4))}) as constant from a join f using (image_id) group by image_id")
+register("is_constant_channel", lambda s, d: S.is_constant_channel(emb(s, d), 1, 0.0, 0.3), f"{DENSE} select image_id, bool_and(abs(c1) <= 0.3) as constant from a group by image_id")
+register("is_monochrome", lambda s, d: S.is_monochrome(emb(s, d), 0.5), f"{DENSE} select image_id, bool_and(greatest(c0, c1, c2, c3) - least(c0, c1, c2, c3) <= 0.5) as monochrome from a group by image_id")
+register("color_count", lambda s, d: S.color_count(emb(s, d), [[0.0], [0.1, 0.1, 0.1, 0.1]], 0.15), f"{DENSE} select image_id, color, count(*) filter (where abs(c0 - v) <= 0.15 and abs(c1 - v) <= 0.15 and abs(c2 - v) <= 0.15 and abs(c3 - v) <= 0.15) as n from a, (values (0, 0.0), (1, 0.1)) k(color, v) group by image_id, color")
+register("rangecheck", lambda s, d: S.color_range_check(emb(s, d), -0.2, 0.2), f"{DENSE} select image_id, count(*) filter (where least(c0, c1, c2, c3) < -0.2) as n_low, count(*) filter (where greatest(c0, c1, c2, c3) > 0.2) as n_high, count(*) filter (where least(c0, c1, c2, c3) >= -0.2 and greatest(c0, c1, c2, c3) <= 0.2) as n_in from a group by image_id")
 register("nonzero_region", lambda s, d: S.nonzero_region(A.clamp(emb(s, d), 0.1, 9.0).with_channels([F.when(F.col("c0") > 0.15, F.col("c0")).otherwise(0.0)])).select("image_id", "x0", "x1", "y0", "y1"), f"{EMB} select image_id, min(x) as x0, max(x) + 1 as x1, min(y) as y0, max(y) + 1 as y1 from a where c0 > 0.15 group by image_id")
-register("histogram", lambda s, d: S.histogram(emb(s, d), 0, 16, -0.4, 0.4), f"{EMB}, h as (select image_id, cast(least(greatest(floor((c0 - -0.4) * (16 / (0.4 - -0.4))), 0), 15) as int) as bin, count(*) as n from a group by all), ids as (select distinct image_id from a) select image_id, cast(b.bin as int) as bin, coalesce(n, 0) as n from ids cross join (select unnest(range(0, 16)) as bin) b left join h on h.image_id = ids.image_id and h.bin = b.bin".replace("select image_id, cast(b.bin", "select ids.image_id, cast(b.bin"))
+register("histogram", lambda s, d: S.histogram(emb(s, d), 0, 16, -0.4, 0.4), f"{DENSE}, h as (select image_id, cast(least(greatest(floor((c0 - -0.4) * (16 / (0.4 - -0.4))), 0), 15) as int) as bin, count(*) as n from a group by all) select image_id, cast(b.bin as int) as bin, coalesce(n, 0) as n from ids cross join (select unnest(range(0, 16)) as bin) b left join h on h.image_id = ids.image_id and h.bin = b.bin".replace("select image_id, cast(b.bin", "select ids.image_id, cast(b.bin"))
 register("pixel_hash", lambda s, d: S.pixel_hash(emb(s, d)))
 register("top_pixels", lambda s, d: shown(Image(S.top_pixels(emb(s, d), 0, 3), emb(s, d).spec)), f"{EMB} select {_show_sql(['c0', 'c1', 'c2', 'c3'])} from (select *, row_number() over (partition by image_id order by c0 desc, y, x) as r from a) where r <= 3")
 register("idiff_status", lambda s, d: S.diff_status(S.compare(G.channels(_li(s, d, "A"), [0]), G.channels(_li(s, d, "R"), [0]), 0.3, 0.1), 1000).select("image_id", "n_fail", "n_warn", "status"), f"{LI} select image_id, count(*) filter (where abs(a0 - b0) > 0.3) as n_fail, count(*) filter (where abs(a0 - b0) > 0.1) as n_warn, case when count(*) filter (where abs(a0 - b0) > 0.3) > 0 then 'FAILURE' when count(*) filter (where abs(a0 - b0) > 0.1) > 0 then 'WARNING' else 'PASS' end as status from a group by image_id")

@@ -128,3 +128,44 @@ def test_merge_of_opaque_and_point_samples(spark):
     assert [s["A"] for s in D.deep_merge(deep_image(spark, p), deep_image(spark, q), True).first()["samples"]][-1] == 1
     none = D.deep_merge(deep_image(spark, []), deep_image(spark, []))
     assert none.first()["samples"] == []
+
+
+def test_merge_beside_a_thin_dense_sample(spark):
+    """Nothing of a thin dense sample is left in the sums of the pieces behind it."""
+    p, q = [(0.9, 0.9, 0.9, 0.9, 1.0, 1.0 + 1e-12)], [(0.1, 0.05, 0.02, 0.1, 0.5, 2.0)]
+    got = D.deep_merge(deep_image(spark, p), deep_image(spark, q)).first()["samples"]
+    ends = [0.5, 1.0, 1.0 + 1e-12, 2.0]
+    assert [(s["Z"], s["Zback"]) for s in got] == list(zip(ends, ends[1:], strict=False))
+    for s in (got[0], got[2]):
+        alpha = 1 - 0.9 ** ((s["Zback"] - s["Z"]) / 1.5)
+        assert s["A"] == pytest.approx(alpha, abs=1e-12) and s["G"] == pytest.approx(alpha / 2, abs=1e-12)
+
+
+def test_merge_of_other_pixels_and_nulls(spark):
+    schema = f"image_id string, z int, y int, x int, samples {D.SAMPLES}"
+    one = (0.1, 0.1, 0.1, 0.2, 1.0, 2.0)
+    a = spark.createDataFrame([("a", 0, 0, x, [one] * x) for x in range(4)] + [("a", 0, 9, 0, None)], schema)
+    b = spark.createDataFrame([("a", 0, 0, x, [one]) for x in (3, 4)], schema)
+    got = {(r["y"], r["x"]): r["samples"] for r in D.deep_merge(a, b).collect()}
+    assert {k: len(v) for k, v in got.items()} == {(0, 0): 0, (0, 1): 1, (0, 2): 1, (0, 3): 1, (0, 4): 1, (9, 0): 0}
+    assert got[0, 3][0]["A"] == pytest.approx(1 - 0.8**4) and got[0, 4][0]["A"] == pytest.approx(0.2)
+
+
+def test_aggregates_count_pixels_without_a_row(spark):
+    from lumenframe.core import Image, Roi, Spec
+    from lumenframe.operators import statistics as S
+
+    rng = np.random.default_rng(7)
+    roi = Roi(2, 7, -1, 4)
+    rows = [(k, 0, y, x, float(rng.uniform(-1, 1)), float(rng.uniform(0.2, 1))) for k in "ab" for y in range(-1, 4) for x in range(2, 7) if rng.random() < (0.5 if k == "a" else 1)]
+    sparse = Image(spark.createDataFrame(rows, "image_id string, z int, y int, x int, c0 double, c1 double"), Spec(roi, roi, ("R", "G")))
+    full = sparse.dense()
+    for f in (
+        S.pixel_stats, lambda a: S.is_constant_color(a, 0.9), lambda a: S.is_constant_channel(a, 1, 0.6, 0.5), lambda a: S.is_constant_channel(a, 1, 0.6, 0.6), S.is_monochrome,
+        lambda a: S.color_count(a, [[0.0, 0.0], [0.3, 0.5]], 0.3), lambda a: S.color_range_check(a, 0.1, 0.5), lambda a: S.color_range_check(a, -0.5, -0.1), lambda a: S.color_range_check(a, -1, 1),
+        lambda a: S.histogram(a, 0, 8, -1.0, 1.0), lambda a: S.histogram(a, 1, 4, 0.5, 1.0, True),
+    ):
+        x, y = (sorted(map(tuple, f(a).collect())) for a in (sparse, full))
+        assert len(x) == len(y)
+        for p, q in zip(x, y, strict=True):
+            assert p == pytest.approx(q) if all(isinstance(v, int | float) for v in p) else all(u == pytest.approx(v) if isinstance(u, float) else u == v for u, v in zip(p, q, strict=True))
