@@ -22,7 +22,9 @@ from lumenframe.operators import deep as D
 from lumenframe.operators import filters
 from lumenframe.operators import geometry as G
 from lumenframe.operators import neighborhood as N
+from lumenframe.operators import perceptual as P
 from lumenframe.operators import statistics as S
+from lumenframe.operators import transforms as T
 from lumenframe.plans.expression import number, substitute
 from lumenframe.plans.geometry import floats, parse_channels, parse_frames, parse_geometry, parse_option
 from lumenframe.sources.codecs import CODECS
@@ -254,6 +256,7 @@ class Commands:
     variables: dict[str, str] = field(default_factory=dict)
     printed: list[str] = field(default_factory=list)
     frame: int = 0
+    config: T.Config = field(default_factory=T.default_config)
 
     def pop(self) -> Image:
         if not self.stack:
@@ -470,6 +473,39 @@ class Commands:
                 self.say(f"mean error {r['mean_error']:g}, max error {r['max_error']:g}: {r['status']}")
 
 
+def _perceptual(c: Commands, metric: Callable[[Image, Image, Options], Image], o: Options) -> None:
+    """The error map of the two top images takes their place."""
+    b, a = c.pop(), c.pop()
+    c.stack.append(metric(a, b, o))
+
+
+def _flip(a: Image, b: Image, o: Options) -> Image:
+    hdr = P.Exposures(o.get("tonemapper", "aces"), float(o.get("maxluminance", 2)), float(o.get("medianluminance", 0.18)), count=int(o.get("exposures", 0)))
+    return P.flip_diff(a, b, float(o.get("ppd", P.PIXELS_PER_DEGREE)), None if o.get("hdr") == "0" else hdr)
+
+
+def _transform(c: Commands, steps: Callable[[str], list], o: Options, colorspace: str | None = None) -> None:
+    """The top image through the steps that its present colour space asks for."""
+    a = c.pop()
+    now = o.get("from", a.spec.attribs.get("colorspace", "scene_linear"))
+    c.stack.append(T.apply(a, steps(now), o.get("unpremult") == "1", colorspace))
+
+
+def _look(c: Commands, names: str, o: Options) -> None:
+    now = c.stack[-1].spec.attribs.get("colorspace", "scene_linear")
+    target = o.get("to", now)
+    _transform(c, lambda s: c.config.through_looks(names.replace("+", ","), s, target, o.get("inverse") == "1"), o, c.config.space(target))
+
+
+def _display(c: Commands, display: str, view: str, o: Options) -> None:
+    _transform(c, lambda s: c.config.to_display(display, view, s, o.get("looks"), o.get("inverse") == "1"), o)
+
+
+def _file_transform(c: Commands, path: str, o: Options) -> None:
+    step = T.read_cube(c.spark.read.text(path, wholetext=True).first()[0])
+    _transform(c, lambda s: [step.inverse() if o.get("inverse") == "1" else step], o)
+
+
 def _siappend(c: Commands, n: int) -> None:
     """The last n images as the subimages of one."""
     own = [c.pop() for _ in range(n)][::-1]
@@ -532,6 +568,13 @@ BUILTIN: dict[str, tuple[int, Callable]] = {
     "echo": (1, lambda c, t, o: c.say(t)),
     "mosaic": (1, _mosaic),
     "diff": (0, Commands._compare),
+    "flipdiff": (0, lambda c, o: _perceptual(c, _flip, o)),
+    "pdiff": (0, lambda c, o: _perceptual(c, lambda a, b, o: P.visible_differences(a, b, float(o.get("luminance", 100)), float(o.get("fov", 45))), o)),
+    "ociolook": (1, _look),
+    "ociodisplay": (2, _display),
+    "ociofiletransform": (1, _file_transform),
+    "ocionamedtransform": (1, lambda c, n, o: _transform(c, lambda s: c.config.by_name(n, o.get("inverse") == "1"), o)),
+    "colorconfiginfo": (0, lambda c, o: c.printed.extend(" ".join(filter(None, r)) for r in c.config.inventory())),
     "printstats": (0, _stats),
     "stats": (0, _stats),
     "colorcount": (1, _colorcount),
@@ -545,6 +588,7 @@ BUILTIN: dict[str, tuple[int, Callable]] = {
     "a": (0, lambda c, o: _set(c, "allsubimages", "1", o)),
     "n": (0, lambda c, o: _set(c, "dryrun", "1", o)),
     "evaloff": (0, lambda c, o: _set(c, "evaloff", "1", o)),
+    "evalon": (0, lambda c, o: _set(c, "evaloff", "0", o)),
     "no-history": (0, lambda c, o: _set(c, "history", "0", o)),
     "history": (0, lambda c, o: _set(c, "history", "1", o)),
     "nosoftwareattrib": (0, lambda c, o: _set(c, "software", "0", o)),
@@ -575,7 +619,8 @@ BUILTIN: dict[str, tuple[int, Callable]] = {
 }
 
 
-def command_line(spark: SparkSession, words: list[str], reader=None, writer=None) -> Commands:
+def command_line(spark: SparkSession, words: list[str], reader=None, writer=None, config: T.Config | None = None) -> Commands:
     from lumenframe.sources import files
 
-    return Commands(spark, reader or files.read, writer or (lambda a, p: files.encoded(a, p).write.mode("overwrite").parquet(p))).run(words)
+    writer = writer or (lambda a, p: files.encoded(a, p).write.mode("overwrite").parquet(p))
+    return Commands(spark, reader or files.read, writer, config=config or T.default_config()).run(words)

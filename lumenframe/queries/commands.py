@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.core import Image
 from lumenframe.plans.command import Commands, command_line
+from lumenframe.queries import perceptual as Q
 from lumenframe.queries import rasters as R
+from lumenframe.queries import transforms as T
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-TABLES = {"ev": R.ev, "emb": R.emb, "A": lambda s, d: R._li(s, d, "A"), "R": lambda s, d: R._li(s, d, "R")}
+TABLES = {
+    "ev": R.ev, "emb": R.emb, "A": lambda s, d: R._li(s, d, "A"), "R": lambda s, d: R._li(s, d, "R"),
+    "even": lambda s, d: Q.pair(s, d)[0], "odd": lambda s, d: Q.pair(s, d)[1], "vec": T.lines,
+}
 
 
 def done(spark: SparkSession, sf: str, words: str) -> Commands:
     """The commands' end state; names of tables stand for their images."""
-    return command_line(spark, words.split(), reader=lambda s, name: TABLES[name](s, sf))
+    return command_line(spark, words.split(), reader=lambda s, name: TABLES[name](s, sf), config=T.config())
 
 
 def pixels(name: str, words: str, sql: str, whole: bool = True) -> None:
@@ -124,3 +129,49 @@ lines("colorcount", "--pattern constant:color=1,0.5,0.5 256x256 3 --box:color=0,
 lines("info", "ev --attrib artist me --attrib year 7 -v --info --metamatch art --info", f"{R.EV}, h as (select w.y1 - w.y0 as n from w) select 0 as n, '24 x ' || n || ', 2 channels: S, N' as line from h union all select 1, '    artist: me' from h union all select 2, '    year: 7' from h union all select 3, '24 x ' || n || ', 2 channels: S, N' from h union all select 4, '    artist: me' from h")
 lines("diff", "--pattern constant:color=0.5 8x8 1 --dup --point:color=0.75 3,4 --fail 0.1 --failpercent 2 --diff", "select 0 as n, 'mean error ' || printf('%g', 0.25 / 64) || ', max error 0.25: WARNING' as line")
 lines("echo", "--echo {1+2} --create 4x4 3 --printinfo --set x 5 --echo {x*2}", "select * from (values (0, '3'), (1, '4 x 4, 3 channels: R, G, B'), (2, '10')) v(n, line)")
+
+
+# --- stencils, resampling and frequencies: the same pixels as the operators'
+def alike(name: str, words: str, of: str, nudged: bool = True) -> None:
+    """The command's pixels against the SQL of an operator's query; nudged if that SQL adds a billionth."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        top = done(spark, sf, words).stack[-1]
+        return R._no_tie(top) if nudged else R.shown(top)
+
+    QUERIES[f"cmd_{name}"], SQL[f"cmd_{name}"] = query, R.SQL[of]
+
+
+alike("blur", "ev --blur 5x5", "blur", False)
+alike("convolve", "ev --kernel gaussian 5x5 --convolve", "convolve", False)
+alike("median", "ev --median 3x3", "median", False)
+alike("dilate", "ev --dilate 3x5", "dilate", False)
+alike("erode", "ev --erode 5x3", "erode", False)
+alike("unsharp", "ev --unsharp", "unsharp", False)
+alike("laplacian", "ev --laplacian", "laplacian", False)
+alike("resize", "ev --resize:filter=triangle 12x10", "resize_triangle")
+alike("rotate", f"ev --rotate:center=12,15:filter=triangle {0.3 * 180 / 3.141592653589793!r}", "rotate")
+alike("warp", "ev --warp:filter=triangle 1.13,0.07,0,-0.11,0.93,0,1.3,2.1,1", "warp")
+alike("fft", "ev --fft", "fft")
+alike("ifft", "ev --fft --ifft", "ifft", False)
+alike("demosaic", "ev --ch 0 --demosaic", "demosaic")
+
+# --- other names of commands, orientation and the stack
+pixels("constants_first", "ev --cadd 0.5,1 --cmul 2 --csub 1 --abs --cpow 2,0.5", ev([f"pow(abs((c{i} + {(0.5, 1)[i]}) * 2 - 1), {(2, 0.5)[i]})" for i in range(2)]))
+pixels("rotate90", "ev --rotate90", ev(["c0", "c1"], "a", "y1 - 1 - y", "x"), False)
+pixels("flipflop", "ev --flipflop --rotate180 --flip --croptofull", ev(["c0", "c1"], "a", "x", "y1 - 1 - y + y0"), False)
+pixels("reorient", "ev --orientcw --reorient", ev(["c0", "c1"], "a", "y1 - 1 - y", "x"), False)
+pixels("reorient_back", "ev --orientccw --rotccw --rotcw --orient180 --orientcw --reorient", ev(["c0", "c1"], "a", "23 - x", "y1 - 1 - y + y0"), False)
+pixels("to_origin", "ev --origin +3+2 --fullsize 24x400+0+0", ev(["c0", "c1"], "a", "x + 3", "y - y0 + 2"), False)
+pixels("popbottom", "emb --stackclear emb ev --popbottom --addc 1 --evaloff --evalon --mulc {1+1}", ev(["(c0 + 1) * 2", "(c1 + 1) * 2"]))
+_LIN = "(case when abs(c{i}) <= 0.04045 then abs(c{i}) / 12.92 else pow((abs(c{i}) + 0.055) / 1.055, 2.4) end)"
+pixels("tocolorspace", "emb --abs --ch R,G,B --iscolorspace sRGB --tocolorspace lin_rec709", emb([_LIN.format(i=i) for i in range(3)]))
+
+# --- colour transforms and perceptual differences
+for _name, _words in (
+    ("ociolook", "vec --iscolorspace scene_linear --ociolook:to=color_picking warm,lift"), ("ociolook_inverse", "vec --iscolorspace srgb --ociolook:inverse=1:to=linear lift"),
+    ("ociodisplay", "vec --iscolorspace ACEScg --ociodisplay default Wide"), ("ocionamedtransform", "vec --ocionamedtransform:inverse=1 square"),
+):
+    pixels(_name, _words, T.SQL[_name].replace("+ 1e-9, 5)", "+ 1e-9, 6)"))
+pixels("flipdiff", f"even odd --flipdiff:ppd={Q.PPD}:hdr=0 --ch flip", f"{Q._LDR} select image_id, y, x, round(max(flip) + 1e-9, 6) + 0.0 as c0 from flips group by image_id, y, x")
+pixels("pdiff", "even odd --pdiff --ch fails", f"{Q._YEE} select image_id, y, x, fails::double as c0 from judged")

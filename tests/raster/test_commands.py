@@ -74,3 +74,18 @@ def test_printing(run):
 def test_arguments_see_the_inputs(run):
     assert first(run("--create 6x2 1 --addc {TOP.width}"))["c0"] == 6
     assert run("--evaloff --echo {1+1}").printed == ["{1+1}"]
+
+
+def test_evaluation_on_again(run):
+    c = run("--set gain 3 --evaloff --echo {gain} --evalon --echo {gain}")
+    assert c.printed == ["{gain}", "3"]
+
+
+def test_transforms_and_differences(run, tmp_path):
+    (tmp_path / "half.cube").write_text("LUT_1D_SIZE 2\n0 0 0\n0.5 0.5 0.5\n")
+    c = run(f"--pattern constant:color=0.5,0.25,1 3x2 3 --ociofiletransform {tmp_path}/half.cube --iscolorspace lin_rec709 --ociodisplay sRGB Standard --colorconfiginfo")
+    assert first(c)["c0"] == pytest.approx(1.055 * 0.25 ** (1 / 2.4) - 0.055) and "role scene_linear lin_rec709" in c.printed
+    c.run("--dup --flipdiff:hdr=0".split())
+    assert len(c.stack) == 1 and first(c)["c0"] == 0
+    with pytest.raises(ValueError, match="unknown look"):
+        c.run("--pattern constant:color=1 2x2 3 --ociolook nothing".split())
