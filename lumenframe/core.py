@@ -144,14 +144,14 @@ class Image:
         df = self.df.select("image_id", (F.col("z") if z is None else z).cast("int").alias("z"), y.cast("int").alias("y"), x.cast("int").alias("x"), *self.c)
         return Image(df, replace(self.spec, data=data, full=full or self.spec.full))
 
-    def dense(self) -> Image:
-        """With a row for each pixel of the data window of each image."""
+    def dense(self, images: DataFrame | None = None) -> Image:
+        """With a row for each pixel of the data window of each image; images names those that may have no row, by image_id."""
         if self.whole:
             return self
         d = self.spec.data
         if d.empty:
             return Image(self.df.limit(0), self.spec, True)
-        grid = self.df.select("image_id").distinct()
+        grid = (self.df if images is None else images).select("image_id").distinct()
         for axis, lo, hi in (("z", d.z0, d.z1), ("y", d.y0, d.y1), ("x", d.x0, d.x1)):
             grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
         df = grid.join(self.df, KEYS, "left").select(*KEYS, *[F.coalesce(c, F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(self.c)])

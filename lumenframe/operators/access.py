@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.core import KEYS, Image, Roi, small_table
+from lumenframe.core import KEYS, Image, Roi
 from lumenframe.operators.deep import FIELDS
 
 #: Orientations whose stored rows are the columns of the picture.
@@ -58,17 +58,32 @@ def set_pixels(a: Image, roi: Roi, values: list) -> Image:
     return whole.within(roi, own + whole.c[len(own) :])
 
 
+def _targets(v: Column, lo: int, hi: int, r0: int, r1: int, mode: str) -> Column:
+    """The coordinates from r0 to r1 that show the source coordinate v of lo to hi: arithmetic, no table of the region."""
+    none = F.expr("cast(array() as array<int>)")
+    steps = lambda first, step: F.when(first < r1, F.sequence(first, F.lit(r1 - 1), F.lit(step))).otherwise(none)
+    if mode == "black":
+        return F.when((v >= r0) & (v < r1), F.array(v)).otherwise(none)
+    if mode == "clamp":
+        span = lambda x, y: F.sequence(F.lit(x), F.lit(y - 1)) if x < y else none
+        own = F.when((v >= r0) & (v < r1), F.array(v)).otherwise(none)
+        before = F.when(v == lo, span(r0, min(lo, r1))).otherwise(none)
+        return F.concat(own, before, F.when(v == hi - 1, span(max(hi, r0), r1)).otherwise(none))
+    n = hi - lo
+    if mode == "periodic":
+        return steps(F.lit(r0) + F.pmod(v - r0, F.lit(n)), n)
+    there = F.lit(r0) + F.pmod(v - r0, F.lit(2 * n))
+    back = F.lit(r0) + F.pmod(2 * hi - 1 - v - r0, F.lit(2 * n))
+    return F.concat(steps(there, 2 * n), steps(back, 2 * n))
+
+
 def get_pixels(a: Image, roi: Roi, wrap: str = "black") -> Image:
     """A region of each image, also beyond the data window, with a row for each pixel."""
     d = a.spec.data
-    sides = []
-    for axis, lo, hi, r0, r1 in (("x", d.x0, d.x1, roi.x0, roi.x1), ("y", d.y0, d.y1, roi.y0, roi.y1), ("z", d.z0, d.z1, roi.z0, roi.z1)):
-        pairs = [(_wrapped(v, lo, hi, wrap), v) for v in range(r0, r1)]
-        sides.append(small_table(a.df.sparkSession, [p for p in pairs if p[0] is not None], f"{axis} int, to_{axis} int"))
     rows = a.df
-    for axis, table in zip("xyz", sides, strict=True):
-        rows = rows.join(table, axis).drop(axis).withColumnRenamed(f"to_{axis}", axis)
-    return Image(rows.select(*KEYS, *a.c), replace(a.spec, data=roi)).dense()
+    for axis, lo, hi, r0, r1 in (("x", d.x0, d.x1, roi.x0, roi.x1), ("y", d.y0, d.y1, roi.y0, roi.y1), ("z", d.z0, d.z1, roi.z0, roi.z1)):
+        rows = rows.withColumn("to_", F.explode(_targets(F.col(axis), lo, hi, r0, r1, wrap))).drop(axis).withColumnRenamed("to_", axis)
+    return Image(rows.select(*KEYS, *a.c), replace(a.spec, data=roi)).dense(a.df)
 
 
 def contains_roi(a: Image, roi: Roi, chbegin: int = 0, chend: int | None = None) -> bool:

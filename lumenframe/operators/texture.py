@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.core import Image
+from lumenframe.core import Image, Spec
 from lumenframe.operators import neighborhood
 
 KEYS = ["image_id", "mip", "y", "x"]
@@ -98,3 +98,43 @@ def texture3d(a: Image, points: DataFrame) -> DataFrame:
     )
     rows = at.withColumn("c", F.explode(taps)).select("id", "image_id", "c.*").join(a.df, ["image_id", "z", "y", "x"], "left")
     return rows.groupBy("id").agg(*[F.sum(F.col("k") * F.coalesce(c, F.lit(0.0))).alias(f"c{i}") for i, c in enumerate(a.c)])
+
+
+# 3x3 weights of the slopes along s and their sum of one sign's weights times two; those along t are the transpose.
+SLOPES = {"sobel": ((-1, 0, 1, -2, 0, 2, -1, 0, 1), 8.0), "centraldiff": ((0, 0, 0, -1, 0, 1, 0, 0, 0), 2.0)}
+BUMP = ("b0_h", "b1_dhds", "b2_dhdt", "b3_dhds2", "b4_dhdt2", "b5_dh2dsdt")
+
+
+def bump_slopes(a: Image, source: str = "height", kernel: str = "sobel", centered: bool = True, uv_scale: float = 0.0, scale: tuple[float, float] = (1.0, 1.0)) -> Image:
+    """Height, its slopes along s and t, and their second moments: channels that a pyramid may average.
+
+    From heights by a 3x3 kernel, beyond the border the border; from normals by
+    their components, which lie about 0 (centered) or about 0.5; a normal without a
+    third component has no slope.  With uv_scale the slopes of heights are of the
+    whole image's width and height, divided by it, not of a pixel; scale multiplies
+    the slopes along s and t.
+    """
+    d = a.spec.data
+    if source == "normal":
+        if a.spec.n < 3:
+            raise ValueError("a normal map has three channels")
+        whole = a.dense()
+        n = [c - (0.0 if centered else 0.5) for c in whole.c[:3]]
+        h, slopes, base = F.lit(-1.0), [F.coalesce(-F.try_divide(n[i], n[2]), F.lit(0.0)) for i in (0, 1)], whole.df
+    elif source == "height":
+        along, norm = SLOPES[kernel]
+        at = (F.col("dy") + 1) * 3 + F.col("dx") + 1
+        weight = lambda w: F.get(F.array(*[F.lit(v / norm) for v in w]), at)
+        turned = [along[3 * x + y] for y in range(3) for x in range(3)]
+        rows = neighborhood._stencil(a.dense(), range(-1, 2), range(-1, 2), True)
+        middle = (F.col("dx") == 0) & (F.col("dy") == 0)
+        sums = [F.sum(F.when(middle, F.col("c0"))).alias("h"), *[F.sum(weight(w) * F.col("c0")).alias(n) for w, n in ((along, "s"), (turned, "t"))]]
+        base = rows.groupBy("image_id", "z", "y", "x").agg(*sums)
+        h, slopes = F.col("h"), [F.col("s"), F.col("t")]
+    else:
+        raise ValueError(f"{source!r} is neither height nor normal")
+    by = (d.width / uv_scale, d.height / uv_scale) if uv_scale and source == "height" else (1.0, 1.0)
+    s, t = (v * (k * r) for v, k, r in zip(slopes, scale, by, strict=True))
+    values = [h, s, t, s * s, t * t, s * t]
+    df = base.select("image_id", "z", "y", "x", *[v.cast("double").alias(f"c{i}") for i, v in enumerate(values)])
+    return Image(df, Spec(d, a.spec.full, BUMP), True)

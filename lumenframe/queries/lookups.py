@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.core import Roi, image
+from lumenframe.core import Image, Roi, image
 from lumenframe.operators import lookups as L
 from lumenframe.operators import texture as X
 
@@ -17,11 +17,16 @@ BICUBIC = L.Lookup("clamp", "black", "trilinear", "bicubic", fill=0.5)
 POLE = 16
 
 
-def textures(spark: SparkSession, sf: str) -> DataFrame:
-    """The pyramid of one texture for each return flag: quantities and rows of lineitem, dealt to N x M texels."""
+def heights(spark: SparkSession, sf: str) -> Image:
+    """One image for each return flag: quantities and rows of lineitem, dealt to N x M texels."""
     df = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("image_id"), (F.col("l_orderkey") % M).alias("y"), (F.col("l_partkey") % N).alias("x"))
     cells = df.agg((F.sum("l_quantity") / 100).alias("c0"), (F.count("*") / 10).alias("c1"))
-    return X.make_texture(image(cells, Roi(0, N, 0, M), ["R", "G"]).dense())
+    return image(cells, Roi(0, N, 0, M), ["R", "G"]).dense()
+
+
+def textures(spark: SparkSession, sf: str) -> DataFrame:
+    """The pyramids of heights()."""
+    return X.make_texture(heights(spark, sf))
 
 
 _LEVELS = f"""
@@ -100,6 +105,11 @@ def _means(spark: SparkSession, sf: str) -> DataFrame:
     return textures(spark, sf).groupBy("image_id", "mip").agg(F.count("*").alias("n"), *[(F.round(F.avg(f"c{i}"), 6) + 0.0).alias(f"mean{i}") for i in range(2)])
 
 
+def _bump(spark: SparkSession, sf: str) -> DataFrame:
+    out = X.bump_slopes(heights(spark, sf), uv_scale=16.0, scale=(1.0, -0.5))
+    return out.df.select("image_id", "y", "x", *[(F.round(F.col(f"c{i}") + 1e-9, 5) + 0.0).alias(f"c{i}") for i in range(6)])
+
+
 def _wrap(at: str, n: str, mode: str) -> str:
     return {
         "periodic": f"(({at} % {n} + {n}) % {n})",
@@ -194,9 +204,23 @@ select id, round(coalesce(sum(k * c0), 0) + 1e-9, 5) + 0.0 as c0, round(coalesce
 from taps left join every using (image_id, mip, y, x) group by id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "texture_anisotropic": _aniso, "texture_bicubic_fill": _bicubic, "environment": _environment, "texture_info": _info, "get_texels": _texels, "make_texture_levels": _means,
+    "texture_anisotropic": _aniso, "texture_bicubic_fill": _bicubic, "environment": _environment, "texture_info": _info, "get_texels": _texels, "make_texture_levels": _means, "make_texture_bump": _bump,
 }
+#: Sobel's weights are the products of a difference and a sum with a middle twice as heavy.
+_BUMP = f"""with {_LEVELS},
+lattice as (select image_id, cast(yy as int) as y, cast(xx as int) as x from (select distinct image_id from cells), (select unnest(range(0, {M})) as yy), (select unnest(range(0, {N})) as xx)),
+h as (select image_id, y, x, coalesce(c0, 0) as c0 from lattice left join cells using (image_id, y, x)),
+near as (
+  select p.image_id, p.y, p.x, p.c0 as h, i, j, q.c0 as v
+  from h p, (select unnest(range(-1, 2)) as i), (select unnest(range(-1, 2)) as j), h q
+  where q.image_id = p.image_id and q.x = least(greatest(p.x + i, 0), {N - 1}) and q.y = least(greatest(p.y + j, 0), {M - 1})),
+slopes as (
+  select image_id, y, x, any_value(h) as h, sum(i * (2 - abs(j)) * v) / 8 * {N} / 16 as s, sum(j * (2 - abs(i)) * v) / 8 * {M} / 16 * -0.5 as t
+  from near group by image_id, y, x)
+select image_id, y, x, """ + ", ".join(f"round({v} + 1e-9, 5) + 0.0 as c{i}" for i, v in enumerate(("h", "s", "t", "s * s", "t * t", "s * t"))) + " from slopes"
+
 SQL: dict[str, str] = {
+    "make_texture_bump": _BUMP,
     "texture_anisotropic": _ANISO,
     "texture_bicubic_fill": _BICUBIC,
     "environment": _ENVIRONMENT,

@@ -47,3 +47,26 @@ def test_deep_samples(spark):
     assert depths(X.set_deep_value(deep, "Z", 1, 6.0)) == {0: [1, 6], 1: []}
     assert depths(X.copy_deep_sample(deep, 0, other, 0)) == {0: [9, 5], 1: []} and depths(X.copy_deep_sample(deep, 5, other, 0)) == {0: [1, 5, 9], 1: []}
     assert depths(X.copy_deep_pixel(deep, other)) == {0: [9], 1: []} and depths(X.copy_deep_pixel(deep, other, -1)) == {0: [1, 5], 1: [9]}
+
+
+@pytest.mark.parametrize("mode", ["black", "clamp", "periodic", "mirror"])
+def test_regions_by_arithmetic(spark, mode):
+    from lumenframe.core import Image, Roi, Spec
+    from lumenframe.operators import access as X
+
+    data = Roi(2, 5, -1, 3)
+    rows = [("a", 0, y, x, float(10 * y + x + 100)) for y in range(-1, 3) for x in range(2, 5)]
+    a = Image(spark.createDataFrame(rows, "image_id string, z int, y int, x int, c0 double"), Spec(data, data, ("Y",)), True)
+
+    def source(v, lo, hi):
+        n, m = hi - lo, (v - lo) % (2 * (hi - lo))
+        return {"black": v if lo <= v < hi else None, "clamp": min(max(v, lo), hi - 1), "periodic": lo + (v - lo) % n, "mirror": lo + (m if m < n else 2 * n - 1 - m)}[mode]
+
+    for roi in (Roi(-9, 12, -7, 9), Roi(3, 4, 0, 2), Roi(6, 9, -1, 3), Roi(-6, 1, 5, 6)):
+        got = {(r["y"], r["x"]): r["c0"] for r in X.get_pixels(a, roi, mode).df.collect()}
+        want = {}
+        for y in range(roi.y0, roi.y1):
+            for x in range(roi.x0, roi.x1):
+                sy, sx = source(y, -1, 3), source(x, 2, 5)
+                want[y, x] = 0.0 if sy is None or sx is None else 10.0 * sy + sx + 100
+        assert got == want

@@ -226,3 +226,30 @@ def test_info_and_texels(spark):
     assert (r["width"], r["height"], r["levels"], r["channels"]) == (8, 4, 4, 2) and r["mean0"] == pytest.approx(levels[0][..., 0].mean())
     got = {(t["y"], t["x"]): t["c1"] for t in L.texels(tiles, 1, 1, 3, 0, 2).collect()}
     assert got == {(y, x): pytest.approx(levels[1][y, x, 1]) for y in range(2) for x in (1, 2)}
+
+
+def test_bump_slopes(spark):
+    from lumenframe.core import Image, Roi, Spec
+    from lumenframe.operators import texture as X
+
+    rng = np.random.default_rng(9)
+    v = rng.uniform(-1, 1, (6, 8, 3))
+    rows = [("p", 0, y, x, *map(float, v[y, x])) for y in range(6) for x in range(8)]
+    roi = Roi(0, 8, 0, 6)
+    a = Image(spark.createDataFrame(rows, "image_id string, z int, y int, x int, c0 double, c1 double, c2 double"), Spec(roi, roi, tuple("RGB")), True)
+    got = lambda b: np.array([[r[f"c{i}"] for i in range(6)] for r in b.df.orderBy("y", "x").collect()]).reshape(6, 8, 6)
+    p = np.pad(v[..., 0], 1, mode="edge")
+    side = lambda dy, dx: p[1 + dy : 7 + dy, 1 + dx : 9 + dx]
+    sobel_s = sum(w * (side(dy, 1) - side(dy, -1)) for dy, w in ((-1, 1), (0, 2), (1, 1))) / 8
+    sobel_t = sum(w * (side(1, dx) - side(-1, dx)) for dx, w in ((-1, 1), (0, 2), (1, 1))) / 8
+    for out, s, t, h in (
+        (X.bump_slopes(a), sobel_s, sobel_t, v[..., 0]),
+        (X.bump_slopes(a, kernel="centraldiff", uv_scale=4.0, scale=(-1.0, 2.0)), -(side(0, 1) - side(0, -1)) / 2 * 2, 2 * (side(1, 0) - side(-1, 0)) / 2 * 1.5, v[..., 0]),
+        (X.bump_slopes(a, "normal"), -v[..., 0] / v[..., 2], -v[..., 1] / v[..., 2], -np.ones((6, 8))),
+        (X.bump_slopes(a, "normal", centered=False), -(v[..., 0] - 0.5) / (v[..., 2] - 0.5), -(v[..., 1] - 0.5) / (v[..., 2] - 0.5), -np.ones((6, 8))),
+    ):
+        assert np.allclose(got(out), np.stack([h, s, t, s * s, t * t, s * t], -1))
+    with pytest.raises(ValueError, match="neither"):
+        X.bump_slopes(a, "depth")
+    mean = X.make_texture(X.bump_slopes(a)).filter("mip = 1").agg({"c3": "avg"}).first()[0]
+    assert mean == pytest.approx((sobel_s[:, :] ** 2).mean())
