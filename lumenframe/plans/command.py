@@ -18,12 +18,14 @@ from lumenframe.core import Image, Roi, Spec
 from lumenframe.functions import types as Y
 from lumenframe.operators import arithmetic as A
 from lumenframe.operators import color as C
+from lumenframe.operators import cryptomatte as M
 from lumenframe.operators import deep as D
 from lumenframe.operators import filters
 from lumenframe.operators import geometry as G
 from lumenframe.operators import neighborhood as N
 from lumenframe.operators import perceptual as P
 from lumenframe.operators import statistics as S
+from lumenframe.operators import text as X
 from lumenframe.operators import transforms as T
 from lumenframe.plans.expression import number, substitute
 from lumenframe.plans.geometry import floats, parse_channels, parse_frames, parse_geometry, parse_option
@@ -76,6 +78,13 @@ def _attribs(a: Image, **values) -> Image:
     return Image(a.df, replace(a.spec, attribs={k: v for k, v in (a.spec.attribs | values).items() if v is not None}))
 
 
+def _text(a: Image, text: str, o: Options) -> Image:
+    """By default in the middle of the image, in white."""
+    f = a.spec.full
+    x, y, size = int(o.get("x", (f.x0 + f.x1) // 2)), int(o.get("y", (f.y0 + f.y1) // 2)), int(o.get("size", 16))
+    return X.render_text(a, text.replace("\\n", "\n"), x, y, size, floats(o.get("color", "1")), None, o.get("xalign", "left"), o.get("yalign", "baseline"), int(o.get("shadow", 0)))
+
+
 def _resize(a: Image, g: str, o: Options) -> Image:
     r = _roi(a, g)
     return N.resize(a, r.width, r.height, o.get("filter", ""))
@@ -212,7 +221,9 @@ OPS: dict[str, Op] = {
     "unsharp": Op(1, 0, lambda a, o: N.unsharp_mask(a, o.get("kernel", "gaussian"), float(o.get("width", 3)), float(o.get("contrast", 1)), float(o.get("threshold", 0)))),
     "fixnan": Op(1, 1, lambda a, m, o: N.fix_non_finite(a, m)),
     "demosaic": Op(1, 0, lambda a, o: N.demosaic(a, o.get("layout", "RGGB"))),
+    "cryptomatte-colors": Op(1, 1, lambda a, layer, o: M.colors(a, layer)),
     "line": Op(1, 1, _lines),
+    "text": Op(1, 1, _text),
     "point": Op(1, 1, _points),
     "fill": Op(1, 1, _fill),
     "box": Op(1, 1, lambda a, v, o: G.render_box(a, *[int(x) for x in floats(v)], floats(o.get("color", "1")), o.get("fill") == "1")),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.core import Image
 from lumenframe.plans.command import Commands, command_line
+from lumenframe.queries import captions as K
 from lumenframe.queries import perceptual as Q
 from lumenframe.queries import rasters as R
 from lumenframe.queries import transforms as T
@@ -15,7 +16,7 @@ SQL: dict[str, str] = {}
 
 TABLES = {
     "ev": R.ev, "emb": R.emb, "A": lambda s, d: R._li(s, d, "A"), "R": lambda s, d: R._li(s, d, "R"),
-    "even": lambda s, d: Q.pair(s, d)[0], "odd": lambda s, d: Q.pair(s, d)[1], "vec": T.lines,
+    "even": lambda s, d: Q.pair(s, d)[0], "odd": lambda s, d: Q.pair(s, d)[1], "vec": T.lines, "mattes": K.mattes,
 }
 
 
@@ -175,3 +176,4 @@ for _name, _words in (
     pixels(_name, _words, T.SQL[_name].replace("+ 1e-9, 5)", "+ 1e-9, 6)"))
 pixels("flipdiff", f"even odd --flipdiff:ppd={Q.PPD}:hdr=0 --ch flip", f"{Q._LDR} select image_id, y, x, round(max(flip) + 1e-9, 6) + 0.0 as c0 from flips group by image_id, y, x")
 pixels("pdiff", "even odd --pdiff --ch fails", f"{Q._YEE} select image_id, y, x, fails::double as c0 from judged")
+pixels("cryptomatte_colors", "mattes --cryptomatte-colors object", K.SQL["cryptomatte_colors"], False)
