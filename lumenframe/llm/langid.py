@@ -32,6 +32,10 @@ from lumenframe.llm._spark import map_arrow, trim
 BUCKET_BITS, DIMS, ORDERS, EPOCHS, RATE = 15, 16, (3, 4), 5, 8.0
 #: About so many labelled rows are taken for training and calibration.
 SAMPLE_ROWS = 4000
+#: Fewer, if the bags of so many would take more bytes than this in the driver, by the lengths of all labelled texts.
+SAMPLE_BYTES = 96 << 20
+#: The most that one bag takes: a number of two bytes and a share of four for each bucket.
+BAG_BYTES = 6 << BUCKET_BITS
 #: Share of right kept-back rows that each test may reject, and the slack below in standard deviations of familiarity.
 REJECT_SHARE, SLACK = 0.005, 2.0
 #: No calibrated score above this is rejected.
@@ -182,16 +186,19 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def fit_language_id(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+def fit_language_id(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Learns from text and non-null lang of rows outside fold 0; about sample_rows of them, chosen by a hash of doc_id.
 
-    Their bags of subwords come to the driver, which are of bounded size however long
-    a text is; twice sample_rows is the most that can come.
+    Their bags of subwords come to the driver, each of at most BAG_BYTES.  The share of
+    rows drawn is lowered where all bags together, by the lengths of all labelled texts,
+    would make it more than sample_bytes; in the order of the hash, no more rows are
+    taken than twice sample_rows, and none after the bags have reached twice sample_bytes.
     """
     usable = docs.select("doc_id", "text", "lang").filter((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.count()
+    size = F.least(F.octet_length("text").cast("long") * (6 * len(ORDERS)), F.lit(BAG_BYTES))
+    n, whole = usable.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     draw = F.xxhash64(F.lit("language sample"), "doc_id")
-    share = min(1.0, sample_rows / max(n, 1))
+    share = min(1.0, sample_rows / max(n, 1), sample_bytes / max(whole, 1))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,10 +209,13 @@ def fit_language_id(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model |
     drawn = usable.filter(F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30))).select(draw.alias("draw"), "lang", "text")
     rows = map_arrow(drawn, bags, "draw long, lang string, buckets binary, shares binary, n long").orderBy("draw", "lang", "buckets", "shares").limit(2 * sample_rows)
     # Arrays over the bytes as they come; what the driver took for them is given back.
-    own, langs = [], []
+    own, langs, held = [], [], 0
     for r in rows.select("lang", "buckets", "shares", "n").toLocalIterator():
         own.append((np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["shares"], np.float32), r["n"]))
         langs.append(r["lang"])
+        held += len(r["buckets"]) + len(r["shares"])
+        if held > 2 * sample_bytes:
+            break
     model = train(own, langs)
     del own
     trim()
