@@ -1,10 +1,10 @@
 """Filtered texture lookups by differentials, and environment lookups by direction.
 
 Each query makes its own probes along the long axis of its footprint (as many as
-the footprint asks for) on two pyramid levels, and each probe its texels; all
-texels of all queries meet the texture in one join and are added up by query, with
-map-side sums.  The results' derivatives are sums over the same texels with other
-weights.
+the footprint asks for) on two pyramid levels, and each probe its texels.  Queries
+are dealt by id once; coarse levels are sent to them, so their texels are added up
+where they are made, and only texels of levels too large for that are shuffled.
+The results' derivatives are sums over the same texels with other weights.
 
 Arrays are never empty here; they are exploded with explode_outer, as the optimizer
 would else derive a filter on an array's size and copy the array's whole
@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.texture import KEYS, bspline, latlong, wrapped
+from lumenframe.core import BROADCAST_ROWS
+from lumenframe.operators.texture import KEYS, bspline, dealt, latlong, met, wrapped
 
 #: Footprints and derivatives are no smaller and no larger than this.
 LEAST, MOST = 1e-8, 1000.0
@@ -154,18 +155,24 @@ def _taps(probes: DataFrame, sizes: list[tuple[int, int]], o: Lookup, poles: int
         share = F.when(north, 1 - tt).when(south, tt - F.floor(tt)).otherwise(0.0)
         share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
         df = df.withColumns({"pole": F.when(north, -1).when(south, -2), "fade": share * share})
-    (wx, dx), (wy, dy) = _weights(F.col("fx"), o.interp), _weights(F.col("fy"), o.interp)
-    rest = F.col("w") * (1 - F.col("fade"))
+    # Each axis has its own columns, so that no tap computes them again.
+    parts, numbers = {}, {}
+    for axis, side, mode in (("x", "lw", o.wrap_s), ("y", "lh", o.wrap_t)):
+        weights, slopes = _weights(F.col(f"f{axis}"), o.interp)
+        numbers[axis] = range(len(weights))
+        for k, ((i, w), d) in enumerate(zip(weights, slopes, strict=True)):
+            parts |= {f"{axis}_{k}": _at(F.col(f"{axis}0") + i, F.col(side), mode).cast("int"), f"w{axis}_{k}": w, f"d{axis}_{k}": F.col(side) * d}
+    df = df.withColumns(parts).withColumn("rest", F.col("w") * (1 - F.col("fade")))
     taps = [
         F.struct(
-            _at(F.col("x0") + i, F.col("lw"), o.wrap_s).cast("int").alias("x"),
-            _at(F.col("y0") + j, F.col("lh"), o.wrap_t).cast("int").alias("y"),
-            (rest * a * b).alias("k"),
-            (rest * F.col("lw") * da * b).alias("ks"),
-            (rest * F.col("lh") * a * db).alias("kt"),
+            F.col(f"x_{i}").alias("x"),
+            F.col(f"y_{j}").alias("y"),
+            (F.col("rest") * F.col(f"wx_{i}") * F.col(f"wy_{j}")).alias("k"),
+            (F.col("rest") * F.col(f"dx_{i}") * F.col(f"wy_{j}")).alias("ks"),
+            (F.col("rest") * F.col(f"wx_{i}") * F.col(f"dy_{j}")).alias("kt"),
         )
-        for (i, a), da in zip(wx, dx, strict=True)
-        for (j, b), db in zip(wy, dy, strict=True)
+        for i in numbers["x"]
+        for j in numbers["y"]
     ]
     every = F.array(*taps)
     if poles:
@@ -175,13 +182,18 @@ def _taps(probes: DataFrame, sizes: list[tuple[int, int]], o: Lookup, poles: int
     return df.withColumn("tap", F.explode_outer(every)).select("id", "image_id", "mip", "tap.*")
 
 
+def _known(queries: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The queries of a texture that exists, dealt by id: each makes many rows, and all of them stay in its task until they are added up."""
+    images = tiles.select("image_id").distinct()
+    few = images.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return dealt(queries).join(F.broadcast(images) if few else images, "image_id", "left_semi")
+
+
 def _summed(queries: DataFrame, taps: DataFrame, tiles: DataFrame, channels: int, o: Lookup, derivatives: bool) -> DataFrame:
-    """A row for each query: c0, ..., and ds0, ... and dt0, ... if derivatives are asked for."""
+    """A row for each query: c0, ..., and ds0, ... and dt0, ... if derivatives are asked for; taps are those of _known() queries."""
     own = [c for c in tiles.columns if c.startswith("c") and c[1:].isdigit()]
     have = min(len(own), channels)
-    # Only queries of a texture that exists make taps.
-    known = tiles.select("image_id").distinct()
-    rows = taps.join(known, "image_id", "left_semi").join(tiles.select(*KEYS, *own, F.lit(True).alias("texel")), KEYS, "left")
+    rows = met(taps, tiles.select(*KEYS, *own))
     zero = F.lit(0.0)
     sums = [F.sum(F.col("k") * F.coalesce(F.col(f"c{i}"), zero)).alias(f"_c{i}") for i in range(have)]
     # A texel beyond a black edge has no coordinate; one inside without a row is zero.
@@ -206,7 +218,7 @@ def texture(tiles: DataFrame, queries: DataFrame, width: int, height: int, chann
     Gaussian weights of the probes along its long axis.
     """
     sizes = level_sizes(width, height)
-    q = _scaled(queries.select("id", "image_id", *[F.col(c).cast("double").alias(c) for c in ("s", "t", "dsdx", "dtdx", "dsdy", "dtdy")]), o := options)
+    q = _scaled(_known(queries, tiles).select("id", "image_id", *[F.col(c).cast("double").alias(c) for c in ("s", "t", "dsdx", "dtdx", "dsdy", "dtdy")]), o := options)
     if o.mip in ("aniso", "onelevel"):
         q = _aspect(_ellipse(q, o), o)
         q = q.withColumn("level", _levels([F.col("minor") * min(s) for s in sizes], o))
@@ -269,7 +281,7 @@ def environment(tiles: DataFrame, queries: DataFrame, width: int, height: int, c
     r = _unit(raw[0])
     beside = [_unit([a + b for a, b in zip(raw[0], d, strict=True)]) for d in raw[1:]]
     angle = lambda d: F.greatest(F.acos(F.least(F.greatest(_dot(r, d), F.lit(-1.0)), F.lit(1.0))), F.lit(LEAST))
-    q = queries.select("id", "image_id", *[v.alias(f"r{i}") for i, v in enumerate(r)], *[v.alias(f"{n}{i}") for n, d in zip("ab", beside, strict=True) for i, v in enumerate(d)], (angle(beside[0]) * o.width_s + o.blur_s).alias("fx"), (angle(beside[1]) * o.width_t + o.blur_t).alias("fy"))
+    q = _known(queries, tiles).select("id", "image_id", *[v.alias(f"r{i}") for i, v in enumerate(r)], *[v.alias(f"{n}{i}") for n, d in zip("ab", beside, strict=True) for i, v in enumerate(d)], (angle(beside[0]) * o.width_s + o.blur_s).alias("fx"), (angle(beside[1]) * o.width_t + o.blur_t).alias("fy"))
     first = F.col("fx") >= F.col("fy")
     q = q.withColumns({f"m{i}": F.when(first, F.col(f"a{i}")).otherwise(F.col(f"b{i}")) for i in range(3)} | {"major": F.greatest("fx", "fy"), "minor": F.least("fx", "fy")})
     if o.mip == "aniso":

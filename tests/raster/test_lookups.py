@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lumenframe.operators import lookups as L
+from lumenframe.operators import texture as X
 
 W = H = 16
 
@@ -253,3 +254,25 @@ def test_bump_slopes(spark):
         X.bump_slopes(a, "depth")
     mean = X.make_texture(X.bump_slopes(a)).filter("mip = 1").agg({"c3": "avg"}).first()[0]
     assert mean == pytest.approx((sobel_s[:, :] ** 2).mean())
+
+
+@pytest.mark.parametrize("most", [0, 30, 10**6])
+def test_no_task_gets_the_taps_of_a_coarse_level(spark, most, monkeypatch):
+    monkeypatch.setattr(X, "BROADCAST_ROWS", most)
+    tiles, levels = textures(spark, 5, 32, 16)
+    n = 200
+    many = [(i, "p" if i % 10 else "none", i / n, 0.3, 0.4, 0.0, 0.0, 0.3 if i % 2 else 0.01) for i in range(n)]
+    queries = spark.createDataFrame(many, "id int, image_id string, s double, t double, dsdx double, dtdx double, dsdy double, dtdy double")
+    o = L.Lookup("periodic", "clamp", anisotropic=4, missing=(-1.0, -2.0))
+    for out in (L.texture(tiles, queries, 32, 16, 2, o), L.environment(tiles, spark.createDataFrame([(i, "p", *v) for i, v in enumerate(DIRECTIONS)], SCHEMA), 32, 16, 2)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        texel_shuffles = [line for line in plan.splitlines() if "hashpartitioning(image_id" in line and "mip#" in line and "x#" in line]
+        assert bool(texel_shuffles) == (most < 10**6)  # only levels that are too large for the tasks
+        got = {r["id"]: [r["c0"], r["c1"]] for r in out.collect()}
+        if len(got) == n:
+            assert all((v == [-1.0, -2.0]) == (i % 10 == 0) for i, v in got.items())
+            plain = L.texture(tiles, queries.filter("id = 11"), 32, 16, 2, o).first()
+            assert got[11] == pytest.approx([plain["c0"], plain["c1"]], abs=1e-12)
+        else:
+            for i, v in enumerate(DIRECTIONS):
+                assert got[i] == pytest.approx(list(plain_environment(levels, v, L.Lookup(), 64)), abs=1e-9), i
