@@ -31,6 +31,10 @@ GLYPHS = {
 }
 
 
+#: Side of the blocks in which captions and pixels meet, and glyph cells of a task.
+BLOCK, PART_PIXELS = 256, 1 << 20
+
+
 @dataclass(frozen=True)
 class Font:
     """Lengths are shares of the size; a glyph of strokes in the middle of its cell only is narrow."""
@@ -155,10 +159,27 @@ def render_text(a: Image, captions: DataFrame | str, x: int, y: int, size: int =
         half = lambda k: F.floor((F.col(f"{k}1") - F.col(f"{k}0")) / 2).cast("int") + F.col(f"{k}0")
         across -= {"left": F.lit(0), "right": F.col("x1") - F.col("x0"), "center": half("x")}[alignx]
         down -= {"baseline": F.lit(0), "top": F.col("y0"), "bottom": F.col("y1"), "center": half("y")}[aligny]
-    hits = pens.withColumns({"px": F.col("px") + across, "py": F.col("py") + down}).join(glyph_table(spark, font, size, shadow), "glyph")
-    hits = hits.select("image_id", F.lit(a.spec.data.z0).alias("z"), (F.col("py") + F.col("dy")).cast("int").alias("y"), (F.col("px") + F.col("dx")).cast("int").alias("x"), "b", "a")
-    covered = hits.filter(a.spec.data.has()).groupBy(*KEYS).agg(F.max("b").alias("ink"), F.max("a").alias("shade"))
-    df = a.df.join(covered, KEYS, "left" if a.whole else "full_outer")
+    pens = pens.select("image_id", (F.col("px") + across).cast("int").alias("px"), (F.col("py") + down).cast("int").alias("py"), "glyph")
+    # Characters and not their pixels are shuffled, to every block they may reach into; a block has its own pixels only.
+    reach = [("y", "py", -2 * size - shadow, size + shadow), ("x", "px", -size - shadow, 2 * size + shadow)]
+    for axis, pen, low, high in reach:
+        pens = pens.withColumn(f"block_{axis}", F.explode(F.sequence(F.floor((F.col(pen) + low) / BLOCK), F.floor((F.col(pen) + high) / BLOCK))))
+    nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    channels = [f"c{i}" for i in range(n)]
+    pens = pens.select("image_id", "block_y", "block_x", nothing("z", "int"), nothing("y", "int"), nothing("x", "int"), *[nothing(c, "double") for c in channels], "px", "py", "glyph")
+    block = [F.floor(F.col(k) / BLOCK).alias(f"block_{k}") for k in "yx"]
+    pixels = a.df.select("image_id", *block, "z", "y", "x", *[c.cast("double").alias(f"c{i}") for i, c in enumerate(a.c)], nothing("px", "int"), nothing("py", "int"), nothing("glyph", "string"))
+    length = captions.agg(F.coalesce(F.sum(F.char_length("text").cast("long")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), length * size * size // PART_PIXELS)
+    rows = pixels.unionByName(pens).repartition(parts, "image_id", "block_y", "block_x").join(glyph_table(spark, font, size, shadow), "glyph", "left")
+    drawn = F.col("glyph").isNotNull()
+    own = lambda k, at: F.when(drawn, at).otherwise(F.col(k)).cast("int").alias(k)
+    rows = rows.select("image_id", "block_y", "block_x", own("z", F.lit(a.spec.data.z0)), own("y", F.col("py") + F.col("dy")), own("x", F.col("px") + F.col("dx")), *channels, "b", "a", (~drawn).alias("there"))
+    # A blank has no pixels, so its place is null.
+    inside = a.spec.data.has() & (F.floor(F.col("y") / BLOCK) == F.col("block_y")) & (F.floor(F.col("x") / BLOCK) == F.col("block_x"))
+    rows = rows.filter(F.col("there") | inside)
+    df = rows.groupBy(*KEYS, "block_y", "block_x").agg(*[F.max(c).alias(c) for c in channels], F.max("b").alias("ink"), F.max("a").alias("shade"), F.max("there").alias("there"))
+    df = df.filter("there") if a.whole else df
     ink, shade = F.coalesce("ink", F.lit(0.0)), F.coalesce("shade", F.lit(0.0)) * float(opacity)
     out = [ink * v + (1 - shade) * F.coalesce(c, F.lit(0.0)) for v, c in zip(per_channel(values, n), a.c, strict=True)]
     return Image(df, a.spec, a.whole).with_channels(out, list(a.spec.names))

@@ -89,3 +89,15 @@ def test_command(spark):
     want = {(4 + px + i, 15 + j): b for ch, px, _ in pens("Hi", T.Font(), 12) for i, j, b in T.Font().pixels(ch, 12)}
     got = {(r["x"], r["y"]): (r["c0"], r["c1"], r["c2"]) for r in c.stack[-1].df.collect() if r["c0"]}
     assert got.keys() == want.keys() and all(np.allclose(got[k], (want[k], want[k] / 2, 0)) for k in want)
+
+
+def test_pixels_of_glyphs_are_not_shuffled(spark, monkeypatch):
+    roi = Roi(0, 90, 0, 30)
+    a = Image(spark.createDataFrame([("a", 0, y, x, 0.5) for y in range(30) for x in range(0, 90, 2)], "image_id string, z int, y int, x int, c0 double"), Spec(roi, roi, ("Y",)))
+    texts = spark.createDataFrame([("a", "Ab 1"), ("b", "xy"), ("c", None)], "image_id string, text string")
+    drawn = lambda: T.render_text(a, texts, 3, 20, 12, 0.9, shadow=2).df
+    plan = drawn()._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning(" in line and " y#" in line]  # by blocks, not by pixels
+    whole = {tuple(r) for r in drawn().collect()}
+    monkeypatch.setattr(T, "BLOCK", 7)  # glyphs that reach into several blocks
+    assert {tuple(r) for r in drawn().collect()} == whole and {r[0] for r in whole} == {"a", "b"}
