@@ -17,9 +17,12 @@ and starts the next window.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +48,36 @@ ITEMS = "row long, doc_id long, n long, whole binary, prefixes binary, terms bin
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: ASCII letters and ASCII signs but the apostrophe: the tokenizer always parts a text between the two.
+#: Letters (ASCII and U+00C0 to U+00FF), ASCII signs but the apostrophe, and digits: the tokenizer always parts a text between two classes, and two digits.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123)]] = 1
 _CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+_CLASS[48:58] = 3
+#: By the product of two neighbours' classes.
+_PARTED = np.isin(np.arange(10), [2, 3, 6, 9])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Second bytes of the letters from U+00C0 on, whose first one is 0xC3, and of the capitals among them.
+_LATIN = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if chr(b + 0x40).isalpha()])
+_CAPITAL = _LATIN & (np.arange(256) < 0x9F)
+#: First bytes from here on are of U+0300 and beyond, where marks are that join the letter before; what comes of it differs by case.
+_MARKS = 0xCC
+#: Words that the BPE model takes at once.
+GROUP = 100
+
+
+def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes with small letters, but for letters that a mark may follow, and the class of each byte."""
+    out, kind = _FOLD[data], _CLASS[data]
+    if not len(data):
+        return out, kind
+    lead = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+    kind[lead] = kind[lead + 1] = 1
+    capital = lead[_CAPITAL[data[lead + 1]]] + 1
+    out[capital] += 32
+    marked = np.flatnonzero(data[1:] >= _MARKS)
+    out[marked] = data[marked]
+    return out, kind
 
 
 class WordEncoder:
@@ -60,10 +87,13 @@ class WordEncoder:
     those of such parts.  The store is a sorted array of hashes beside all ids in a
     row; when it is full, what the last step did not use goes.
     Plain words go to its BPE model in groups, without the costly normaliser; all
-    others go through the tokenizer as they are.
+    others go through the tokenizer as they are.  Words of one class are cut out,
+    handed over and taken back as arrays.
     """
 
     def __init__(self, path: str):
+        # A task has one core: threads only add CPU time and memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -78,8 +108,10 @@ class WordEncoder:
         same = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in set(same)]
         self.alphabet = {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        #: Sorted hashes; word k's ids are flat[ends[k] : ends[k + 1]].
-        self.keys, self.flat, self.ends = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.letters = np.array([ord(self.alphabet[b]) for b in range(256)], "<u4")
+        #: Sorted hashes; word k's ids are flat[begins[k] : begins[k] + sizes[k]].
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _slow(self, word: str) -> bytes:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
@@ -109,68 +141,92 @@ class WordEncoder:
             new.update(parts)
         todo = list(new)
         mapped = [p.encode().decode("latin-1").translate(self.alphabet) for p in todo]
-        groups = range(0, len(todo), 20)
-        for at, out in zip(groups, self.model.encode_batch_fast([" ".join(mapped[i : i + 20]) for i in groups], add_special_tokens=False), strict=True):
-            ids = np.array(out.ids, "<u2")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            raw, begin = ids.tobytes(), 0
-            for p, e in zip(todo[at : at + 20], (ends * 2).tolist(), strict=True):
-                pieces[p] = raw[begin:e]
-                begin = e
+        flat, sizes = self._bpe([" ".join(mapped[i : i + GROUP]) for i in range(0, len(mapped), GROUP)])
+        raw, ends = flat.tobytes(), (np.cumsum(sizes) * 2).tolist()
+        for p, x, y in zip(todo, [0, *ends], ends, strict=False):
+            pieces[p] = raw[x:y]
         for parts in split:
             yield parts if isinstance(parts, bytes) else pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
-    def _store(self, used: np.ndarray, keys: np.ndarray, ids: list[bytes]) -> None:
+    def _bpe(self, groups: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces in the model's alphabet, several in a string with a space between two, and the number of each piece's."""
+        out = self.model.encode_batch_fast(groups, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(x.ids for x in out), np.uint16)
+        return flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+
+    def _plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words of one class, and the number of each word's."""
+        size = ends - starts + 1
+        upto = np.cumsum(size)
+        at = np.arange(upto[-1]) + np.repeat(starts - upto + size, size)
+        at[upto - 1] = 0
+        chars = self.letters[data[at]]
+        chars[upto - 1] = ord(" ")
+        text = chars.tobytes().decode("utf-32-le")
+        borders = [0, *upto[GROUP - 1 : -1 : GROUP].tolist(), len(text)]
+        return self._bpe([text[x : y - 1] for x, y in zip(borders[:-1], borders[1:], strict=True)])
+
+    def _store(self, used: np.ndarray, keys: np.ndarray, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
         """Take in the ids of new keys (sorted, not yet stored); a full store first drops all but the used keys."""
-        old, size = self.keys, np.diff(self.ends)
-        keep = np.isin(old, used, assume_unique=True) if len(old) + len(keys) > CACHE_WORDS else np.ones(len(old), bool)
-        every = np.concatenate([old[keep], keys])
-        order = np.argsort(every)
-        sizes = np.concatenate([size[keep], np.array([len(x) // 2 for x in ids], np.int64)])
-        flat = np.concatenate([self.flat[np.repeat(keep, size)], np.frombuffer(b"".join(ids), np.uint16)])
-        begin = np.cumsum(sizes) - sizes
-        ends = np.concatenate([[0], np.cumsum(sizes[order])])
-        self.keys, self.ends = every[order], ends
-        self.flat = flat[np.arange(ends[-1]) + np.repeat(begin[order] - ends[:-1], sizes[order])]
+        if len(self.keys) + len(keys) > CACHE_WORDS:
+            keep = np.isin(self.keys, used, assume_unique=True)
+            size = self.sizes[keep]
+            upto = np.cumsum(size) - size
+            self.flat = self.flat[np.arange(size.sum()) + np.repeat(self.begins[keep] - upto, size)]
+            self.keys, self.begins, self.sizes = self.keys[keep], upto, size
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.sizes = np.insert(self.keys, at, keys), np.insert(self.sizes, at, sizes)
+        self.begins = np.insert(self.begins, at, begins + len(self.flat))
+        self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows' texts, each text followed by END_ID, and len + 1 offsets."""
         raw = data.tobytes()
         if b"<|" in raw:  # there may be special tokens, which are what they are as a whole
+            kind = np.zeros(len(data), np.uint8)
             starts, ends, first = _text.words(data, offsets)
         else:
-            data = _FOLD[data]
-            kind = _CLASS[data]
-            starts, ends, first = _text.words(data, offsets, borders=kind[1:] * kind[:-1] == 2)
+            data, kind = _folded(data)
+            starts, ends, first = _text.words(data, offsets, borders=_PARTED[kind[1:] * kind[:-1]])
         keys, where, which = np.unique(_text.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(missing):
-            b, e = starts[where[missing]].tolist(), ends[where[missing]].tolist()
-            new = list(self._ids([raw[x:y] for x, y in zip(b, e, strict=True)]))
-            self._store(keys, keys[missing], new)
+            b, e = starts[where[missing]], ends[where[missing]]
+            odd = np.concatenate([[0], np.cumsum(kind == 0)])
+            odd = odd[b] < odd[e]
+            flat, sizes = np.zeros(0, np.uint16), np.zeros(len(missing), np.int64)
+            if not odd.all():
+                flat, sizes[~odd] = self._plain(data, b[~odd], e[~odd])
+            begins = np.cumsum(sizes) - sizes
+            if odd.any():
+                new = list(self._ids([raw[x:y] for x, y in zip(b[odd].tolist(), e[odd].tolist(), strict=True)]))
+                size = np.array([len(x) // 2 for x in new], np.int64)
+                sizes[odd], begins[odd] = size, len(flat) + np.cumsum(size) - size
+                flat = np.concatenate([flat, np.frombuffer(b"".join(new), np.uint16)])
+            self._store(keys, keys[missing], flat, begins, sizes)
         slot = np.searchsorted(self.keys, keys)[which]
-        begins, flat = self.ends, self.flat
-        size = (begins[1:] - begins[:-1])[slot]
+        begins, size, flat = self.begins[slot], self.sizes[slot], self.flat
         upto = np.concatenate([[0], np.cumsum(size)])
         rows = upto[first] + np.arange(len(first))
         out = np.full(rows[-1], END_ID, np.uint32)
         fill = np.arange(upto[-1])
         row = np.repeat(np.arange(len(first) - 1), np.diff(upto[first]))
-        out[fill + row] = flat[fill + np.repeat(begins[slot] - upto[:-1], size)]
+        out[fill + row] = flat[fill + np.repeat(begins - upto[:-1], size)]
         return out, rows
 
 
-_encoders: dict[str, WordEncoder] = {}
+@lru_cache(maxsize=1)
+def worker_encoder(tokenizer: str) -> WordEncoder:
+    """A worker's only encoder: a function of the module, as what a nested one refers to is sent, and made anew, with each task."""
+    return WordEncoder(tokenizer)
 
 
 def token_items(docs: DataFrame, tokenizer: str) -> DataFrame:
     """An item for each row of docs; a null text is empty and has the end id alone."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordEncoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = worker_encoder(tokenizer)
         crc, row, most = zlib.crc32, TaskContext.get().partitionId() << 40, WINDOW * 4
         for batch in batches:
             data, offsets = _text.utf8(batch.column(1))
@@ -358,7 +414,7 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 49408) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names), sequence
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _encoders.clear()  # a worker that has tokenised needs its memory for the shards now
+        worker_encoder.cache_clear()  # a worker that has tokenised needs its memory for the shards now
         trim()
         sequence, held = TaskContext.get().partitionId() << 40, []
         for batch in batches:

@@ -24,7 +24,6 @@ import mmap
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import _text
 from lumenframe.llm._spark import group_arrow, map_arrow, saved, trim
-from lumenframe.llm.packing import STEP, WordEncoder
+from lumenframe.llm.packing import STEP, worker_encoder
 
 #: Follows the ids of every document.
 END_ID = 1
@@ -47,12 +46,6 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_ROWS = 10_000
 
 
-@lru_cache(maxsize=1)
-def _encoder(tokenizer: str) -> WordEncoder:
-    """A worker's only encoder: a function of the module, as what a nested one refers to is sent, and made anew, with each task."""
-    return WordEncoder(tokenizer)
-
-
 def _place(folder: str, part: int, kind: str) -> str:
     return f"{folder}/part-{part:05d}.{kind}"
 
@@ -104,7 +97,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         part, chunk, outputs = TaskContext.get().partitionId(), 0, []
         for batch in batches:
             if batch.num_rows and not outputs:
-                encoder = _encoder(tokenizer)
+                encoder = worker_encoder(tokenizer)
                 width = 2 if max(len(encoder.last) - 2, end_id) < 1 << 16 else 4
                 outputs = [_Output(_place(folder, part, kind)) for kind in ("ids", "docs")]
             ids = batch.column(0)

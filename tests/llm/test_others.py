@@ -262,6 +262,23 @@ def test_packing_frequencies(spark):
     assert {i: int(got[i]) for i in np.flatnonzero(got)} == Counter(i for s in ids for i in s)
 
 
+def test_packing_encoder_per_worker(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    made, tasks = [], []
+    start = packing.WordEncoder.__init__
+    monkeypatch.setattr(packing.WordEncoder, "__init__", lambda self, path: made.append(path) or start(self, path))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda _: 1})())
+    monkeypatch.setattr(packing, "map_arrow", lambda df, function, schema: tasks.append(function))
+    packing.token_items(spark.createDataFrame([(1, "a")], "doc_id long, text string"), queries.tokenizer_path())
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": ["the river"]})
+    sent = cloudpickle.dumps(tasks[0])
+    for _ in range(3):  # as a worker gets the function of each of its tasks
+        assert [b.num_rows for b in cloudpickle.loads(sent)(iter([batch]))] == [1]
+    assert len(made) <= 1
+
+
 def test_range_crc():
     ids = np.arange(500, dtype="<u4")
     crc = lambda a, b: zlib.crc32(ids[a:b].tobytes())
