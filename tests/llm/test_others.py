@@ -279,6 +279,37 @@ def test_packing_encoder_per_worker(spark, monkeypatch):
     assert len(made) <= 1
 
 
+def test_packing_encoder(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    whole, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    odd, known = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda words: odd.extend(words) or known(words))
+    plain = ["Él À É ÿ ß ÈÑ×÷ año/Ünï (é) a1b22 3.14 x_y", "the,river.&&& ABC", "", "Straße", " ".join(f"w{i}q" + "aé" * (i % 5) for i in range(250))]
+    # A capital and a mark do not make what the small letter and the mark make.
+    marked = ["j\u030c J\u030c", "J\u030c j\u030c h\u0331 H\u0331 t\u0308 T\u0308", "a=\u0338 É\u0301 é\u0301 Ê\u0301 1\ufe0f\u20e3", "don't I'LL '5 L'Été", "\u00aa\u00b5 \u0130 \u4e2dA\u4e2d a\u4e2d Ł", "<|endoftext|> É"]
+    for texts in (plain, marked, plain[::-1], ["x"] + marked[::-1]):
+        raw = [t.encode() for t in texts]
+        got, at = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [got[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        if texts is plain:
+            assert set(odd) == {"ÈÑ×÷".encode()}
+
+
+def test_packing_encoder_full_store(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 30)
+    path = queries.tokenizer_path()
+    whole, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    for k in range(12):
+        text = " ".join(f"{'abcdefghijkl'[(k + i) % 12]}{'xyzé'[i % 4]}t'{'klm'[i % 3]}" for i in range(20))
+        got, _ = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        assert got.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+        assert len(encoder.flat) == encoder.sizes.sum() and (np.diff(encoder.keys.astype(object)) > 0).all()
+
+
 def test_range_crc():
     ids = np.arange(500, dtype="<u4")
     crc = lambda a, b: zlib.crc32(ids[a:b].tobytes())
