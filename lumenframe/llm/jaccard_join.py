@@ -369,7 +369,8 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     opened = saved(opened.join(able, "cls", "left_semi"))
     more = saved(bucket_links(opened, sets, threshold))
     if not more.isEmpty():
-        labels = saved(components(links.select("u", "v").unionByName(more)))
+        # The stars found before stand for the links they were made of.
+        labels = saved(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)))
     out = (
         signed.select("row", "key", "doc_id", "n_grams", "s1", "s2")
         .join(classes.select("n_grams", "s1", "s2", "cls"), ["n_grams", "s1", "s2"], "left")

@@ -25,6 +25,28 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 5: 1, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10, 20: 20, 21: 20}
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    from lumenframe.llm import _components
+
+    kept = []
+    monkeypatch.setattr(_components, "saved", lambda df, save=_components.saved: kept.append(1) or save(df))
+    got = components(spark.createDataFrame([(1, n) for n in range(2, 9)] + [(30, 20)], "u long, v long")).collect()
+    assert sorted(map(tuple, got)) == [(n, 1) for n in range(1, 9)] + [(20, 20), (30, 20)]
+    assert len(kept) == 2  # the edges given and one round
+
+
+def test_saved_collects_in_the_driver(spark):
+    from lumenframe.llm._spark import saved
+
+    def explicit():
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = explicit()
+    assert saved(spark.range(3)).count() == 3
+    assert explicit() > before
+
+
 def test_bands():
     b, r = jaccard_join.choose_bands(0.8, 0.998, 128)
     assert b * r <= 128 and 1 - (1 - 0.8**r) ** b >= 0.998
