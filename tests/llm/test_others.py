@@ -545,6 +545,35 @@ def test_spelling_is_a_distribution():
     assert abs(first - 1) < 1e-5
 
 
+def test_stable_order():
+    rng = np.random.default_rng(6)
+    for keys in (np.zeros(0, np.int64), np.zeros(9, np.int64), rng.integers(-5, 5, 1000), rng.integers(0, 2**64, 50, dtype=np.uint64)[rng.integers(0, 50, 1000)], np.array([2**63 - 1, -(2**63), 0, -(2**63)])):
+        assert lm_score.stable_order(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+        assert lm_score.unique(keys).tolist() == np.unique(keys).tolist()
+
+
+def test_fit_works_out_decisions_once_a_step(monkeypatch):
+    """Three steps of fit ask for a word's decisions once each; passes of one step share them, and those that are not held are the same."""
+    rng = np.random.default_rng(8)
+    size = rng.integers(1, 9, 300)
+    ends = np.cumsum(size)
+    words = lm_score.Words(np.arange(300, dtype=np.uint64), np.ones(300, np.int64), ends, rng.integers(97, 105, ends[-1]).astype(np.uint8))
+    seen, whole = [], lm_score.events
+    monkeypatch.setattr(lm_score, "GROUP_WORDS", 64)
+    monkeypatch.setattr(lm_score, "events", lambda data, offsets: seen.append(len(data)) or whole(data, offsets))
+    monkeypatch.setattr(lm_score, "_sum_over", lambda rows, partial, size: np.asarray(partial(iter([words])), np.float64)[:size])
+
+    class Rows:
+        select = coalesce = lambda self, *_: self
+
+    want = lm_score.fit(Rows(), 1)
+    assert sum(seen) == 3 * ends[-1]
+    monkeypatch.setattr(lm_score, "HELD_BYTES", 0)
+    got = lm_score.fit(Rows(), 1)
+    assert sum(seen) == (3 + 4) * ends[-1]
+    assert all((a == b).all() for a, b in zip(vars(want).values(), vars(got).values(), strict=True))
+
+
 def brute_base(text):
     out = []
     assign = re.compile("""(password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
